@@ -95,7 +95,7 @@ PARSED = f"""cast(nullif(regexp_extract(text, '{_SCORE}', 1), '') as int) as hom
   case when cast(nullif(regexp_extract(text, '{_MINUTE}', 1), '') as int) <= 130 then cast(nullif(regexp_extract(text, '{_MINUTE}', 1), '') as int) end as minute"""
 
 
-def _score_fold(reads: str, line: str, fold: str) -> None:
+def score_fold(reads: str, line: str, fold: str) -> None:
     step(line, f"select *, row_number() over (partition by match_id order by t, seq) as rn from {reads} where home is not null")
     up = "((p.home - f.h = 1 and p.away = f.a) or (p.home = f.h and p.away - f.a = 1))"
     step(fold, f"""select match_id, rn, t, seq, home as h, away as a, home as ph, away as pa, minute, false as hit from {line} where rn = 1
@@ -105,9 +105,9 @@ def _score_fold(reads: str, line: str, fold: str) -> None:
 
 
 step("o_read", f"select match_id, seq, t, text, {PARSED} from v_ocr")
-_score_fold("o_read", "o_read_line", "o_score")
+score_fold("o_read", "o_read_line", "o_score")
 step("o_sampled", f"select match_id, seq, cast(floor(t * 25) as bigint) / 25e0 as t, {PARSED} from v_ocr where cast(floor(t * 25) as bigint) % 5 = 0")
-_score_fold("o_sampled", "o_sampled_line", "o_sampled_score")
+score_fold("o_sampled", "o_sampled_line", "o_sampled_score")
 CHANGES = """select match_id, t, seq, 'scoreboard_ocr' as source, 1e0 as strength, concat(h, '-', a) as score, concat(ph, '-', pa) as prev, minute from {fold} where hit"""
 
 # ---- tracking ------------------------------------------------------------------------------------------

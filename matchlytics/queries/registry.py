@@ -10,6 +10,7 @@ from ..operators import audio, captions, commentary, effects, fusion, overlays,
 from ..operators import stats, teams, telestration, tracking
 from ..plans import highlights
 from ..sources import logs, media, state
+from ..streaming import live, replay
 from . import oracles as o
 from . import views as v
 from .oracles import r6
@@ -26,7 +27,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = o.sql(sql)
+            ORACLES[name] = sql if sql.startswith("with recursive") else o.sql(sql)
         return fn
     return add
 
@@ -636,3 +637,53 @@ def _reel_plan(spark, d):
 def _overlay_plan(spark, d):
     cuts = _cuts(spark, d).withColumn("clip_id", (F.col("match_id") + F.col("clip_no")) % 40)
     return highlights.overlay_plan(cuts, _analytics(spark, d))
+
+
+# ---- live: a stream over the whole table, closed results only -----------------------------------------
+_CLOSED = "(select max(t) - 3e1 from v_signals)"
+
+
+def _timed(df):
+    return df.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+
+
+def _live_signals(spark, d):
+    return _timed(v.signals_of(spark, replay.stream_table(spark, f"{d}/events.parquet")))
+
+
+@query("live_moments", f"""select l.match_id, l.t, r.confidence, l.kind, l.minute, l.signal_count from o_labelled l join o_rounded r using (match_id, cluster)
+  where (select max(c.t) from o_clustered c where c.match_id = l.match_id and c.cluster = l.cluster) + 8 <= {_CLOSED}""")
+def _live_moments(spark, d):
+    return replay.run_available(live.live_moments(_live_signals(spark, d))).drop("opened")
+
+
+@query("live_keywords", ORACLES["keyword_signals"])
+def _live_keywords(spark, d):
+    rows = replay.stream_table(spark, f"{d}/conversations.parquet").selectExpr(
+        "conv_id as match_id", "turn as seq", "turn*15e0 as start_s", "text")
+    return replay.run_available(commentary.keyword_signals(rows, KEYWORDS))
+
+
+# texts of a live board cannot carry running totals, so the score comes from the event itself
+_LIVE_BOARD = "cast(event_id % 3 as int) as home, cast(event_id % 2 as int) as away, cast(event_id % 90 as int) as minute"
+o.step("o_live_read", f"select user_id as match_id, event_id as seq, {v.US_SQL}/864e6 as t, {_LIVE_BOARD} from events")
+o.score_fold("o_live_read", "o_live_line", "o_live_score")
+
+
+@query("live_score_changes", f"""select match_id, t, seq, concat(h, '-', a) as score, concat(ph, '-', pa) as prev, minute from o_live_score
+  where hit and t < (select floor(max(t) * 1e3) / 1e3 - 3e1 from v_signals)""")
+def _live_scores(spark, d):
+    rows = spark.sql(f"select user_id as match_id, event_id as seq, {v.US}/864e6 as t, {_LIVE_BOARD} from {{e}}",
+                     e=replay.stream_table(spark, f"{d}/events.parquet"))
+    return replay.run_available(live.live_score_changes(_timed(rows)))
+
+
+@query("live_loudness", """select match_id, round(w * 5e-1, 6) as from_s, round(sqrt(sum(x * x) / 4e0), 6) as rms from (
+    select match_id, x, unnest([idx // 2 - 1, idx // 2]) as w from v_samples) q
+  where w * 5e-1 + 1 <= (select max(idx) * 25e-2 - 5 from v_samples) group by match_id, w""")
+def _live_loudness(spark, d):
+    # four samples per second of match time
+    rows = replay.stream_table(spark, f"{d}/orders.parquet").selectExpr(
+        "cast(floor(o_orderkey/1e3) as bigint) as match_id", "timestamp_millis((o_orderkey % 1000) * 250) as ts", "o_totalprice/5e5 - 5e-1 as x")
+    out = replay.run_available(live.live_loudness(rows, rate=4.0))
+    return out.select("match_id", (F.unix_millis("from_ts") / 1000.0).alias("from_s"), F.round("rms", 6).alias("rms"))

@@ -45,7 +45,11 @@ _SIGNALS = """
 
 @view("v_signals", f"select {_SIGNALS.format(us=US_SQL)} from events")
 def signals(spark, d):
-    return spark.sql(f"select {_SIGNALS.format(us=US)} from {{e}}", e=table(spark, d, "events"))
+    return signals_of(spark, table(spark, d, "events"))
+
+
+def signals_of(spark, events: DataFrame) -> DataFrame:
+    return spark.sql(f"select {_SIGNALS.format(us=US)} from {{e}}", e=events)
 
 
 @view("v_durations", "select distinct user_id as match_id, 3000e0 as duration from events")
