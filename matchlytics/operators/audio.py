@@ -64,7 +64,7 @@ def moving_avg(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "s
 
 def _zscore(col: str, w: int, window) -> Column:
     near = window.rowsBetween(-(w // 2), w // 2)
-    sorted_near = F.array_sort(F.collect_list(col).over(near))
+    sorted_near = F.sort_array(F.collect_list(col).over(near))
     n = F.size(sorted_near)
     low = F.element_at(sorted_near, F.floor((n + 1) / 2).cast("int"))
     high = F.element_at(sorted_near, F.floor(n / 2).cast("int") + 1)
@@ -116,10 +116,10 @@ def merge_peaks(peaks: DataFrame, *, min_gap: float = 25.0, by="match_id", chunk
     point = F.struct(F.col("t").cast("double").alias("t"), F.col("z").cast("double").alias("z"))
     kind = "struct<t:double,z:double>"
     chunks = (with_halo(peaks, "t", size=span, before=min_gap).withColumn("_p", point)
-              .groupBy(*keys, "_chunk")
-              .agg(F.array_sort(F.collect_list(F.when(F.col("_own"), F.col("_p")))).alias("own"),
-                   F.array_sort(F.collect_list(F.when(~F.col("_own"), F.col("_p")))).alias("early"))
-              .filter(F.size("own") > 0))
+              .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_own", "_p"))).alias("_all")))
+    pick = lambda own: F.transform(F.filter("_all", lambda x: x["_own"] == own), lambda x: x["_p"])
+    # both passes below read the same exchange
+    chunks = chunks.select(*keys, "_chunk", pick(True).alias("own"), pick(False).alias("early")).filter(F.size("own") > 0)
     none = F.lit(None).cast(kind)
 
     def leave(entry):
@@ -129,7 +129,7 @@ def merge_peaks(peaks: DataFrame, *, min_gap: float = 25.0, by="match_id", chunk
         *keys, "_chunk", leave(none).alias("plain"),
         F.transform("early", lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("exits"))
     entries = (summary.groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.struct("_chunk", "plain", "exits"))).alias("cs"))
+               .agg(F.sort_array(F.collect_list(F.struct("_chunk", "plain", "exits"))).alias("cs"))
                .withColumn("_walk", F.aggregate(
                    "cs", F.struct(none.alias("s"), F.array().cast(f"array<struct<c:bigint,s:{kind}>>").alias("out")),
                    lambda acc, c: F.struct(

@@ -21,7 +21,7 @@ def caption_lines(words: DataFrame, *, n: int = 4, by="clip_id", order=("turn",
     rows = with_position(words, by, list(order), bucket=bucket, name="_no")
     rows = rows.withColumn("line_no", F.floor(F.col("_no") / n).cast("long"))
     lines = rows.groupBy(*keys, "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("_no", "word", "start_s", "end_s"))).alias("_w"))
+        F.sort_array(F.collect_list(F.struct("_no", "word", "start_s", "end_s"))).alias("_w"))
     text = strip(F.array_join(F.transform("_w", lambda w: w["word"]), ""))
     return lines.select(*keys, "line_no", text.alias("text"), F.element_at("_w", 1)["start_s"].alias("start_s"),
                         F.element_at("_w", -1)["end_s"].alias("end_s"))

@@ -18,12 +18,37 @@ META = {"zscore": "double", "short_scenes": "bigint", "score": "string", "prev":
         "kind_hint": "string", "phrase": "string", "text": "string", "label": "string"}
 
 
+# One bit per label a cluster can get from its signals, so that a single bit_or keeps them all
+SPOT_BITS = {"goal": 1, "card": 2, "save": 4, "chance": 8}
+TALK_BITS = {"goal": 16, "card": 32, "chance": 64}
+SAVED_BIT = 128
+
+
+def detector_rank() -> Column:
+    """Order of detectors in a match's signal list, which decides between signals at the same time."""
+    rank = F.lit(len(DETECTOR_ORDER))
+    for i, source in reversed(list(enumerate(DETECTOR_ORDER))):
+        rank = F.when(F.col("source") == source, i).otherwise(rank)
+    return rank
+
+
+def label_bits() -> Column:
+    def of(bits):
+        value = F.lit(0)
+        for kind, bit in bits.items():
+            value = F.when(F.col("kind_hint") == kind, bit).otherwise(value)
+        return value
+
+    hint = (F.when(F.col("source") == "action_spotting", of(SPOT_BITS))
+            .when(F.col("source") == "commentary", of(TALK_BITS)).otherwise(0))
+    return hint.bitwiseOR(F.when(F.contains("phrase", F.lit("saved")), SAVED_BIT).otherwise(0))
+
+
 def all_signals(*detectors: DataFrame, by="match_id") -> DataFrame:
     """Bag union of detector outputs; `det` is the rank of the detector, the first tie-break in time.
 
     Missing columns are filled with null, `seq` is the order inside a detector.
     """
-    rank = F.create_map(*[F.lit(x) for i, s in enumerate(DETECTOR_ORDER) for x in (s, i)])
     out = None
     for d in detectors:
         if "seq" not in d.columns:
@@ -32,15 +57,10 @@ def all_signals(*detectors: DataFrame, by="match_id") -> DataFrame:
     for name, kind in META.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
-    det = F.coalesce(F.try_element_at(rank, F.col("source")), F.lit(len(DETECTOR_ORDER)))
-    return out.select(*keys_of(by), "t", det.cast("int").alias("det"), F.col("seq").cast("long").alias("seq"),
+    return out.select(*keys_of(by), "t", detector_rank().alias("det"), F.col("seq").cast("long").alias("seq"),
                       "source", "strength", *[F.col(n).cast(k).alias(n) for n, k in META.items()])
 
 
-def _with_tiebreak(signals: DataFrame) -> DataFrame:
-    return signals if "det" in signals.columns else signals.withColumn("det", F.lit(0))
-
-
 def _cell(gap: float) -> Column:
     if gap <= 0:
         raise ValueError("gap must be positive")
@@ -72,34 +92,21 @@ def cluster_signals(signals: DataFrame, *, by="match_id", gap: float = 8.0) -> D
     return rows.join(numbered, [*keys, "_cell"]).select(*signals.columns, "cluster")
 
 
-def _first(value: str, when: Column) -> Column:
-    return F.min(F.when(when, F.struct("t", "det", "seq", value)))
-
-
 def clusters(signals: DataFrame, *, by="match_id", gap: float = 8.0) -> DataFrame:
-    """One row per (match, cluster start, source) with everything that scoring and labelling need."""
-    keys = keys_of(by)
-    src = F.col("source")
-    spot, talk = src == "action_spotting", src == "commentary"
+    """One row per (match, cluster start, source) with everything that scoring and labelling need.
 
-    def hint(kind, of):
-        return F.max(F.coalesce(of & (F.col("kind_hint") == kind), F.lit(False)))
-
-    cells = (_with_tiebreak(signals).withColumn("_cell", _cell(gap)).groupBy(*keys, "_cell", "source").agg(
+    Most of it are numbers that a hash aggregate keeps in place on the map side; only the loudest audio
+    signal and the first minute need an ordering struct.
+    """
+    keys = keys_of(by)
+    cells = signals.withColumn("_cell", _cell(gap)).groupBy(*keys, "_cell", "source").agg(
         F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.count(F.lit(1)).alias("n"),
-        F.max("strength").alias("strength"),
-        F.min(F.struct("t", "det", "seq")).alias("first"),
-        F.max(F.struct("strength", (-F.col("t")).alias("nt"), (-F.col("det")).alias("nd"),
-                       (-F.col("seq")).alias("ns"))).alias("loudest"),
-        _first("minute", F.col("minute").isNotNull()).alias("minute"),
-        *[hint(k, spot).alias(f"spot_{k}") for k in ("goal", "card", "save", "chance")],
-        *[hint(k, talk).alias(f"talk_{k}") for k in ("goal", "card", "chance")],
-        F.max(F.coalesce(F.contains("phrase", F.lit("saved")), F.lit(False))).alias("saved")))
-    numbered = _number_cells(cells, keys, gap)
-    flags = [c for c in numbered.columns if c.startswith(("spot_", "talk_")) or c == "saved"]
-    return numbered.groupBy(*keys, "_start", "source").agg(
-        F.sum("n").alias("n"), F.max("strength").alias("strength"), F.min("first").alias("first"),
-        F.max("loudest").alias("loudest"), F.min("minute").alias("minute"), *[F.max(f).alias(f) for f in flags])
+        F.max("strength").alias("strength"), F.bit_or(label_bits()).alias("labels"),
+        F.max(F.when(F.col("source") == "audio", F.struct("strength", (-F.col("t")).alias("nt")))).alias("audio"),
+        F.min(F.when(F.col("minute").isNotNull(), F.struct("t", "seq", "minute"))).alias("minute"))
+    return _number_cells(cells, keys, gap).groupBy(*keys, "_start", "source").agg(
+        F.min("_lo").alias("first_t"), F.sum("n").alias("n"), F.max("strength").alias("strength"),
+        F.bit_or("labels").alias("labels"), F.max("audio").alias("audio"), F.min("minute").alias("minute"))
 
 
 def fuse_confidence(per_source: DataFrame, weights: dict | None = None, *, by="match_id") -> DataFrame:
@@ -109,38 +116,40 @@ def fuse_confidence(per_source: DataFrame, weights: dict | None = None, *, by="m
     """
     keys = keys_of(by)
     weights = FusionConfig().weights if weights is None else weights
-    table = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])
-    share = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0)) * F.col("strength")
-    flags = [c for c in per_source.columns if c.startswith(("spot_", "talk_")) or c == "saved"]
-    audio, board = F.col("source") == "audio", F.col("source") == "scoreboard_ocr"
-    parts = F.array_sort(F.collect_list(F.struct("first", "source", share.alias("share"))))
+    weight = F.lit(0.0)
+    for source, w in weights.items():
+        weight = F.when(F.col("source") == source, float(w)).otherwise(weight)
+    rank, share = detector_rank(), weight * F.col("strength")
+    parts = F.sort_array(F.collect_list(F.struct("first_t", rank.alias("rank"), "source", share.alias("share"))))
+    minute = F.when(F.col("minute").isNotNull(), F.struct(F.col("minute.t"), rank, F.col("minute.seq"), F.col("minute.minute").alias("minute")))
     return (per_source.groupBy(*keys, "_start").agg(
-        parts.alias("_parts"), F.sum("n").alias("signal_count"), F.min("first").alias("first"),
-        F.min("minute").alias("minute"), F.max(F.when(audio, F.col("loudest"))).alias("audio"),
-        F.min(F.when(board, F.col("first"))).alias("board"), *[F.max(f).alias(f) for f in flags])
+        parts.alias("_parts"), F.sum("n").alias("signal_count"), F.min("first_t").alias("first_t"),
+        F.bit_or("labels").alias("labels"), F.min(minute).alias("_minute"), F.max("audio").alias("audio"),
+        F.min(F.when(F.col("source") == "scoreboard_ocr", F.col("first_t"))).alias("board_t"))
         .withColumn("confidence", F.least(F.lit(1.0), F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["share"])))
-        .withColumn("sources", F.array_sort(F.transform("_parts", lambda p: p["source"])))
-        .withColumn("minute", F.col("minute.minute")).drop("_parts"))
+        .withColumn("sources", F.sort_array(F.transform("_parts", lambda p: p["source"])))
+        .withColumn("minute", F.col("_minute.minute")).drop("_parts", "_minute"))
 
 
 def classify_clusters(fused: DataFrame) -> DataFrame:
     """Adds `kind`: spotting labels first, then a score change, then commentary, else a chance."""
-    kind = (F.when(F.col("spot_goal"), "goal").when(F.col("spot_card"), "card")
-            .when(F.col("spot_save"), "save").when(F.col("spot_chance"), "chance")
-            .when(F.col("board").isNotNull(), "goal")
-            .when(F.col("talk_goal"), "goal").when(F.col("talk_card"), "card")
-            .when(F.col("talk_chance") & F.col("saved"), "save").otherwise("chance"))
+    has = lambda bit: F.col("labels").bitwiseAND(F.lit(bit)) != 0
+    kind = (F.when(has(SPOT_BITS["goal"]), "goal").when(has(SPOT_BITS["card"]), "card")
+            .when(has(SPOT_BITS["save"]), "save").when(has(SPOT_BITS["chance"]), "chance")
+            .when(F.col("board_t").isNotNull(), "goal")
+            .when(has(TALK_BITS["goal"]), "goal").when(has(TALK_BITS["card"]), "card")
+            .when(has(TALK_BITS["chance"]) & has(SAVED_BIT), "save").otherwise("chance"))
     return fused.withColumn("kind", kind)
 
 
 def anchor_moments(fused: DataFrame, *, backoff: float = 6.0) -> DataFrame:
     """Adds `t`: shortly before the first score change, else the loudest moment, else the first signal."""
     # greatest() skips nulls, so the guard is needed
-    board = F.when(F.col("board").isNotNull(), F.greatest(F.lit(0.0), F.col("board.t") - backoff))
-    return fused.withColumn("t", F.coalesce(board, -F.col("audio.nt"), F.col("first.t")))
+    board = F.when(F.col("board_t").isNotNull(), F.greatest(F.lit(0.0), F.col("board_t") - backoff))
+    return fused.withColumn("t", F.coalesce(board, -F.col("audio.nt"), F.col("first_t")))
 
 
-def top_moments(df: DataFrame, k: int = 25, *, by="match_id", tie=("first",)) -> DataFrame:
+def top_moments(df: DataFrame, k: int = 25, *, by="match_id", tie=("first_t",)) -> DataFrame:
     """The k most confident moments per match, earlier ones first on ties.
 
     The row_number filter is pushed ahead of the exchange by Spark, so a match sends k rows per task.

@@ -77,17 +77,22 @@ def clip_caption(clips: DataFrame, brand: BrandConfig | None = None) -> DataFram
                                              moment_type=F.upper("kind"), hook=hook))
 
 
-def reel_caption(chosen: DataFrame, brand: BrandConfig | None = None, *, by="reel_id") -> DataFrame:
-    """One caption per reel: its number of goals, or of moments if it has none."""
-    brand = brand or BrandConfig()
-    counts = chosen.groupBy(*keys_of(by)).agg(F.count(F.lit(1)).alias("n_moments"),
-                                             F.count_if(F.col("kind") == "goal").alias("n_goals"))
+def reel_counts():
+    """Aggregates of the chosen rows of a reel that its caption needs."""
+    return (F.count(F.lit(1)).alias("n_moments"), F.count_if(F.col("kind") == "goal").alias("n_goals"))
+
+
+def reel_caption_text(brand: BrandConfig) -> Column:
     head = F.when(F.col("n_goals") > 0, F.concat(F.col("n_goals").cast("string"), F.lit(" goals"))).otherwise(
         F.concat(F.col("n_moments").cast("string"), F.lit(" moments")))
     pool = brand.hooks.get("goal") or [""]
-    return counts.withColumn("caption", _fill(
-        brand.caption_template, hashtags=F.lit(" ".join(brand.hashtags)),
-        moment_type=F.upper(F.concat(head, F.lit(" in 60s"))), hook=F.lit(pool[0])))
+    return _fill(brand.caption_template, hashtags=F.lit(" ".join(brand.hashtags)),
+                 moment_type=F.upper(F.concat(head, F.lit(" in 60s"))), hook=F.lit(pool[0]))
+
+
+def reel_caption(chosen: DataFrame, brand: BrandConfig | None = None, *, by="reel_id") -> DataFrame:
+    """One caption per reel: its number of goals, or of moments if it has none."""
+    return chosen.groupBy(*keys_of(by)).agg(*reel_counts()).withColumn("caption", reel_caption_text(brand or BrandConfig()))
 
 
 def run_summary(clip_results: DataFrame, runs: DataFrame | None = None, *, mode: str = "per_clip", by="match_id") -> DataFrame:

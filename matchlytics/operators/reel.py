@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BrandConfig, ReelConfig
 from ..functions.ordered import chunk_no, keys_of
 
-_ITEM = "nc double, ord bigint, d double"
-
-
-def _ordered_items():
-    return F.array_sort(F.collect_list(F.struct("nc", "ord", "d")))
-
-
 def _without_dominated(items, target: float):
     """Drops items that the greedy choice can never reach.
 
@@ -23,21 +16,23 @@ def _without_dominated(items, target: float):
     holds inside any subset of a reel's items, so it can run per chunk before the items of a reel meet.
     """
     limit = target + 1e-6 * max(1.0, abs(target))
-    shorter = lambda kept, x: F.filter(kept, lambda y: y["d"] <= x["d"])
-    full = lambda kept, x: F.aggregate(shorter(kept, x), F.lit(0.0), lambda s, y: s + y["d"]) >= limit
-    return F.aggregate(items, F.array().cast(f"array<struct<{_ITEM.replace(' ', ':')}>>".replace(",:", ",")),
-                       lambda kept, x: F.when(full(kept, x), kept).otherwise(F.array_append(kept, x)))
+
+    def step(kept, x):
+        shorter = F.filter(kept, lambda y: y["d"] <= x["d"])
+        full = F.aggregate(shorter, F.lit(0.0), lambda s, y: s + y["d"]) >= limit
+        return F.when(full, kept).otherwise(F.array_append(kept, x))
+
+    return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
 def _greedy(items, target: float, max_s: float):
-    state = F.struct(F.lit(0.0).alias("total"), F.lit(False).alias("done"),
-                     F.array().cast("array<bigint>").alias("out"))
+    state = F.struct(F.lit(0.0).alias("total"), F.lit(False).alias("done"), F.slice(items, 1, 0).alias("out"))
 
     def take(acc, x):
         skip = acc["done"] | ((acc["total"] + x["d"] > max_s) & (F.size(acc["out"]) > 0))
         total = acc["total"] + x["d"]
         return F.when(skip, acc).otherwise(F.struct(
-            total.alias("total"), (total >= target).alias("done"), F.array_append(acc["out"], x["ord"]).alias("out")))
+            total.alias("total"), (total >= target).alias("done"), F.array_append(acc["out"], x).alias("out")))
 
     return F.aggregate(items, state, take)["out"]
 
@@ -46,46 +41,57 @@ def select_reel(items: DataFrame, cfg: ReelConfig | None = None, *, by="reel_id"
     """Greedy choice: by confidence, skipping what would exceed `max_seconds`, until `target` is reached.
 
     The first item is taken whatever its length. Chosen rows come with `slot`, their chronological place.
-    Items are thinned per chunk of a reel first, so a reel of any size ends in a short list.
+    Items are thinned per chunk of a reel first, so a reel of any size ends in a short list. Other columns
+    travel along (they must be of sortable types); there is no join back to the items.
     """
     cfg = cfg or ReelConfig()
     keys = keys_of(by)
+    rest = [c for c in items.columns if c not in (*keys, "ord", "duration")]
     d = F.least(F.col("duration"), F.lit(float(cfg.per_item))) if cfg.per_item else F.col("duration")
-    slim = items.select(*keys, (-F.coalesce("confidence", F.lit(0.0))).alias("nc"), F.col("ord").cast("long").alias("ord"),
-                        d.cast("double").alias("d"))
-    thin = (slim.groupBy(*keys, chunk_no("ord", chunk).alias("_c")).agg(_ordered_items().alias("_i"))
-            .select(*keys, F.explode(_without_dominated(F.col("_i"), cfg.target)).alias("_x")).select(*keys, "_x.*"))
-    chosen = (thin.groupBy(*keys).agg(_ordered_items().alias("_i"))
-              .select(*keys, F.posexplode(F.array_sort(_greedy(F.col("_i"), cfg.target, cfg.max_seconds))).alias("slot", "ord")))
-    rows = items.join(chosen.select(*keys, "ord", F.col("slot").cast("long").alias("slot")), [*keys, "ord"])
-    return rows.withColumn("duration", d) if cfg.per_item else rows
+    item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("nc"), F.col("ord").cast("long").alias("ord"),
+                    d.cast("double").alias("d"), F.struct(*rest).alias("rest"))
+    rows = items.select(*keys, item.alias("_x"), chunk_no("ord", chunk).alias("_c"))
+    thin = (rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_i"))
+            .select(*keys, F.explode(_without_dominated(F.col("_i"), cfg.target)).alias("_x")))
+    chosen = (thin.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_i"))
+              .select(*keys, _greedy(F.col("_i"), cfg.target, cfg.max_seconds).alias("_o")))
+    in_time = F.sort_array(F.transform("_o", lambda x: F.struct(x["ord"].alias("ord"), x["d"].alias("duration"), x["rest"].alias("rest"))))
+    return (chosen.select(*keys, F.posexplode(in_time).alias("slot", "_x"))
+            .select(*keys, "_x.ord", "_x.duration", *[F.col(f"_x.rest.{c}") for c in rest], F.col("slot").cast("long").alias("slot")))
+
+
+def segments():
+    """Aggregate of the chosen rows of a reel, in order; a reel holds about a minute of them."""
+    return F.sort_array(F.collect_list(F.struct("slot", "ord", F.col("duration").cast("double").alias("duration")))).alias("segments")
+
+
+def timeline_parts(brand: BrandConfig, intro: bool = True, outro: bool = True):
+    """Parts of a reel (column `segments`) with running times: intro card, segments, outro card."""
+    kind = "array<struct<part:string,ord:bigint,duration:double,start_s:double,end_s:double>>"
+    none, card = F.lit(None).cast("long"), F.lit(brand.card_seconds)
+
+    def part(name, ord_, duration, at):
+        return F.struct(F.lit(name).alias("part"), ord_.alias("ord"), duration.alias("duration"), at.alias("start_s"), (at + duration).alias("end_s"))
+
+    first = F.array(part("intro", none, card, F.lit(0.0))) if intro else F.array()
+    state = F.struct(F.lit(brand.card_seconds if intro else 0.0).alias("at"), first.cast(kind).alias("out"))
+    add = lambda acc, s: F.struct((acc["at"] + s["duration"]).alias("at"),
+                                  F.array_append(acc["out"], part("segment", s["ord"], s["duration"], acc["at"])).alias("out"))
+    last = lambda acc: F.array_append(acc["out"], part("outro", none, card, acc["at"])) if outro else acc["out"]
+    return F.aggregate("segments", state, add, last)
+
+
+def explode_parts(reels: DataFrame, parts, *keep) -> DataFrame:
+    return (reels.select(*keep, F.posexplode(parts).alias("part_no", "_p"))
+            .select(*keep, F.col("part_no").cast("long").alias("part_no"), "_p.*"))
 
 
 def reel_timeline(chosen: DataFrame, brand: BrandConfig | None = None, *, by="reel_id",
                   intro: bool = True, outro: bool = True) -> DataFrame:
-    """Parts of a reel with start and end: intro card, segments in order, outro card.
-
-    A reel holds about a minute of segments (`select_reel` stops at its target), so its running sum is short.
-    """
-    brand = brand or BrandConfig()
+    """Parts of a reel with start and end: intro card, segments in order, outro card."""
     keys = keys_of(by)
-    body = chosen.select(*keys, F.lit(1).alias("_rank"), F.col("slot").alias("_slot"), F.lit("segment").alias("part"),
-                         F.col("ord").alias("ord"), F.col("duration").cast("double").alias("duration"))
-    reels = chosen.select(*keys).distinct()
-
-    def card(rank, part):
-        return reels.select(*keys, F.lit(rank).alias("_rank"), F.lit(0).cast("long").alias("_slot"), F.lit(part).alias("part"),
-                            F.lit(None).cast("long").alias("ord"), F.lit(brand.card_seconds).alias("duration"))
-
-    parts = body
-    if intro:
-        parts = parts.unionByName(card(0, "intro"))
-    if outro:
-        parts = parts.unionByName(card(2, "outro"))
-    line = Window.partitionBy(*keys).orderBy("_rank", "_slot")
-    end = F.sum("duration").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return (parts.withColumn("part_no", (F.row_number().over(line) - 1).cast("long")).withColumn("end_s", end)
-            .select(*keys, "part_no", "part", "ord", "duration", (F.col("end_s") - F.col("duration")).alias("start_s"), "end_s"))
+    reels = chosen.groupBy(*keys).agg(segments())
+    return explode_parts(reels, timeline_parts(brand or BrandConfig(), intro, outro), *keys)
 
 
 def clip_timeline(clips: DataFrame, brand: BrandConfig | None = None, *, by="clip_id", body: str = "duration",

@@ -61,7 +61,7 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     before = F.lag("_code").over(step)
     reads = (rows.withColumn("_same", F.coalesce(before == F.col("_code"), F.lit(False))).filter(~F.col("_same"))
              .groupBy(*keys, "_b")
-             .agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col("_code").alias("code"), "minute"))).alias("rs")))
+             .agg(F.sort_array(F.collect_list(F.struct("t", "seq", F.col("_code").alias("code"), "minute"))).alias("rs")))
 
     def leave(entry):
         return F.aggregate("rs", entry, lambda b, r: F.when(b.isNull() | _moves(b, r["code"]), r["code"]).otherwise(b))
@@ -72,7 +72,7 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
         *keys, "_b", leave(none).alias("plain"),
         F.transform(starts, lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("exits"))
     entries = (summary.groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.struct("_b", "plain", "exits"))).alias("cs"))
+               .agg(F.sort_array(F.collect_list(F.struct("_b", "plain", "exits"))).alias("cs"))
                .select(*keys, F.aggregate(
                    "cs", F.struct(none.alias("s"), F.array().cast("array<struct<b:bigint,s:bigint>>").alias("out")),
                    lambda acc, c: F.struct(

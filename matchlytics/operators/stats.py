@@ -20,76 +20,106 @@ def key_points(players: DataFrame, key: DataFrame, *, by="clip_id") -> DataFrame
     return players.join(who, [*keys_of(by), "track_id"])
 
 
-def _path(points: DataFrame, order, x: str, y: str, by, chunk) -> DataFrame:
-    steps = previous(points, by, order, [x, y, "frame"], bucket=chunk_no("frame", chunk))
-    return steps.withColumn("_d", distance(F.col(f"prev_{x}"), F.col(f"prev_{y}"), F.col(x), F.col(y)))
+def _with_mode(clips: DataFrame, homography: DataFrame | None, keys, metric: bool | None, by) -> DataFrame:
+    """Clip dimension with `metric`: fixed, or true for clips with enough calibrated frames."""
+    base = clips.select(*keys, "width", "fps")
+    if metric is not None or homography is None:
+        return base.withColumn("metric", F.lit(bool(metric)))
+    cover = calib_coverage(homography, by=by).select(*keys, "coverage")
+    return base.join(cover, keys, "left").withColumn("metric", F.coalesce(F.col("coverage") > MIN_COVERAGE, F.lit(False))).drop("coverage")
 
 
-def _px_per_m(px_per_m):
-    return F.lit(float(px_per_m)) if px_per_m is not None else F.col("width") / FRAME_SPAN_M
+def _in_mode(points: DataFrame, homography: DataFrame | None, x: str, y: str, by) -> DataFrame:
+    """Coordinates px, py to measure with: pitch metres in metric clips (points without map drop out), else pixels."""
+    if homography is None:
+        return points.withColumns({"px": F.col(x), "py": F.col(y)})
+    rows = to_pitch(points, homography, x=x, y=y, by=by)
+    flat = lambda pitch, image: F.when(F.col("metric"), F.col(pitch)).otherwise(F.col(image))
+    return rows.withColumns({"px": flat("px", x), "py": flat("py", y)}).filter(F.col("px").isNotNull()).select(*points.columns, "px", "py")
 
 
-def pixel_distance(players: DataFrame, key: DataFrame, clips: DataFrame, *, px_per_m: float | None = None,
-                   by="clip_id", chunk: int = CHUNK) -> DataFrame:
-    """Path length of the key player in metres, from pixels."""
-    keys = keys_of(by)
-    length = (_path(key_points(players, key, by=by), ["frame", "det_ord"], "cx", "cy", by, chunk)
-              .groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_len")))
-    base = key.select(*keys).join(clips, keys).join(length, keys, "left")
-    return base.select(*keys, (F.coalesce("_len", F.lit(0.0)) / _px_per_m(px_per_m)).alias("sprint_distance_m"))
+def _measure(points: DataFrame, order, by, chunk, *, max_jump: float = 12.0, max_kmh: float = 45.0,
+             px_per_m: float | None = None) -> DataFrame:
+    """Length in metres and top speed along (px, py) of rows that carry metric, fps and width.
+
+    In metric clips steps beyond `max_jump` metres count for neither; pixel clips have no speed.
+    """
+    steps = previous(points, by, list(order), ["px", "py", "frame"], bucket=chunk_no("frame", chunk))
+    d = distance(F.col("prev_px"), F.col("prev_py"), F.col("px"), F.col("py"))
+    fps = F.when(F.coalesce(F.col("fps"), F.lit(0.0)) == 0, F.lit(30.0)).otherwise(F.col("fps"))
+    steps = steps.withColumn("_d", d).withColumn(
+        "_v", F.col("_d") / (F.greatest(F.lit(1), F.col("frame") - F.col("prev_frame")) / fps) * 3.6)
+    metric, real = F.col("metric"), F.col("_d") <= max_jump
+    scale = F.lit(float(px_per_m)) if px_per_m is not None else F.col("width") / FRAME_SPAN_M
+    zero = F.lit(0.0)
+    return steps.groupBy(*keys_of(by)).agg(
+        F.coalesce(F.sum(F.when(metric & real, F.col("_d")).when(~metric, F.col("_d"))), zero).alias("_len"),
+        F.coalesce(F.max(F.when(metric & real & (F.col("_v") < max_kmh), F.col("_v"))), zero).alias("top_speed_kmh"),
+        F.max(F.when(metric, F.lit(1.0)).otherwise(scale)).alias("_scale"), F.bool_or(metric).alias("metric")).select(
+            *keys_of(by), "metric", (F.col("_len") / F.col("_scale")).alias("distance_m"), "top_speed_kmh")
+
+
+def player_run(players: DataFrame, key: DataFrame, clips: DataFrame, homography: DataFrame | None = None, *,
+               metric: bool | None = None, px_per_m: float | None = None, max_jump: float = 12.0,
+               max_kmh: float = 45.0, by="clip_id", chunk: int = CHUNK) -> DataFrame:
+    """Distance and top speed of each clip's key player; 0 for clips whose player has fewer than two points."""
+    keys, order = keys_of(by), ["frame", "det_ord"]
+    mode = _with_mode(clips, homography, keys, metric, by)
+    who = key.select(*keys, F.col("key_track_id").alias("track_id")).join(mode, keys)
+    points = _in_mode(players.join(who, [*keys, "track_id"]), homography, "cx", "cy", by)
+    path = _measure(points, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh, px_per_m=px_per_m)
+    zero = F.lit(0.0)
+    return (who.select(*keys, "metric").join(path.drop("metric"), keys, "left")
+            .select(*keys, F.coalesce("distance_m", zero).alias("sprint_distance_m"),
+                    F.when(F.col("metric"), F.coalesce("top_speed_kmh", zero)).alias("top_speed_kmh")))
+
 
+def ball_shot(ball_path: DataFrame, clips: DataFrame, homography: DataFrame | None = None, *, metric: bool | None = None,
+              px_per_m: float | None = None, max_jump: float = 12.0, by="clip_id", chunk: int = CHUNK) -> DataFrame:
+    """Ball distance over the last int(fps // 2) points of its path.
 
-def _ball_tail(ball_path: DataFrame, clips: DataFrame, shortest: int, by, chunk) -> DataFrame:
-    """Adds `_from`, the position in the ball path where the last half second starts (0 = whole path)."""
+    Metric clips use two points at least, before points without map drop out, and give null instead of 0; in
+    pixel clips 0 points mean the whole path.
+    """
     keys = keys_of(by)
     rows = with_position(ball_path, by, ["frame"], bucket=chunk_no("frame", chunk), name="_pos", total="_tot")
-    n = F.greatest(F.lit(shortest), F.floor(F.col("fps") / 2).cast("long"))
-    start = F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("_tot") - n))
-    return rows.join(clips.select(*keys, "fps", "width"), keys).withColumn("_from", start)
+    rows = rows.join(_with_mode(clips, homography, keys, metric, by), keys)
+    n = F.floor(F.col("fps") / 2).cast("long")
+    n = F.when(F.col("metric"), F.greatest(F.lit(2), n)).when(n == 0, F.col("_tot")).otherwise(n)
+    tail = rows.filter(F.col("_pos") >= F.col("_tot") - n)
+    path = _measure(_in_mode(tail, homography, "ball_x", "ball_y", by), ["frame"], by, chunk, max_jump=max_jump, px_per_m=px_per_m)
+    return path.select(*keys, F.when(F.col("metric"), F.nullif("distance_m", F.lit(0.0))).otherwise(F.col("distance_m")).alias("shot_distance_m"))
+
+
+def pixel_distance(players: DataFrame, key: DataFrame, clips: DataFrame, *, px_per_m: float | None = None,
+                   by="clip_id", chunk: int = CHUNK) -> DataFrame:
+    """Path length of the key player in metres, from pixels."""
+    return player_run(players, key, clips, px_per_m=px_per_m, by=by, chunk=chunk).drop("top_speed_kmh")
 
 
 def pixel_shot(ball_path: DataFrame, clips: DataFrame, *, px_per_m: float | None = None, by="clip_id",
                chunk: int = CHUNK) -> DataFrame:
-    """Path length of the ball over the last int(fps // 2) points of its path, in metres from pixels."""
-    keys = keys_of(by)
-    tail = _ball_tail(ball_path, clips, 0, by, chunk).filter(F.col("_pos") >= F.col("_from"))
-    return (_path(tail, ["frame"], "ball_x", "ball_y", by, chunk)
-            .groupBy(*keys).agg((F.coalesce(F.sum("_d"), F.lit(0.0)) / F.first(_px_per_m(px_per_m))).alias("shot_distance_m")))
+    """Ball distance of the last half second in metres, from pixels."""
+    return ball_shot(ball_path, clips, px_per_m=px_per_m, by=by, chunk=chunk)
 
 
 def metric_path(points: DataFrame, clips: DataFrame, *, max_jump: float = 12.0, max_kmh: float = 45.0,
                 order=("frame",), by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Distance and top speed along pitch points (px, py); jumps beyond `max_jump` metres count for neither."""
-    keys = keys_of(by)
-    steps = _path(points.filter(F.col("px").isNotNull()), list(order), "px", "py", by, chunk)
-    steps = steps.drop("fps").join(clips.select(*keys, "fps"), keys)
-    fps = F.when(F.coalesce(F.col("fps"), F.lit(0.0)) == 0, F.lit(30.0)).otherwise(F.col("fps"))
-    dt = F.greatest(F.lit(1), F.col("frame") - F.col("prev_frame")) / fps
-    real = F.col("_d") <= max_jump
-    speed = F.col("_d") / dt * 3.6
-    return steps.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(real, F.col("_d"))), F.lit(0.0)).alias("distance_m"),
-        F.coalesce(F.max(F.when(real & (speed < max_kmh), speed)), F.lit(0.0)).alias("top_speed_kmh"))
+    rows = points.filter(F.col("px").isNotNull()).join(_with_mode(clips, None, keys_of(by), True, by), keys_of(by))
+    return _measure(rows, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh)
 
 
 def metric_distance(players: DataFrame, key: DataFrame, homography: DataFrame, clips: DataFrame, *,
                     max_jump: float = 12.0, max_kmh: float = 45.0, by="clip_id", chunk: int = CHUNK) -> DataFrame:
-    """Distance and top speed of the key player on the pitch."""
-    points = to_pitch(key_points(players, key, by=by), homography, by=by)
-    path = metric_path(points, clips, max_jump=max_jump, max_kmh=max_kmh, order=("frame", "det_ord"), by=by, chunk=chunk)
-    zero = F.lit(0.0)
-    return (key.select(*keys_of(by)).join(path, keys_of(by), "left")
-            .select(*keys_of(by), F.coalesce("distance_m", zero).alias("sprint_distance_m"),
-                    F.coalesce("top_speed_kmh", zero).alias("top_speed_kmh")))
+    """Distance and top speed of the key player on the pitch, whatever the coverage."""
+    return player_run(players, key, clips, homography, metric=True, max_jump=max_jump, max_kmh=max_kmh, by=by, chunk=chunk)
 
 
 def metric_shot(ball_path: DataFrame, homography: DataFrame, clips: DataFrame, *, max_jump: float = 12.0,
                 by="clip_id", chunk: int = CHUNK) -> DataFrame:
-    """Ball distance over the last max(2, int(fps // 2)) points that have a map; null when 0."""
-    tail = _ball_tail(ball_path, clips, 2, by, chunk).filter(F.col("_pos") >= F.col("_from"))
-    points = to_pitch(tail, homography, x="ball_x", y="ball_y", by=by)
-    path = metric_path(points, clips, max_jump=max_jump, by=by, chunk=chunk)
-    return path.select(*keys_of(by), F.nullif("distance_m", F.lit(0.0)).alias("shot_distance_m"))
+    """Ball distance of the last half second on the pitch, whatever the coverage; null when 0."""
+    return ball_shot(ball_path, clips, homography, metric=True, max_jump=max_jump, by=by, chunk=chunk)
 
 
 def players_beaten(players: DataFrame, key: DataFrame, *, cap: int = 6, by="clip_id", chunk: int = CHUNK) -> DataFrame:
@@ -111,23 +141,9 @@ def clip_stats(players: DataFrame, ball_path: DataFrame, key: DataFrame, clips:
                chunk: int = CHUNK) -> DataFrame:
     """One row per clip; metric when more than half of its frames are calibrated, else from pixels."""
     keys = keys_of(by)
-    base = clips.select(*keys)
-    out = (base.join(pixel_distance(players, key, clips, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
-           .join(pixel_shot(ball_path, clips, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
-           .join(players_beaten(players, key, by=by, chunk=chunk), keys, "left")
-           .withColumn("players_beaten", F.coalesce("players_beaten", F.lit(0))))
-    if homography is None:
-        return out.select(*keys, F.lit(False).alias("metric"), "sprint_distance_m",
-                          F.lit(None).cast("double").alias("top_speed_kmh"), "shot_distance_m", "players_beaten")
-    m_run = metric_distance(players, key, homography, clips, by=by, chunk=chunk)
-    m_shot = metric_shot(ball_path, homography, clips, by=by, chunk=chunk)
-    cover = calib_coverage(homography, by=by).select(*keys, "coverage")
-    metric = F.coalesce(F.col("coverage") > MIN_COVERAGE, F.lit(False))
-    return (out.join(m_run.withColumnRenamed("sprint_distance_m", "_run"), keys, "left")
-            .join(m_shot.withColumnRenamed("shot_distance_m", "_shot"), keys, "left")
-            .join(cover, keys, "left").withColumn("metric", metric)
-            .select(*keys, "metric",
-                    F.when(F.col("metric"), F.col("_run")).otherwise(F.col("sprint_distance_m")).alias("sprint_distance_m"),
-                    F.when(F.col("metric"), F.col("top_speed_kmh")).alias("top_speed_kmh"),
-                    F.when(F.col("metric"), F.col("_shot")).otherwise(F.col("shot_distance_m")).alias("shot_distance_m"),
-                    "players_beaten"))
+    return (_with_mode(clips, homography, keys, None, by).select(*keys, "metric")
+            .join(player_run(players, key, clips, homography, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
+            .join(ball_shot(ball_path, clips, homography, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
+            .join(players_beaten(players, key, by=by, chunk=chunk), keys, "left")
+            .select(*keys, "metric", "sprint_distance_m", "top_speed_kmh", "shot_distance_m",
+                    F.coalesce("players_beaten", F.lit(0)).cast("long").alias("players_beaten")))

@@ -41,11 +41,11 @@ def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, t
 def reel_plan(moments: DataFrame, cfg: ReelConfig | None = None, brand: BrandConfig | None = None, *,
               by="match_id") -> DataFrame:
     """Moments to the timeline of one reel per match, with its caption on every part."""
-    keys = keys_of(by)
+    keys, brand = keys_of(by), brand or BrandConfig()
     cuts = effects.cut_list(moments, by=by).withColumn("ord", F.col("clip_no"))
-    chosen = reel.select_reel(cuts, cfg, by=by)
-    caption = overlays.reel_caption(chosen, brand, by=by)
-    return reel.reel_timeline(chosen, brand, by=by).join(caption, keys)
+    reels = reel.select_reel(cuts, cfg, by=by).groupBy(*keys).agg(reel.segments(), *overlays.reel_counts())
+    reels = reels.withColumn("caption", overlays.reel_caption_text(brand))
+    return reel.explode_parts(reels, reel.timeline_parts(brand), *keys, "n_moments", "n_goals", "caption")
 
 
 def overlay_plan(cuts: DataFrame, clip_stats: DataFrame, brand: BrandConfig | None = None, *, by="match_id",

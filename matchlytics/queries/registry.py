@@ -326,7 +326,7 @@ def _keypoints(spark, d):
 @query("fuse_confidence", f"select match_id, first_t, signal_count, {r6('conf')}, sources from o_labelled")
 def _fuse(spark, d):
     fused = fusion.fuse_confidence(fusion.clusters(v.signals(spark, d)))
-    return fused.select("match_id", F.col("first.t").alias("first_t"), "signal_count", F.round("confidence", 6).alias("conf"),
+    return fused.select("match_id", "first_t", "signal_count", F.round("confidence", 6).alias("conf"),
                         F.array_join("sources", ",").alias("sources"))
 
 
@@ -336,12 +336,12 @@ def _fused(spark, d):
 
 @query("classify_clusters", "select match_id, first_t, kind from o_labelled")
 def _classify(spark, d):
-    return fusion.classify_clusters(_fused(spark, d)).select("match_id", F.col("first.t").alias("first_t"), "kind")
+    return fusion.classify_clusters(_fused(spark, d)).select("match_id", "first_t", "kind")
 
 
 @query("anchor_moments", "select match_id, first_t, t, minute from o_labelled")
 def _anchor(spark, d):
-    return fusion.anchor_moments(_fused(spark, d)).select("match_id", F.col("first.t").alias("first_t"), "t", "minute")
+    return fusion.anchor_moments(_fused(spark, d)).select("match_id", "first_t", "t", "minute")
 
 
 @query("best_ball", f"select clip_id, frame, {r6('ball_x', 'ball_y')}, conf, model from o_best_ball")

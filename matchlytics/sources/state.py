@@ -53,7 +53,7 @@ def load_or_compute(spark: SparkSession, path: str, keys: DataFrame, compute, *,
 def result_documents(summary: DataFrame, clips: DataFrame, *, by="match_id", fields=("clip_no", "kind", "confidence", "t", "minute", "status")) -> DataFrame:
     """One JSON document per run with its clips inside; clips per run are bounded by the moments top-k."""
     keys = keys_of(by)
-    nested = clips.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("clips"))
+    nested = clips.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("clips"))
     rows = summary.join(nested, keys, "left")
     body = F.struct(*[c for c in rows.columns])
     return rows.select(*keys, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import FusionConfig
 from ..functions.numbers import round_exact
 from ..functions.ordered import keys_of
-from ..operators.fusion import anchor_moments, classify_clusters
+from ..operators.fusion import anchor_moments, classify_clusters, detector_rank, label_bits
 from ..operators.scoreboard import HOME
 
 
@@ -22,23 +22,16 @@ def live_moments(signals: DataFrame, cfg: FusionConfig | None = None, *, by="mat
     """Scored, classified and anchored moments, each emitted once its session is closed by the watermark."""
     cfg = cfg or FusionConfig()
     src = F.col("source")
-    first = F.struct("t", "seq")
-
-    def hint(kind, source):
-        return F.max(F.coalesce((src == source) & (F.col("kind_hint") == kind), F.lit(False)))
-
-    aggs = [F.count(F.lit(1)).alias("signal_count"), F.min(first).alias("first"),
-            F.min(F.when(F.col("minute").isNotNull(), F.struct("t", "seq", "minute"))).alias("minute"),
-            F.min(F.when(src == "scoreboard_ocr", first)).alias("board"),
-            F.max(F.when(src == "audio", F.struct("strength", (-F.col("t")).alias("nt"), (-F.col("seq")).alias("ns")))).alias("audio"),
-            *[hint(k, "action_spotting").alias(f"spot_{k}") for k in ("goal", "card", "save", "chance")],
-            *[hint(k, "commentary").alias(f"talk_{k}") for k in ("goal", "card", "chance")],
-            F.max(F.coalesce(F.contains("phrase", F.lit("saved")), F.lit(False))).alias("saved")]
+    first = F.struct("t", detector_rank().alias("rank"), "seq")
+    aggs = [F.count(F.lit(1)).alias("signal_count"), F.min("t").alias("first_t"), F.bit_or(label_bits()).alias("labels"),
+            F.min(F.when(F.col("minute").isNotNull(), F.struct(first, "minute"))).alias("minute"),
+            F.min(F.when(src == "scoreboard_ocr", F.col("t"))).alias("board_t"),
+            F.max(F.when(src == "audio", F.struct("strength", (-F.col("t")).alias("nt")))).alias("audio")]
     for i, s in enumerate(cfg.weights):
         aggs += [F.min(F.when(src == s, first)).alias(f"_f{i}"), F.max(F.when(src == s, F.col("strength"))).alias(f"_s{i}")]
     sessions = (signals.withWatermark("ts", delay)
                 .groupBy(*keys_of(by), F.session_window("ts", f"{int(cfg.gap * 1000)} milliseconds").alias("session")).agg(*aggs))
-    shares = F.array_sort(F.array_compact(F.array(*[
+    shares = F.sort_array(F.array_compact(F.array(*[
         F.when(F.col(f"_s{i}").isNotNull(), F.struct(F.col(f"_f{i}").alias("first"), (F.lit(float(w)) * F.col(f"_s{i}")).alias("share")))
         for i, w in enumerate(cfg.weights.values())])))
     conf = F.least(F.lit(1.0), F.aggregate(shares, F.lit(0.0), lambda a, p: a + p["share"]))
