@@ -35,6 +35,21 @@ def chunk_no(pos, size: float = CHUNK) -> Column:
     return F.floor(_col(pos) / F.lit(size)).cast("long")
 
 
+def unnest(df: DataFrame, keep, array: Column, name: str) -> DataFrame:
+    """One row per element of an array made by a costly expression.
+
+    A plain explode() would get a filter on the array's size in front of it and so work the expression out
+    twice; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def unnest_numbered(df: DataFrame, keep, array: Column, no: str, name: str) -> DataFrame:
+    """`unnest` with the 0-based place of the element."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(no, name)).filter(F.col(name).isNotNull())
+    return rows.withColumn(no, F.col(no).cast("long"))
+
+
 def _per_chunk(keys, order):
     return Window.partitionBy(*keys, "_b").orderBy(*order)
 
@@ -119,7 +134,7 @@ def with_halo(df: DataFrame, pos, *, size: float, before: float = 0, after: floa
     p = _col(pos)
     low = F.greatest(F.lit(0), chunk_no(p - F.lit(after), size))
     high = F.greatest(F.lit(0), chunk_no(p + F.lit(before), size))
-    return (df.withColumn("_chunk", F.explode(F.sequence(low, high)))
+    return (df.withColumn("_chunk", F.explode_outer(F.sequence(low, high)))
             .withColumn("_own", F.col("_chunk") == F.greatest(F.lit(0), chunk_no(p, size))))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK, chunk_no, islands, keys_of, with_halo
+from ..functions.ordered import CHUNK, chunk_no, islands, keys_of, unnest, with_halo
 
 # Floor of the amplitude and dynamic range in dB.
 AMIN = 1e-5
@@ -128,15 +128,13 @@ def merge_peaks(peaks: DataFrame, *, min_gap: float = 25.0, by="match_id", chunk
     summary = chunks.select(
         *keys, "_chunk", leave(none).alias("plain"),
         F.transform("early", lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("exits"))
-    entries = (summary.groupBy(*keys)
-               .agg(F.sort_array(F.collect_list(F.struct("_chunk", "plain", "exits"))).alias("cs"))
-               .withColumn("_walk", F.aggregate(
-                   "cs", F.struct(none.alias("s"), F.array().cast(f"array<struct<c:bigint,s:{kind}>>").alias("out")),
-                   lambda acc, c: F.struct(
-                       F.coalesce(F.get(F.filter(c["exits"], lambda x: x["entry"] == acc["s"]), F.lit(0))["exit"], c["plain"]).alias("s"),
-                       F.array_append(acc["out"], F.struct(c["_chunk"].alias("c"), acc["s"].alias("s"))).alias("out"))))
-               .select(*keys, F.explode("_walk.out").alias("_e"), F.element_at("cs", -1)["_chunk"].alias("_final"))
-               .select(*keys, F.col("_e.c").alias("_chunk"), F.col("_e.s").alias("_entry"), "_final"))
+    line = summary.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "plain", "exits"))).alias("cs"))
+    entries = unnest(line.withColumn("_final", F.element_at("cs", -1)["_chunk"]), [*keys, "_final"], F.aggregate(
+        "cs", F.struct(none.alias("s"), F.array().cast(f"array<struct<c:bigint,s:{kind}>>").alias("out")),
+        lambda acc, c: F.struct(
+            F.coalesce(F.get(F.filter(c["exits"], lambda x: x["entry"] == acc["s"]), F.lit(0))["exit"], c["plain"]).alias("s"),
+            F.array_append(acc["out"], F.struct(c["_chunk"].alias("c"), acc["s"].alias("s"))).alias("out")))["out"], "_e")
+    entries = entries.select(*keys, F.col("_e.c").alias("_chunk"), F.col("_e.s").alias("_entry"), "_final")
 
     def step(acc, p):
         closes = acc["s"].isNotNull() & (p["t"] - acc["s"]["t"] >= min_gap)
@@ -144,11 +142,9 @@ def merge_peaks(peaks: DataFrame, *, min_gap: float = 25.0, by="match_id", chunk
                         F.when(closes, F.array_append(acc["out"], acc["s"])).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.col("_entry").alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
-    kept = (chunks.join(entries, [*keys, "_chunk"])
-            .withColumn("_r", F.aggregate("own", start, step))
-            .withColumn("_k", F.when(F.col("_chunk") == F.col("_final"), F.array_append("_r.out", F.col("_r.s")))
-                        .otherwise(F.col("_r.out"))))
-    return kept.select(*keys, F.explode("_k").alias("_k")).select(*keys, "_k.t", "_k.z")
+    final = F.col("_chunk") == F.col("_final")
+    kept = F.aggregate("own", start, step, lambda acc: F.when(final, F.array_append(acc["out"], acc["s"])).otherwise(acc["out"]))
+    return unnest(chunks.join(entries, [*keys, "_chunk"]), keys, kept, "_k").select(*keys, "_k.t", "_k.z")
 
 
 def peak_signals(peaks: DataFrame, *, thr: float = 2.2, by="match_id") -> DataFrame:

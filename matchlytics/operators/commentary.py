@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEYWORDS, LABEL_MAP
+from ..functions.ordered import unnest
 from ..functions.text import strip
 
 
@@ -30,7 +31,7 @@ def keyword_signals(segments: DataFrame, keywords: dict | None = None, *, whole_
         hits.append(F.when(first.isNotNull(), F.struct(
             F.lit(kind).alias("kind_hint"), first.alias("phrase"),
             F.lit(0.7 if kind == "goal" else 0.5).alias("strength"))))
-    rows = segments.withColumn("_h", F.explode(F.array_compact(F.array(*hits))))
+    rows = unnest(segments, segments.columns, F.array_compact(F.array(*hits)), "_h")
     rest = [c for c in segments.columns if c not in ("start_s", "text")]
     return rows.select(*rest, F.col("start_s").alias("t"), F.lit("commentary").alias("source"), "_h.strength",
                        "_h.kind_hint", "_h.phrase", F.substring(strip(F.col("text")), 1, 120).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BrandConfig
-from ..functions.ordered import keys_of
+from ..functions.ordered import keys_of, unnest_numbered
 
 
 def _shown(value: Column) -> Column:
@@ -55,8 +55,7 @@ def overlay_schedule(clips: DataFrame, brand: BrandConfig | None = None, *, by="
     tail = [row(F.lit(True), F.lit(brand.watermark), "watermark")] if brand.show_watermark else []
     group = lambda rows: F.array_compact(F.array(*rows)).cast(f"array<{kind}>") if rows else F.array().cast(f"array<{kind}>")
     texts = F.concat(group(head), stacked.cast(f"array<{kind}>"), group(tail))
-    return (clips.select(*keys_of(by), F.posexplode(texts).alias("_i", "_o"))
-            .select(*keys_of(by), F.col("_i").cast("long").alias("overlay_no"), "_o.*"))
+    return unnest_numbered(clips, keys_of(by), texts, "overlay_no", "_o").select(*keys_of(by), "overlay_no", "_o.*")
 
 
 def _fill(template: str, **parts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BrandConfig, ReelConfig
-from ..functions.ordered import chunk_no, keys_of
+from ..functions.ordered import chunk_no, keys_of, unnest, unnest_numbered
 
 def _without_dominated(items, target: float):
     """Drops items that the greedy choice can never reach.
@@ -51,13 +51,13 @@ def select_reel(items: DataFrame, cfg: ReelConfig | None = None, *, by="reel_id"
     item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("nc"), F.col("ord").cast("long").alias("ord"),
                     d.cast("double").alias("d"), F.struct(*rest).alias("rest"))
     rows = items.select(*keys, item.alias("_x"), chunk_no("ord", chunk).alias("_c"))
-    thin = (rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_i"))
-            .select(*keys, F.explode(_without_dominated(F.col("_i"), cfg.target)).alias("_x")))
+    thin = (rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_i")))
+    thin = unnest(thin, keys, _without_dominated(F.col("_i"), cfg.target), "_x")
     chosen = (thin.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_i"))
               .select(*keys, _greedy(F.col("_i"), cfg.target, cfg.max_seconds).alias("_o")))
     in_time = F.sort_array(F.transform("_o", lambda x: F.struct(x["ord"].alias("ord"), x["d"].alias("duration"), x["rest"].alias("rest"))))
-    return (chosen.select(*keys, F.posexplode(in_time).alias("slot", "_x"))
-            .select(*keys, "_x.ord", "_x.duration", *[F.col(f"_x.rest.{c}") for c in rest], F.col("slot").cast("long").alias("slot")))
+    return unnest_numbered(chosen, keys, in_time, "slot", "_x").select(
+        *keys, "_x.ord", "_x.duration", *[F.col(f"_x.rest.{c}") for c in rest], "slot")
 
 
 def segments():
@@ -82,8 +82,7 @@ def timeline_parts(brand: BrandConfig, intro: bool = True, outro: bool = True):
 
 
 def explode_parts(reels: DataFrame, parts, *keep) -> DataFrame:
-    return (reels.select(*keep, F.posexplode(parts).alias("part_no", "_p"))
-            .select(*keep, F.col("part_no").cast("long").alias("part_no"), "_p.*"))
+    return unnest_numbered(reels, keep, parts, "part_no", "_p").select(*keep, "part_no", "_p.*")
 
 
 def reel_timeline(chosen: DataFrame, brand: BrandConfig | None = None, *, by="reel_id",

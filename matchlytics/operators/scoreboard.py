@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import truncate
-from ..functions.ordered import chunk_no, keys_of
+from ..functions.ordered import chunk_no, keys_of, unnest
 from ..functions.text import parse_minute, parse_score
 
 # Fixed value: default region, top 18 % by left 55 % of the frame.
@@ -71,16 +71,14 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     summary = reads.select(
         *keys, "_b", leave(none).alias("plain"),
         F.transform(starts, lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("exits"))
-    entries = (summary.groupBy(*keys)
-               .agg(F.sort_array(F.collect_list(F.struct("_b", "plain", "exits"))).alias("cs"))
-               .select(*keys, F.aggregate(
-                   "cs", F.struct(none.alias("s"), F.array().cast("array<struct<b:bigint,s:bigint>>").alias("out")),
-                   lambda acc, c: F.struct(
-                       F.when(acc["s"].isNull(), c["plain"]).otherwise(
-                           F.coalesce(F.get(F.filter(c["exits"], lambda x: x["entry"] == acc["s"]), F.lit(0))["exit"], acc["s"])).alias("s"),
-                       F.array_append(acc["out"], F.struct(c["_b"].alias("b"), acc["s"].alias("s"))).alias("out")))["out"].alias("out"))
-               .select(*keys, F.explode("out").alias("_e"))
-               .select(*keys, F.col("_e.b").alias("_b"), F.col("_e.s").alias("_entry")))
+    line = summary.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "plain", "exits"))).alias("cs"))
+    entries = unnest(line, keys, F.aggregate(
+        "cs", F.struct(none.alias("s"), F.array().cast("array<struct<b:bigint,s:bigint>>").alias("out")),
+        lambda acc, c: F.struct(
+            F.when(acc["s"].isNull(), c["plain"]).otherwise(F.coalesce(
+                F.get(F.filter(c["exits"], lambda x: x["entry"] == acc["s"]), F.lit(0))["exit"], acc["s"])).alias("s"),
+            F.array_append(acc["out"], F.struct(c["_b"].alias("b"), acc["s"].alias("s"))).alias("out")))["out"], "_e")
+    entries = entries.select(*keys, F.col("_e.b").alias("_b"), F.col("_e.s").alias("_entry"))
 
     def emit(acc, r):
         moved = acc["s"].isNotNull() & _moves(acc["s"], r["code"])
@@ -92,7 +90,6 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     fields = "t:double,seq:bigint,code:bigint,prev:bigint,minute:int"
     start = F.struct(F.col("_entry").alias("s"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
     shown = lambda c: F.concat_ws("-", F.floor(c / HOME), c % HOME)
-    return (reads.join(entries, [*keys, "_b"])
-            .select(*keys, F.explode(F.aggregate("rs", start, emit)["out"]).alias("c"))
+    return (unnest(reads.join(entries, [*keys, "_b"]), keys, F.aggregate("rs", start, emit)["out"], "c")
             .select(*keys, "c.t", "c.seq", F.lit("scoreboard_ocr").alias("source"), F.lit(1.0).alias("strength"),
                     shown(F.col("c.code")).alias("score"), shown(F.col("c.prev")).alias("prev"), "c.minute"))

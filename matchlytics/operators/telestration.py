@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import truncate
-from ..functions.ordered import CHUNK, chunk_no, keys_of, with_halo, with_position
+from ..functions.ordered import CHUNK, chunk_no, keys_of, unnest_numbered, with_halo, with_position
 from .stats import key_points
 
 # Fixed values, in pixels: ellipse offset and axes, zone reach and half height.
@@ -74,5 +74,4 @@ def motion_path(path: DataFrame, frames: DataFrame, *, back: int = 30, min_point
 
         rows = rows.withColumn("_pts", F.transform(
             F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(box(i, "x").alias("x"), box(i, "y").alias("y"))))
-    return (rows.select(*keys, "frame", F.posexplode("_pts").alias("point", "_p"))
-            .select(*keys, "frame", F.col("point").cast("long").alias("point"), "_p.x", "_p.y"))
+    return unnest_numbered(rows, [*keys, "frame"], F.col("_pts"), "point", "_p").select(*keys, "frame", "point", "_p.x", "_p.y")

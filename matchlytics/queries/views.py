@@ -28,8 +28,15 @@ def view(name: str, sql: str):
     return add
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """One of the given tables; its schema is looked up in the files once per path."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 _SIGNALS = """
