@@ -138,13 +138,14 @@ def with_halo(df: DataFrame, pos, *, size: float, before: float = 0, after: floa
             .withColumn("_own", F.col("_chunk") == F.greatest(F.lit(0), chunk_no(p, size))))
 
 
-def islands(df: DataFrame, by, pos: str, best: Column, *, size: int = CHUNK) -> DataFrame:
+def islands(df: DataFrame, by, pos: str, best: Column, *, size: int = CHUNK, chunked: str | None = None) -> DataFrame:
     """Runs of consecutive integer positions: first and last position, row count and the greatest `best`.
 
     Runs are built per chunk; only runs that touch a chunk border (two per chunk at most) are stitched per key.
+    `chunked` names a column that already holds chunk_no(pos, size): rows partitioned by it stay where they are.
     """
     keys = keys_of(by)
-    rows = df.withColumn("_b", chunk_no(pos, size)).withColumn("_best", best)
+    rows = (df.withColumn("_b", chunk_no(pos, size)) if chunked is None else df.withColumnRenamed(chunked, "_b")).withColumn("_best", best)
     rows = rows.withColumn("_run", F.col(pos) - F.row_number().over(_per_chunk(keys, [pos])))
     runs = rows.groupBy(*keys, "_b", "_run").agg(
         F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"),

@@ -78,22 +78,27 @@ def rolling_z(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "z"
     return rows.withColumn(name, _zscore(col, w, step)).filter("_own").select(*df.columns, name)
 
 
-def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match_id",
-               chunk: int = CHUNK) -> DataFrame:
-    """`moving_avg` then `rolling_z` with one exchange: the halo covers the reach of both."""
+def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match_id", chunk: int = CHUNK,
+               keep_chunk: bool = False) -> DataFrame:
+    """`moving_avg` then `rolling_z` with one exchange: the halo covers the reach of both.
+
+    `keep_chunk` keeps the chunk number, by which the rows stay partitioned, for `audio_peaks`.
+    """
     reach = baseline // 2 + smooth
     rows = with_halo(df, "idx", size=chunk, before=reach, after=reach)
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
     averaged = _average(col, smooth, step) if smooth > 1 else F.col(col)
     rows = rows.withColumn("smooth", averaged)
-    return rows.withColumn("z", _zscore("smooth", baseline, step)).filter("_own").select(*df.columns, "smooth", "z")
+    rows = rows.withColumn("z", _zscore("smooth", baseline, step)).filter("_own")
+    return rows.select(*df.columns, "smooth", "z", *(["_chunk"] if keep_chunk else []))
 
 
 def audio_peaks(df: DataFrame, *, thr: float = 2.2, by="match_id", chunk: int = CHUNK) -> DataFrame:
     """Highest frame (first on ties) of each run of consecutive frames with z > thr."""
     keys = keys_of(by)
     best = F.struct(F.col("z").alias("z"), (-F.col("idx")).alias("neg"), F.col("t").alias("t"))
-    runs = islands(df.filter(F.col("z") > thr), by, "idx", best, size=chunk)
+    chunked = "_chunk" if "_chunk" in df.columns else None
+    runs = islands(df.filter(F.col("z") > thr), by, "idx", best, size=chunk, chunked=chunked)
     return runs.select(*keys, (-F.col("best.neg")).alias("idx"), F.col("best.t").alias("t"),
                        F.col("best.z").alias("z"), "n")
 

@@ -59,9 +59,10 @@ def _pending(spark, d):
     return state.pending(v.durations(spark, d).select("match_id"), _done(spark, d), config_hash=HASH)
 
 
-@query("run_result_json")
+@query("run_result_json", """select match_id, cast(to_json({match_id: match_id, moments: count(*), goals: count(*) filter (where kind = 'goal'), n_ok: count(*), n_failed: 0, status: 'ok', mode: 'per_clip',
+  clips: list({clip_no: clip_no, kind: kind, confidence: confidence, t: round(t, 3), minute: minute, status: 'ok'} order by clip_no)}) as string) as document from o_cuts group by match_id""")
 def _documents(spark, d):
-    clips = _cuts(spark, d).withColumn("status", F.lit("ok"))
+    clips = _cuts(spark, d).withColumn("status", F.lit("ok")).withColumn("t", F.round("t", 3))
     return state.result_documents(overlays.run_summary(clips), clips)
 
 
@@ -570,7 +571,19 @@ def _reel_caption(spark, d):
 
 
 # ---- models --------------------------------------------------------------------------------------------
-@query("team_kmeans")
+o.step("o_f", "select cast(floor(vec_id/5e1) as bigint) as clip_id, vec_id % 50 as frame, vec_id as track_id, cast(embedding as double[]) as f from embeddings")
+_MEAN = "select {k}, list(m order by i) as c from (select {k}, i, avg(x) as m from (select {k}, unnest(f) as x, unnest(range(64)) as i from {src}) q group by {k}, i) r group by {k}"
+o.step("o_m0", _MEAN.format(k="clip_id", src="o_f"))
+o.step("o_c0", "select clip_id, first(f order by list_distance(f, c) desc, frame) as c from o_f join o_m0 using (clip_id) group by clip_id")
+o.step("o_k0", "select clip_id, any_value(c) as a, first(f order by list_distance(f, c) desc, frame) as b from o_f join o_c0 using (clip_id) group by clip_id")
+for _i in range(4):
+    o.step(f"o_l{_i}", f"select o_f.*, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k{_i} using (clip_id)")
+    o.step(f"o_n{_i}", _MEAN.format(k="clip_id, label", src=f"o_l{_i}"))
+    o.step(f"o_k{_i + 1}", f"""select k.clip_id, coalesce((select c from o_n{_i} n where n.clip_id = k.clip_id and label = 0), k.a) as a,
+      coalesce((select c from o_n{_i} n where n.clip_id = k.clip_id and label = 1), k.b) as b from o_k{_i} k""")
+
+
+@query("team_kmeans", "select clip_id, frame, track_id, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k4 using (clip_id)")
 def _kmeans(spark, d):
     rows = v.table(spark, d, "embeddings").selectExpr(
         "cast(floor(vec_id/5e1) as bigint) as clip_id", "vec_id % 50 as frame", "vec_id as track_id", "cast(embedding as array<double>) as feature")

@@ -19,5 +19,5 @@ def triage_log(lines: DataFrame, *, by="run_id", keywords=LOG_KEYWORDS, tail: in
     late = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("line_no")))
     errors = first.withColumn("_r", late).filter(F.col("_r") <= tail).withColumn("flagged", F.lit(True))
     quiet = (lines.select(*keys, "line", "line_no").withColumn("_r", late).filter(F.col("_r") <= tail)
-             .join(flagged.select(*keys).distinct(), keys, "left_anti").withColumn("flagged", F.lit(False)))
+             .join(errors.select(*keys).distinct(), keys, "left_anti").withColumn("flagged", F.lit(False)))
     return errors.unionByName(quiet).select(*keys, "line_no", "line", "flagged")
