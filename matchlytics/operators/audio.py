@@ -62,20 +62,21 @@ def moving_avg(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "s
     return rows.withColumn(name, _average(col, w, step)).filter("_own").select(*df.columns, name)
 
 
-def _zscore(col: str, w: int, window) -> Column:
+def _with_zscore(rows: DataFrame, col: str, w: int, window, name: str) -> DataFrame:
     near = window.rowsBetween(-(w // 2), w // 2)
-    sorted_near = F.sort_array(F.collect_list(col).over(near))
-    n = F.size(sorted_near)
-    low = F.element_at(sorted_near, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(sorted_near, F.floor(n / 2).cast("int") + 1)
-    return (F.col(col) - (low + high) / 2) / (F.stddev_pop(col).over(near) + 1e-6)
+    # sorted once per row in a step of its own
+    rows = rows.withColumn("_spread", F.stddev_pop(col).over(near)).withColumn("_near", F.sort_array(F.collect_list(col).over(near)))
+    n = F.size("_near")
+    low = F.element_at("_near", F.floor((n + 1) / 2).cast("int"))
+    high = F.element_at("_near", F.floor(n / 2).cast("int") + 1)
+    return rows.withColumn(name, (F.col(col) - (low + high) / 2) / (F.col("_spread") + 1e-6))
 
 
 def rolling_z(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "z", chunk: int = CHUNK) -> DataFrame:
     """Distance from the rolling median in rolling standard deviations, over +-w/2 rows along dense `idx`."""
     rows = with_halo(df, "idx", size=chunk, before=w // 2, after=w // 2)
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
-    return rows.withColumn(name, _zscore(col, w, step)).filter("_own").select(*df.columns, name)
+    return _with_zscore(rows, col, w, step, name).filter("_own").select(*df.columns, name)
 
 
 def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match_id", chunk: int = CHUNK,
@@ -89,7 +90,7 @@ def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
     averaged = _average(col, smooth, step) if smooth > 1 else F.col(col)
     rows = rows.withColumn("smooth", averaged)
-    rows = rows.withColumn("z", _zscore("smooth", baseline, step)).filter("_own")
+    rows = _with_zscore(rows, "smooth", baseline, step, "z").filter("_own")
     return rows.select(*df.columns, "smooth", "z", *(["_chunk"] if keep_chunk else []))
 
 

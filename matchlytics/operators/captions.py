@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import CHUNK, chunk_no, keys_of, with_position
@@ -48,12 +48,17 @@ def signals_in_moments(signals: DataFrame, moments: DataFrame, *, by="match_id",
     return points_in_intervals(signals, windows, by=by, t="t", start="start_s", end="end_s", width=width)
 
 
-def round_robin(df: DataFrame, pool, *, by=("match_id", "kind"), order=("t",), bucket, name: str = "pick") -> DataFrame:
+def round_robin(df: DataFrame, pool, *, by=("match_id", "kind"), order=("t",), bucket=None, name: str = "pick") -> DataFrame:
     """Takes the entries of a list in turn, counted per `by` in `order`.
 
-    `pool` is a list, or a dict of lists by kind; kinds without entries use those of 'goal'.
+    `pool` is a list, or a dict of lists by kind; kinds without entries use those of 'goal'. Without `bucket`
+    each group is numbered in one window: only for groups of bounded size, such as the top moments of a match.
     """
-    rows = with_position(df, by, list(order), bucket=bucket, name="_turn")
+    if bucket is None:
+        turn = F.row_number().over(Window.partitionBy(*keys_of(by)).orderBy(*order)) - 1
+        rows = df.withColumn("_turn", turn.cast("long"))
+    else:
+        rows = with_position(df, by, list(order), bucket=bucket, name="_turn")
     if isinstance(pool, dict):
         spare = pool.get("goal") or []
         entries = F.lit(spare).cast("array<string>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AudioConfig, BrandConfig, ReelConfig
-from ..functions.ordered import CHUNK, chunk_no, keys_of
+from ..functions.ordered import CHUNK, keys_of
 from ..operators import audio, captions, effects, overlays, reel, scoreboard, stats, tracking
 from ..operators.fusion import detect_moments
 
@@ -56,9 +56,10 @@ def overlay_plan(cuts: DataFrame, clip_stats: DataFrame, brand: BrandConfig | No
     """
     brand = brand or BrandConfig()
     keys = keys_of(by)
-    rows = captions.round_robin(cuts.join(clip_stats, clip_key, "left"), brand.hooks, by=[*keys, "kind"],
-                                order=("t", "clip_no"), bucket=chunk_no("t", 600.0), name="hook")
-    return overlays.overlay_schedule(overlays.clip_caption(rows, brand), brand, by=[*keys, "clip_no", clip_key, "caption"])
+    # the moments of a match are its top k, so their turns are counted in one short window
+    rows = captions.round_robin(cuts, brand.hooks, by=[*keys, "kind"], order=("t", "clip_no"), name="hook")
+    rows = overlays.clip_caption(rows.join(clip_stats, clip_key, "left"), brand)
+    return overlays.overlay_schedule(rows, brand, by=[*keys, "clip_no", clip_key, "caption"])
 
 
 __all__ = ["audio_signals", "scoreboard_signals", "clip_analytics", "reel_plan", "overlay_plan", "detect_moments"]
