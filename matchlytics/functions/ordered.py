@@ -126,6 +126,49 @@ def carry_last(df: DataFrame, by, order: list[str], col: str, *, bucket: Column,
     return out.select(*[c for c in df.columns if c != name], F.col("_near").alias(name))
 
 
+def over_pairs(df: DataFrame, by, order: list[str], cols: list[str], values, *, bucket: Column, const=()) -> DataFrame:
+    """Aggregates over pairs of consecutive rows of a key, in one pass and without a join.
+
+    `values(before, row)` gets two structs of `cols` and gives {name: ("sum" | "max", expression)}. A chunk keeps
+    its aggregates, its first and its last row; per key only the pairs across chunk borders are added to them.
+    Keys with one row come out with nulls. `const` names entries of `cols` that are the same in all rows of a key.
+    """
+    keys = keys_of(by)
+    rows = df.select(*keys, bucket.alias("_b"), F.struct(*order).alias("_at"), F.struct(*cols).alias("_row"))
+    rows = rows.withColumn("_prev", F.lag("_row").over(_per_chunk(keys, ["_at"])))
+    inside = values(F.col("_prev"), F.col("_row"))
+    add = {"sum": F.sum, "max": F.max}
+    chunks = rows.groupBy(*keys, "_b").agg(
+        *[add[kind](F.when(F.col("_prev").isNotNull(), v)).alias(n) for n, (kind, v) in inside.items()],
+        F.min_by("_row", "_at").alias("_first"), F.max_by("_row", "_at").alias("_last"))
+    chunks = chunks.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+    border = values(F.col("_prev"), F.col("_first"))
+
+    def both(n, kind, v):
+        edge = F.when(F.col("_prev").isNotNull(), v)
+        if kind == "max":
+            return F.max(F.greatest(F.col(n), edge)).alias(n)
+        known = F.coalesce(F.col(n), edge).isNotNull()
+        return F.sum(F.when(known, F.coalesce(F.col(n), F.lit(0)) + F.coalesce(edge, F.lit(0)))).alias(n)
+
+    same = [F.max(F.col("_first")[c]).alias(c) for c in const]
+    return chunks.groupBy(*keys).agg(*[both(n, kind, v) for n, (kind, v) in border.items()], *same)
+
+
+def last_rows(df: DataFrame, by, order: str, n: Column, *, bucket: Column) -> DataFrame:
+    """The last n rows of each key, where `n` is a column that is constant per key and null means all.
+
+    Each chunk keeps its own last n first, so a key brings n rows per chunk together.
+    """
+    keys = keys_of(by)
+    late = lambda part: F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.desc(order)))
+    rows = df.withColumn("_n", n).withColumn("_b", bucket)
+    rows = rows.withColumn("_r", late("_b")).filter(F.col("_n").isNull() | (F.col("_r") <= F.col("_n")))
+    rows = rows.withColumn("_lane", F.when(F.col("_n").isNull(), F.col("_b")).otherwise(-1))
+    rows = rows.withColumn("_r", late("_lane")).filter(F.col("_n").isNull() | (F.col("_r") <= F.col("_n")))
+    return rows.select(*df.columns)
+
+
 def with_halo(df: DataFrame, pos, *, size: float, before: float = 0, after: float = 0) -> DataFrame:
     """Copies each row into every chunk it can influence: `_chunk`, and `_own` for the chunk it belongs to.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from ..functions.ordered import CHUNK, chunk_no, keys_of, previous, with_position
+from ..functions.ordered import CHUNK, chunk_no, keys_of, last_rows, over_pairs
 from .pitch import calib_coverage, to_pitch
 
 # Metres that span the frame width without calibration, coverage needed for metric mode.
@@ -38,25 +38,27 @@ def _in_mode(points: DataFrame, homography: DataFrame | None, x: str, y: str, by
     return rows.withColumns({"px": flat("px", x), "py": flat("py", y)}).filter(F.col("px").isNotNull()).select(*points.columns, "px", "py")
 
 
-def _measure(points: DataFrame, order, by, chunk, *, max_jump: float = 12.0, max_kmh: float = 45.0,
-             px_per_m: float | None = None) -> DataFrame:
-    """Length in metres and top speed along (px, py) of rows that carry metric, fps and width.
+_MODE = ["metric", "fps", "width"]
+
+
+def _steps(before, row, max_jump: float, max_kmh: float, px_per_m: float | None):
+    """Length in metres and speed of one step between two points (px, py, frame, metric, fps, width).
 
     In metric clips steps beyond `max_jump` metres count for neither; pixel clips have no speed.
     """
-    steps = previous(points, by, list(order), ["px", "py", "frame"], bucket=chunk_no("frame", chunk))
-    d = distance(F.col("prev_px"), F.col("prev_py"), F.col("px"), F.col("py"))
-    fps = F.when(F.coalesce(F.col("fps"), F.lit(0.0)) == 0, F.lit(30.0)).otherwise(F.col("fps"))
-    steps = steps.withColumn("_d", d).withColumn(
-        "_v", F.col("_d") / (F.greatest(F.lit(1), F.col("frame") - F.col("prev_frame")) / fps) * 3.6)
-    metric, real = F.col("metric"), F.col("_d") <= max_jump
-    scale = F.lit(float(px_per_m)) if px_per_m is not None else F.col("width") / FRAME_SPAN_M
-    zero = F.lit(0.0)
-    return steps.groupBy(*keys_of(by)).agg(
-        F.coalesce(F.sum(F.when(metric & real, F.col("_d")).when(~metric, F.col("_d"))), zero).alias("_len"),
-        F.coalesce(F.max(F.when(metric & real & (F.col("_v") < max_kmh), F.col("_v"))), zero).alias("top_speed_kmh"),
-        F.max(F.when(metric, F.lit(1.0)).otherwise(scale)).alias("_scale"), F.bool_or(metric).alias("metric")).select(
-            *keys_of(by), "metric", (F.col("_len") / F.col("_scale")).alias("distance_m"), "top_speed_kmh")
+    d = distance(before["px"], before["py"], row["px"], row["py"])
+    fps = F.when(F.coalesce(row["fps"], F.lit(0.0)) == 0, F.lit(30.0)).otherwise(row["fps"])
+    speed = d / (F.greatest(F.lit(1), row["frame"] - before["frame"]) / fps) * 3.6
+    scale = F.lit(float(px_per_m)) if px_per_m is not None else row["width"] / FRAME_SPAN_M
+    real = row["metric"] & (d <= max_jump)
+    return {"distance_m": ("sum", F.when(real, d).when(~row["metric"], d / scale)),
+            "top_speed_kmh": ("max", F.when(real & (speed < max_kmh), speed))}
+
+
+def _measure(points: DataFrame, order, by, chunk, *, max_jump: float = 12.0, max_kmh: float = 45.0,
+             px_per_m: float | None = None) -> DataFrame:
+    steps = lambda before, row: _steps(before, row, max_jump, max_kmh, px_per_m)
+    return over_pairs(points, by, list(order), ["px", "py", "frame", *_MODE], steps, bucket=chunk_no("frame", chunk), const=["metric"])
 
 
 def player_run(players: DataFrame, key: DataFrame, clips: DataFrame, homography: DataFrame | None = None, *,
@@ -64,8 +66,7 @@ def player_run(players: DataFrame, key: DataFrame, clips: DataFrame, homography:
                max_kmh: float = 45.0, by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Distance and top speed of each clip's key player; 0 for clips whose player has fewer than two points."""
     keys, order = keys_of(by), ["frame", "det_ord"]
-    mode = _with_mode(clips, homography, keys, metric, by)
-    who = key.select(*keys, F.col("key_track_id").alias("track_id")).join(mode, keys)
+    who = key.select(*keys, F.col("key_track_id").alias("track_id")).join(_with_mode(clips, homography, keys, metric, by), keys)
     points = _in_mode(players.join(who, [*keys, "track_id"]), homography, "cx", "cy", by)
     path = _measure(points, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh, px_per_m=px_per_m)
     zero = F.lit(0.0)
@@ -81,14 +82,53 @@ def ball_shot(ball_path: DataFrame, clips: DataFrame, homography: DataFrame | No
     Metric clips use two points at least, before points without map drop out, and give null instead of 0; in
     pixel clips 0 points mean the whole path.
     """
+    keys, bucket = keys_of(by), chunk_no("frame", chunk)
+    half = F.floor(F.col("fps") / 2).cast("long")
+    n = F.when(F.col("metric"), F.greatest(F.lit(2), half)).otherwise(F.nullif(half, F.lit(0)))
+    rows = ball_path.join(_with_mode(clips, homography, keys, metric, by), keys)
+    points = _in_mode(last_rows(rows, by, "frame", n, bucket=bucket), homography, "ball_x", "ball_y", by)
+
+    path = _measure(points, ["frame"], by, chunk, max_jump=max_jump, px_per_m=px_per_m)
+    # a single point has no length: 0 in pixel clips, nothing in metric ones
+    return path.select(*keys, F.when(F.col("metric"), F.nullif("distance_m", F.lit(0.0)))
+                       .otherwise(F.coalesce("distance_m", F.lit(0.0))).alias("shot_distance_m"))
+
+
+def player_measures(players: DataFrame, key: DataFrame, clips: DataFrame, homography: DataFrame | None = None, *,
+                    px_per_m: float | None = None, cap: int = 6, by="clip_id", chunk: int = CHUNK) -> DataFrame:
+    """`player_run` and `players_beaten` of every clip with a key player, reading players and key once.
+
+    Key rows carry their pitch position, other rows their x relative to the key player of the frame; both are
+    series per track, so one pass over pairs of rows measures all of them.
+    """
     keys = keys_of(by)
-    rows = with_position(ball_path, by, ["frame"], bucket=chunk_no("frame", chunk), name="_pos", total="_tot")
-    rows = rows.join(_with_mode(clips, homography, keys, metric, by), keys)
-    n = F.floor(F.col("fps") / 2).cast("long")
-    n = F.when(F.col("metric"), F.greatest(F.lit(2), n)).when(n == 0, F.col("_tot")).otherwise(n)
-    tail = rows.filter(F.col("_pos") >= F.col("_tot") - n)
-    path = _measure(_in_mode(tail, homography, "ball_x", "ball_y", by), ["frame"], by, chunk, max_jump=max_jump, px_per_m=px_per_m)
-    return path.select(*keys, F.when(F.col("metric"), F.nullif("distance_m", F.lit(0.0))).otherwise(F.col("distance_m")).alias("shot_distance_m"))
+    who = key.select(*keys, "key_track_id").join(_with_mode(clips, homography, keys, None, by), keys)
+    rows = players.join(who, keys).withColumn("_is", F.col("track_id") == F.col("key_track_id"))
+    here = Window.partitionBy(*keys, "frame")
+    own = F.when(F.col("_is"), F.struct("det_ord", "cx"))
+    rows = rows.withColumn("rel", F.col("cx") - F.min(own).over(here)["cx"])
+    if homography is None:
+        rows = rows.withColumns({"px": F.col("cx"), "py": F.col("cy")})
+    else:
+        rows = to_pitch(rows, homography, by=by)
+        flat = lambda pitch, image: F.when(F.col("metric"), F.col(pitch)).otherwise(F.col(image))
+        rows = rows.withColumns({"px": flat("px", "cx"), "py": flat("py", "cy")})
+    rows = rows.filter(F.when(F.col("_is"), F.col("px").isNotNull()).otherwise(F.col("rel").isNotNull()))
+
+    def steps(before, row):
+        measured = _steps(before, row, 12.0, 45.0, px_per_m)
+        only = {n: (kind, F.when(row["_is"], v)) for n, (kind, v) in measured.items()}
+        passed = ~row["_is"] & (before["rel"] < 0) & (row["rel"] >= 0)
+        return {**only, "passed": ("max", passed.cast("int"))}
+
+    tracks = over_pairs(rows, [*keys, "track_id"], ["frame", "det_ord"], ["px", "py", "frame", "rel", "_is", *_MODE], steps,
+                        bucket=chunk_no("frame", chunk))
+    zero = F.lit(0.0)
+    total = tracks.groupBy(*keys).agg(F.max("distance_m").alias("_run"), F.max("top_speed_kmh").alias("_top"), F.sum("passed").alias("_n"))
+    return (who.join(total, keys, "left").select(
+        *keys, "key_track_id", "metric", F.coalesce("_run", zero).alias("sprint_distance_m"),
+        F.when(F.col("metric"), F.coalesce("_top", zero)).alias("top_speed_kmh"),
+        F.least(F.lit(cap), F.coalesce("_n", F.lit(0))).cast("long").alias("players_beaten")))
 
 
 def pixel_distance(players: DataFrame, key: DataFrame, clips: DataFrame, *, px_per_m: float | None = None,
@@ -107,7 +147,9 @@ def metric_path(points: DataFrame, clips: DataFrame, *, max_jump: float = 12.0,
                 order=("frame",), by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Distance and top speed along pitch points (px, py); jumps beyond `max_jump` metres count for neither."""
     rows = points.filter(F.col("px").isNotNull()).join(_with_mode(clips, None, keys_of(by), True, by), keys_of(by))
-    return _measure(rows, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh)
+    zero = F.lit(0.0)
+    return _measure(rows, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh).select(
+        *keys_of(by), F.coalesce("distance_m", zero).alias("distance_m"), F.coalesce("top_speed_kmh", zero).alias("top_speed_kmh"))
 
 
 def metric_distance(players: DataFrame, key: DataFrame, homography: DataFrame, clips: DataFrame, *,
@@ -129,10 +171,10 @@ def players_beaten(players: DataFrame, key: DataFrame, *, cap: int = 6, by="clip
            .agg(F.min_by("cx", "det_ord").alias("_kx"), F.first("track_id").alias("_key")))
     others = (players.join(own, [*keys, "frame"]).filter(F.col("track_id") != F.col("_key"))
               .select(*keys, "track_id", "frame", "det_ord", (F.col("cx") - F.col("_kx")).alias("rel")))
-    steps = previous(others, [*keys, "track_id"], ["frame", "det_ord"], ["rel"], bucket=chunk_no("frame", chunk))
-    passed = (steps.filter((F.col("prev_rel") < 0) & (F.col("rel") >= 0)).select(*keys, "track_id").distinct()
-              .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    return (key.select(*keys).join(passed, keys, "left")
+    passed = lambda before, row: {"passed": ("max", ((before["rel"] < 0) & (row["rel"] >= 0)).cast("int"))}
+    tracks = over_pairs(others, [*keys, "track_id"], ["frame", "det_ord"], ["rel"], passed, bucket=chunk_no("frame", chunk))
+    count = tracks.groupBy(*keys).agg(F.sum("passed").alias("_n"))
+    return (key.select(*keys).join(count, keys, "left")
             .select(*keys, F.least(F.lit(cap), F.coalesce("_n", F.lit(0))).cast("long").alias("players_beaten")))
 
 
@@ -142,8 +184,7 @@ def clip_stats(players: DataFrame, ball_path: DataFrame, key: DataFrame, clips:
     """One row per clip; metric when more than half of its frames are calibrated, else from pixels."""
     keys = keys_of(by)
     return (_with_mode(clips, homography, keys, None, by).select(*keys, "metric")
-            .join(player_run(players, key, clips, homography, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
+            .join(player_measures(players, key, clips, homography, px_per_m=px_per_m, by=by, chunk=chunk).drop("metric"), keys, "left")
             .join(ball_shot(ball_path, clips, homography, px_per_m=px_per_m, by=by, chunk=chunk), keys, "left")
-            .join(players_beaten(players, key, by=by, chunk=chunk), keys, "left")
-            .select(*keys, "metric", "sprint_distance_m", "top_speed_kmh", "shot_distance_m",
+            .select(*keys, "key_track_id", "metric", "sprint_distance_m", "top_speed_kmh", "shot_distance_m",
                     F.coalesce("players_beaten", F.lit(0)).cast("long").alias("players_beaten")))

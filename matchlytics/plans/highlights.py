@@ -34,8 +34,7 @@ def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, t
     path = tracking.interpolate_ball(ball, by=by, chunk=chunk)
     key = (tracking.key_player(players, ball, clips, by=by) if teams is None
            else tracking.key_player_possession(players, ball, clips, teams, by=by)).select(*keys, "key_track_id")
-    return (stats.clip_stats(players, path, key, clips, homography, by=by, chunk=chunk)
-            .join(key, keys, "left"))
+    return stats.clip_stats(players, path, key, clips, homography, by=by, chunk=chunk)
 
 
 def reel_plan(moments: DataFrame, cfg: ReelConfig | None = None, brand: BrandConfig | None = None, *,

@@ -457,7 +457,7 @@ _STATS = ("sprint_distance_m", "top_speed_kmh", "shot_distance_m")
 
 @query("clip_stats", f"select clip_id, metric, {r6(*_STATS)}, players_beaten from o_stats")
 def _stats(spark, d):
-    return _r6(stats.clip_stats(v.players(spark, d), _path(spark, d), _key(spark, d), v.clips(spark, d), v.homography(spark, d)), *_STATS)
+    return _r6(stats.clip_stats(v.players(spark, d), _path(spark, d), _key(spark, d), v.clips(spark, d), v.homography(spark, d)).drop("key_track_id"), *_STATS)
 
 
 # ---- top-k, union --------------------------------------------------------------------------------------

@@ -106,3 +106,16 @@ def test_interval_join_is_closed_and_complete(spark):
     i = spark.createDataFrame(ivs, "k string, n int, s double, e double")
     got = sorted((r.t, r.n) for r in points_in_intervals(p, i, by="k", t="t", start="s", end="e", width=5.0).collect())
     assert got == sorted((t, n) for _, t in pts for _, n, s, e in ivs if s <= t <= e)
+
+
+def test_over_pairs_and_last_rows(frame, size):
+    from matchlytics.functions.ordered import last_rows, over_pairs
+    values = lambda a, b: {"gap": ("sum", b["p"] - a["p"]), "jump": ("max", b["i"] - a["i"]), "never": ("sum", F.when(b["p"] < a["p"], b["p"]))}
+    got = {r.k: (r.gap, r.jump, r.never) for r in over_pairs(frame, "k", ["p"], ["p", "i"], values, bucket=chunk_no("p", size)).collect()}
+    for k, rows in by_key(data(3)).items():
+        pairs = list(zip(rows, rows[1:]))
+        assert got[k] == ((sum(b[1] - a[1] for a, b in pairs), max(b[3] - a[3] for a, b in pairs), None) if pairs else (None, None, None))
+    n = F.when(F.col("k") == "hot", 5).when(F.col("k") == "a", None).otherwise(3)
+    tail = sorted((r.k, r.p) for r in last_rows(frame, "k", "p", n, bucket=chunk_no("p", size)).collect())
+    want = [(k, r[1]) for k, rows in by_key(data(3)).items() for r in (rows[-5:] if k == "hot" else rows)]
+    assert tail == sorted(want)
