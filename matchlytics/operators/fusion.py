@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DETECTOR_ORDER, FusionConfig, MomentConfig, PadConfig
 from ..functions.numbers import round_exact
 from ..functions.ordered import keys_of
-
-META = {"zscore": "double", "short_scenes": "bigint", "score": "string", "prev": "string", "minute": "int",
-        "kind_hint": "string", "phrase": "string", "text": "string", "label": "string"}
-
+from ..schemas import SIGNAL_META
 
 # One bit per label a cluster can get from its signals, so that a single bit_or keeps them all
 SPOT_BITS = {"goal": 1, "card": 2, "save": 4, "chance": 8}
@@ -54,11 +51,11 @@ def all_signals(*detectors: DataFrame, by="match_id") -> DataFrame:
         if "seq" not in d.columns:
             d = d.withColumn("seq", F.lit(0).cast("long"))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    for name, kind in META.items():
+    for name, kind in SIGNAL_META.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
     return out.select(*keys_of(by), "t", detector_rank().alias("det"), F.col("seq").cast("long").alias("seq"),
-                      "source", "strength", *[F.col(n).cast(k).alias(n) for n, k in META.items()])
+                      "source", "strength", *[F.col(n).cast(k).alias(n) for n, k in SIGNAL_META.items()])
 
 
 def _cell(gap: float) -> Column:
@@ -164,10 +161,13 @@ def limit_moments(df: DataFrame, n: int, *, by="match_id") -> DataFrame:
 
 
 def pad_moments(moments: DataFrame, durations: DataFrame, pads: PadConfig | None = None, *, by="match_id") -> DataFrame:
-    """Adds `start_s`, `end_s`: the moment with lead-in and aftermath, inside the match."""
+    """Adds `start_s`, `end_s`: the moment with lead-in and aftermath, inside the match.
+
+    A match of unknown duration keeps its moments, with ends that are not cut.
+    """
     pads = pads or PadConfig()
     goal = F.col("kind") == "goal"
-    return (moments.join(durations.select(*keys_of(by), "duration"), keys_of(by))
+    return (moments.join(durations.select(*keys_of(by), "duration"), keys_of(by), "left")
             .withColumn("start_s", F.greatest(F.lit(0.0), F.col("t") - F.when(goal, pads.goal_pre).otherwise(pads.pre)))
             .withColumn("end_s", F.least(F.col("duration"), F.col("t") + F.when(goal, pads.goal_post).otherwise(pads.post)))
             .drop("duration"))

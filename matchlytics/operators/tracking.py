@@ -63,10 +63,13 @@ def interpolate_ball(ball: DataFrame, *, max_gap: int = 8, by="clip_id", chunk:
 
 
 def ball_holders(players: DataFrame, ball: DataFrame, clips: DataFrame, *, tail: float = 0.6, by="clip_id") -> DataFrame:
-    """Player nearest to the detected ball in each frame from `int(tail * n_frames)` on."""
+    """Player nearest to the detected ball in each frame from `int(tail * n_frames)` on.
+
+    Clips of unknown length take part with all frames.
+    """
     keys = keys_of(by)
-    late = ball.join(clips.select(*keys, "n_frames"), keys).filter(
-        F.col("frame") >= (F.col("n_frames") * F.lit(float(tail))).cast("int"))
+    start = (F.coalesce("n_frames", F.lit(0)) * F.lit(float(tail))).cast("int")
+    late = ball.join(clips.select(*keys, "n_frames"), keys, "left").filter(F.col("frame") >= start)
     dx, dy = F.col("cx") - F.col("ball_x"), F.col("cy") - F.col("ball_y")
     near = F.struct((dx * dx + dy * dy).alias("d2"), F.col("det_ord"))
     return (players.join(late.select(*keys, "frame", "ball_x", "ball_y"), [*keys, "frame"])
