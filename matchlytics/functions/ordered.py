@@ -50,6 +50,16 @@ def unnest_numbered(df: DataFrame, keep, array: Column, no: str, name: str) -> D
     return rows.withColumn(no, F.col(no).cast("long"))
 
 
+def _spread(rows: DataFrame, keys, chunk: str = "_b") -> DataFrame:
+    """Partitions rows by (key, chunk).
+
+    Asked for explicitly: rows that come partitioned by the key alone (from a join on it, say) would satisfy a
+    window over (key, chunk) as they are, and leave a hot key in one task. Spark plans no second exchange
+    where the rows are already partitioned this way.
+    """
+    return rows.repartition(*keys, chunk)
+
+
 def _per_chunk(keys, order):
     return Window.partitionBy(*keys, "_b").orderBy(*order)
 
@@ -69,7 +79,7 @@ def with_position(df: DataFrame, by, order, *, bucket: Column, name: str = "pos"
     offsets = (rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
                .select(*keys, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"),
                        F.sum("_n").over(key).alias("_tot")))
-    out = _attach(rows.withColumn("_rn", F.row_number().over(_per_chunk(keys, order))), offsets, keys)
+    out = _attach(_spread(rows, keys).withColumn("_rn", F.row_number().over(_per_chunk(keys, order))), offsets, keys)
     cols = [*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(name)]
     return out.select(*cols, *([F.col("_tot").alias(total)] if total else []))
 
@@ -83,6 +93,7 @@ def running_sum(df: DataFrame, by, order, cols: dict[str, Column], *, bucket: Co
     sums = sums.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}")
                                       for n in cols])
     local = _per_chunk(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _spread(rows, keys)
     for n, e in cols.items():
         rows = rows.withColumn(f"_l_{n}", F.sum(e).over(local))
     out = _attach(rows, sums, keys)
@@ -94,7 +105,7 @@ def _neighbour(df, by, order, cols, bucket, prefix, step, edge, shift):
     rows = df.withColumn("_b", bucket).withColumn("_row", F.struct(*cols))
     entry = (rows.groupBy(*keys, "_b").agg(edge("_row", F.struct(*order)).alias("_edge"))
              .select(*keys, "_b", shift("_edge").over(Window.partitionBy(*keys).orderBy("_b")).alias("_entry")))
-    rows = rows.withColumn("_near", step("_row").over(_per_chunk(keys, order)))
+    rows = _spread(rows, keys).withColumn("_near", step("_row").over(_per_chunk(keys, order)))
     out = _attach(rows, entry, keys).withColumn("_near", F.coalesce("_near", "_entry"))
     return out.select(*df.columns, *[F.col(f"_near.{c}").alias(prefix + c) for c in cols])
 
@@ -121,7 +132,7 @@ def carry_last(df: DataFrame, by, order: list[str], col: str, *, bucket: Column,
     entry = (rows.groupBy(*keys, "_b").agg(F.max_by(col, F.when(known, F.struct(*order))).alias("_edge"))
              .select(*keys, "_b", F.last("_edge", ignorenulls=True).over(ahead).alias("_entry")))
     local = _per_chunk(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_near", F.last(col, ignorenulls=True).over(local))
+    rows = _spread(rows, keys).withColumn("_near", F.last(col, ignorenulls=True).over(local))
     out = _attach(rows, entry, keys).withColumn("_near", F.coalesce("_near", "_entry"))
     return out.select(*[c for c in df.columns if c != name], F.col("_near").alias(name))
 
@@ -135,7 +146,7 @@ def over_pairs(df: DataFrame, by, order: list[str], cols: list[str], values, *,
     """
     keys = keys_of(by)
     rows = df.select(*keys, bucket.alias("_b"), F.struct(*order).alias("_at"), F.struct(*cols).alias("_row"))
-    rows = rows.withColumn("_prev", F.lag("_row").over(_per_chunk(keys, ["_at"])))
+    rows = _spread(rows, keys).withColumn("_prev", F.lag("_row").over(_per_chunk(keys, ["_at"])))
     inside = values(F.col("_prev"), F.col("_row"))
     add = {"sum": F.sum, "max": F.max}
     chunks = rows.groupBy(*keys, "_b").agg(
@@ -163,21 +174,22 @@ def last_rows(df: DataFrame, by, order: str, n: Column, *, bucket: Column) -> Da
     keys = keys_of(by)
     late = lambda part: F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.desc(order)))
     rows = df.withColumn("_n", n).withColumn("_b", bucket)
-    rows = rows.withColumn("_r", late("_b")).filter(F.col("_n").isNull() | (F.col("_r") <= F.col("_n")))
+    rows = _spread(rows, keys).withColumn("_r", late("_b")).filter(F.col("_n").isNull() | (F.col("_r") <= F.col("_n")))
     rows = rows.withColumn("_lane", F.when(F.col("_n").isNull(), F.col("_b")).otherwise(-1))
     rows = rows.withColumn("_r", late("_lane")).filter(F.col("_n").isNull() | (F.col("_r") <= F.col("_n")))
     return rows.select(*df.columns)
 
 
-def with_halo(df: DataFrame, pos, *, size: float, before: float = 0, after: float = 0) -> DataFrame:
+def with_halo(df: DataFrame, by, pos, *, size: float, before: float = 0, after: float = 0) -> DataFrame:
     """Copies each row into every chunk it can influence: `_chunk`, and `_own` for the chunk it belongs to.
 
     A chunk then holds its own rows, the `before` positions ahead of it and the `after` positions behind it.
+    The result is partitioned by (key, chunk).
     """
     p = _col(pos)
     low = F.greatest(F.lit(0), chunk_no(p - F.lit(after), size))
     high = F.greatest(F.lit(0), chunk_no(p + F.lit(before), size))
-    return (df.withColumn("_chunk", F.explode_outer(F.sequence(low, high)))
+    return (_spread(df.withColumn("_chunk", F.explode_outer(F.sequence(low, high))), keys_of(by), "_chunk")
             .withColumn("_own", F.col("_chunk") == F.greatest(F.lit(0), chunk_no(p, size))))
 
 
@@ -188,7 +200,8 @@ def islands(df: DataFrame, by, pos: str, best: Column, *, size: int = CHUNK, chu
     `chunked` names a column that already holds chunk_no(pos, size): rows partitioned by it stay where they are.
     """
     keys = keys_of(by)
-    rows = (df.withColumn("_b", chunk_no(pos, size)) if chunked is None else df.withColumnRenamed(chunked, "_b")).withColumn("_best", best)
+    rows = df.withColumn("_best", best)
+    rows = _spread(rows.withColumn("_b", chunk_no(pos, size)), keys) if chunked is None else rows.withColumnRenamed(chunked, "_b")
     rows = rows.withColumn("_run", F.col(pos) - F.row_number().over(_per_chunk(keys, [pos])))
     runs = rows.groupBy(*keys, "_b", "_run").agg(
         F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"),
@@ -218,7 +231,7 @@ def ema(df: DataFrame, by, pos: str, cols: dict[str, str], *, keep: float) -> Da
         start = df.groupBy(*keys).agg(*[F.min_by(c, pos).alias(n) for c, n in cols.items()])
         return df.join(start, keys)
     reach = math.ceil(17 / -math.log10(keep)) + 1
-    rows = with_halo(df, pos, size=8 * reach, before=reach)
+    rows = with_halo(df, by, pos, size=8 * reach, before=reach)
     step = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     rows = rows.withColumn("_k", F.row_number().over(step) - 1)
     up = F.pow(F.lit(float(keep)), -F.col("_k"))

@@ -13,6 +13,10 @@ from ..functions.ordered import CHUNK, chunk_no, islands, keys_of, unnest, with_
 AMIN = 1e-5
 TOP_DB = 80.0
 
+# Frames per chunk of the rolling windows: with its halo a chunk stays below the 4,096 rows that a window
+# operator keeps in plain memory by default.
+WINDOW_CHUNK = 3968
+
 
 def rms_envelope(samples: DataFrame, *, by="match_id", frame: int, hop: int) -> DataFrame:
     """Root mean square of `x` over windows of `frame` samples every `hop`, centred and zero padded.
@@ -53,40 +57,41 @@ def _average(col: str, w: int, window) -> Column:
 
 
 def moving_avg(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "smooth",
-               chunk: int = CHUNK) -> DataFrame:
+               chunk: int = WINDOW_CHUNK) -> DataFrame:
     """Box average of `w` rows along dense `idx`; rows beyond the ends count as zero."""
     if w <= 1:
         return df.withColumn(name, F.col(col))
-    rows = with_halo(df, "idx", size=chunk, before=w // 2, after=w - 1 - w // 2)
+    rows = with_halo(df, by, "idx", size=chunk, before=w // 2, after=w - 1 - w // 2)
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
     return rows.withColumn(name, _average(col, w, step)).filter("_own").select(*df.columns, name)
 
 
 def _with_zscore(rows: DataFrame, col: str, w: int, window, name: str) -> DataFrame:
     near = window.rowsBetween(-(w // 2), w // 2)
-    # sorted once per row in a step of its own
     rows = rows.withColumn("_spread", F.stddev_pop(col).over(near)).withColumn("_near", F.sort_array(F.collect_list(col).over(near)))
     n = F.size("_near")
     low = F.element_at("_near", F.floor((n + 1) / 2).cast("int"))
     high = F.element_at("_near", F.floor(n / 2).cast("int") + 1)
-    return rows.withColumn(name, (F.col(col) - (low + high) / 2) / (F.col("_spread") + 1e-6))
+    # a one-row window makes the median a plain column: a filter on z pushed below a projection would sort again
+    rows = rows.withColumn("_median", F.max((low + high) / 2).over(window.rowsBetween(0, 0)))
+    return rows.withColumn(name, (F.col(col) - F.col("_median")) / (F.col("_spread") + 1e-6))
 
 
-def rolling_z(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "z", chunk: int = CHUNK) -> DataFrame:
+def rolling_z(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "z", chunk: int = WINDOW_CHUNK) -> DataFrame:
     """Distance from the rolling median in rolling standard deviations, over +-w/2 rows along dense `idx`."""
-    rows = with_halo(df, "idx", size=chunk, before=w // 2, after=w // 2)
+    rows = with_halo(df, by, "idx", size=chunk, before=w // 2, after=w // 2)
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
     return _with_zscore(rows, col, w, step, name).filter("_own").select(*df.columns, name)
 
 
-def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match_id", chunk: int = CHUNK,
+def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match_id", chunk: int = WINDOW_CHUNK,
                keep_chunk: bool = False) -> DataFrame:
     """`moving_avg` then `rolling_z` with one exchange: the halo covers the reach of both.
 
     `keep_chunk` keeps the chunk number, by which the rows stay partitioned, for `audio_peaks`.
     """
     reach = baseline // 2 + smooth
-    rows = with_halo(df, "idx", size=chunk, before=reach, after=reach)
+    rows = with_halo(df, by, "idx", size=chunk, before=reach, after=reach)
     step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
     averaged = _average(col, smooth, step) if smooth > 1 else F.col(col)
     rows = rows.withColumn("smooth", averaged)
@@ -94,7 +99,7 @@ def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match
     return rows.select(*df.columns, "smooth", "z", *(["_chunk"] if keep_chunk else []))
 
 
-def audio_peaks(df: DataFrame, *, thr: float = 2.2, by="match_id", chunk: int = CHUNK) -> DataFrame:
+def audio_peaks(df: DataFrame, *, thr: float = 2.2, by="match_id", chunk: int = WINDOW_CHUNK) -> DataFrame:
     """Highest frame (first on ties) of each run of consecutive frames with z > thr."""
     keys = keys_of(by)
     best = F.struct(F.col("z").alias("z"), (-F.col("idx")).alias("neg"), F.col("t").alias("t"))
@@ -121,7 +126,7 @@ def merge_peaks(peaks: DataFrame, *, min_gap: float = 25.0, by="match_id", chunk
     span = max(chunk_seconds, min_gap)
     point = F.struct(F.col("t").cast("double").alias("t"), F.col("z").cast("double").alias("z"))
     kind = "struct<t:double,z:double>"
-    chunks = (with_halo(peaks, "t", size=span, before=min_gap).withColumn("_p", point)
+    chunks = (with_halo(peaks, by, "t", size=span, before=min_gap).withColumn("_p", point)
               .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_own", "_p"))).alias("_all")))
     pick = lambda own: F.transform(F.filter("_all", lambda x: x["_own"] == own), lambda x: x["_p"])
     # both passes below read the same exchange

@@ -103,7 +103,8 @@ def player_measures(players: DataFrame, key: DataFrame, clips: DataFrame, homogr
     """
     keys = keys_of(by)
     who = key.select(*keys, "key_track_id").join(_with_mode(clips, homography, keys, None, by), keys)
-    rows = players.join(who, keys).withColumn("_is", F.col("track_id") == F.col("key_track_id"))
+    # spread over frames again: after a join on the clip alone, the window would keep a clip in one task
+    rows = players.join(who, keys).withColumn("_is", F.col("track_id") == F.col("key_track_id")).repartition(*keys, "frame")
     here = Window.partitionBy(*keys, "frame")
     own = F.when(F.col("_is"), F.struct("det_ord", "cx"))
     rows = rows.withColumn("rel", F.col("cx") - F.min(own).over(here)["cx"])

@@ -58,38 +58,45 @@ def _gap2(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+# Tasks that may share the features of one clip
+SALT = 16
+
+
 def team_kmeans(features: DataFrame, k: int = 2, *, by="clip_id", order=("frame", "track_id"),
                 rounds: int = 10) -> DataFrame:
     """k-means of jersey vectors (`feature` array<double>) per clip, for all clips in each pass.
 
     Starts from the feature furthest from the clip mean, then repeatedly the one furthest from the chosen
-    ones. Only k centres per clip move between passes; features are never collected per clip. Clips with
-    fewer than 3 * k features get no labels. Centres are cut from their lineage every few passes.
+    ones. Only k centres per clip move between passes; features are never collected per clip. Centres are
+    repeated under a salt, so that a clip with very many features spreads over tasks, and each task sends one
+    partial mean per centre. Clips with fewer than 3 * k features get no labels. Centres are cut from their
+    lineage after each pass.
     """
     keys = keys_of(by)
+    salted = [*keys, "_salt"]
     tie = F.struct(*[(-F.col(c)).alias(c) for c in order])
     mean = Summarizer.mean(array_to_vector("feature"))
+    rows = features.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
     stats = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), mean.alias("_mean"))
     centres = (stats.filter(F.col("_n") >= 3 * k)
                .select(*keys, F.array(vector_to_array("_mean")).alias("_cs")))
 
-    def nearest(rows):
+    def nearest(centres):
+        copies = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         gaps = F.transform("_cs", lambda c: _gap2(F.col("feature"), c))
-        return rows.withColumn("_gaps", gaps).withColumn("_gap", F.array_min("_gaps"))
+        return rows.join(copies, salted).withColumn("_gaps", gaps).withColumn("_gap", F.array_min("_gaps"))
+
+    def label(centres):
+        return nearest(centres).withColumn("label", (F.array_position("_gaps", F.col("_gap")) - 1).cast("int"))
 
     for i in range(k):
-        far = nearest(features.join(centres, keys)).groupBy(*keys).agg(
-            F.max_by("feature", F.struct("_gap", tie)).alias("_f"), F.first("_cs").alias("_cs"))
+        far = nearest(centres).groupBy(*keys).agg(F.max_by("feature", F.struct("_gap", tie)).alias("_f"))
         # the mean only serves to find the first centre
         grown = F.array("_f") if i == 0 else F.array_append("_cs", F.col("_f"))
-        centres = cut_lineage(far.select(*keys, grown.alias("_cs")))
-
-    def label(rows):
-        return nearest(rows).withColumn("label", (F.array_position("_gaps", F.col("_gap")) - 1).cast("int"))
-
+        centres = cut_lineage(centres.join(far, keys).select(*keys, grown.alias("_cs")))
     for _ in range(rounds):
-        moved = (label(features.join(centres, keys)).groupBy(*keys, "label").agg(mean.alias("_m"))
+        moved = (label(centres).groupBy(*keys, "label").agg(mean.alias("_m"))
                  .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", vector_to_array("_m")))).alias("_mm")))
         centres = cut_lineage(centres.join(moved, keys).select(*keys, F.transform(
             "_cs", lambda c, i: F.coalesce(F.try_element_at("_mm", i), c)).alias("_cs")))
-    return label(features.join(centres, keys)).select(*features.columns, "label")
+    return label(centres).select(*features.columns, "label")

@@ -35,7 +35,7 @@ def ball_trail(ball_path: DataFrame, *, n: int = 18, by="clip_id", chunk: int =
     """Segments of the trail behind the ball: the last n ball points up to each ball frame, with line width."""
     keys = keys_of(by)
     rows = with_position(ball_path, by, ["frame"], bucket=chunk_no("frame", chunk), name="_pos")
-    rows = with_halo(rows, "_pos", size=max(chunk, n), before=n - 1)
+    rows = with_halo(rows, by, "_pos", size=max(chunk, n), before=n - 1)
     last = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-(n - 1), 0)
     rows = rows.withColumn("_pts", F.collect_list(F.struct("ball_x", "ball_y")).over(last)).filter("_own")
     rows = rows.withColumn("_n", F.size("_pts")).filter(F.col("_n") > 1)
@@ -55,7 +55,7 @@ def motion_path(path: DataFrame, frames: DataFrame, *, back: int = 30, min_point
     """
     keys = keys_of(by)
     rows = frames.select(*keys, "frame").join(path.select(*keys, "frame", "cx", "cy"), [*keys, "frame"], "left")
-    rows = with_halo(rows, "frame", size=max(chunk, back), before=back)
+    rows = with_halo(rows, by, "frame", size=max(chunk, back), before=back)
     near = Window.partitionBy(*keys, "_chunk").orderBy("frame").rangeBetween(-back, 0)
     point = F.when(F.col("cx").isNotNull(), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")))
     rows = (rows.withColumn("_pts", F.collect_list(point).over(near)).filter("_own")

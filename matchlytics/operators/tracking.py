@@ -49,7 +49,7 @@ def best_ball(dets: DataFrame, classes: DataFrame | None = None, *, by="clip_id"
 def interpolate_ball(ball: DataFrame, *, max_gap: int = 8, by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Linear fill between detections 2 to `max_gap` frames apart; longer gaps stay open."""
     keys = keys_of(by)
-    rows = with_halo(ball, "frame", size=max(chunk, max_gap), after=max_gap)
+    rows = with_halo(ball, by, "frame", size=max(chunk, max_gap), after=max_gap)
     step = Window.partitionBy(*keys, "_chunk").orderBy("frame")
     rows = (rows.withColumn("_n", F.lead(F.struct("frame", "ball_x", "ball_y")).over(step)).filter("_own")
             .withColumn("_gap", F.col("_n.frame") - F.col("frame")))

@@ -11,10 +11,11 @@ from ..operators import audio, captions, effects, overlays, reel, scoreboard, st
 from ..operators.fusion import detect_moments
 
 
-def audio_signals(frames: DataFrame, cfg: AudioConfig | None = None, *, by="match_id", chunk: int = CHUNK) -> DataFrame:
+def audio_signals(frames: DataFrame, cfg: AudioConfig | None = None, *, by="match_id",
+                  chunk: int = audio.WINDOW_CHUNK) -> DataFrame:
     """Loudness frames (idx, t, rms) to audio signals."""
     cfg = cfg or AudioConfig()
-    db = audio.loudness_db(frames, by=by, chunk=chunk)
+    db = audio.loudness_db(frames, by=by)
     z = audio.smoothed_z(db, "db", smooth=cfg.smooth_rows, baseline=cfg.baseline_rows, by=by, chunk=chunk, keep_chunk=True)
     peaks = audio.audio_peaks(z, thr=cfg.threshold, by=by, chunk=chunk)
     return audio.peak_signals(audio.merge_peaks(peaks, min_gap=cfg.min_gap, by=by), thr=cfg.threshold, by=by)

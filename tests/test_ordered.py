@@ -75,8 +75,8 @@ def test_islands(frame, size):
 
 
 def test_halo_copies_are_complete(spark):
-    rows = spark.range(50).withColumnRenamed("id", "p")
-    out = with_halo(rows, "p", size=7, before=3, after=2)
+    rows = spark.range(50).withColumnRenamed("id", "p").withColumn("k", F.lit("x"))
+    out = with_halo(rows, "k", "p", size=7, before=3, after=2)
     got = {}
     for r in out.collect():
         got.setdefault(r._chunk, set()).add(r.p)
