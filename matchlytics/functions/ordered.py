@@ -69,6 +69,20 @@ def _attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
     return df.join(summary, [*keys, "_b"], "left")
 
 
+def with_key_row(df: DataFrame, dim: DataFrame, by, *, bucket: Column, how: str = "inner", chunk: str | None = None) -> DataFrame:
+    """Joins the one row per key of `dim` to all rows of the key, as a join on (key, chunk).
+
+    `dim` is copied to the chunks that its key really has: one for most keys, many for a hot one, whose rows
+    then spread over as many tasks. (Adaptive execution splits hot join keys only where both sides come
+    straight from an exchange.) `chunk` names a column to keep the chunk number in.
+    """
+    keys = keys_of(by)
+    rows = df.withColumn("_b", bucket)
+    copies = rows.select(*keys, "_b").distinct().join(dim, keys)
+    out = rows.join(copies, [*keys, "_b"], how)
+    return out.withColumnRenamed("_b", chunk) if chunk else out.drop("_b")
+
+
 def with_position(df: DataFrame, by, order, *, bucket: Column, name: str = "pos",
                   total: str | None = None) -> DataFrame:
     """0-based row number per key, and optionally the row count of the key."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK, carry_last, chunk_no, ema, keys_of
+from ..functions.ordered import CHUNK, carry_last, chunk_no, ema, keys_of, with_key_row
 
 
 def crop_width(aspect: str):
@@ -17,9 +17,10 @@ def crop_width(aspect: str):
 def focus_track(frames: DataFrame, players: DataFrame, ball_path: DataFrame, *, by="clip_id") -> DataFrame:
     """Frame focus x: the ball, else the mean of all players; null if the frame has neither."""
     keys = [*keys_of(by), "frame"]
+    rest = [c for c in frames.columns if c not in keys]
     mean = players.groupBy(*keys).agg(F.avg("cx").alias("_mean"))
-    return (frames.select(*keys).join(ball_path.select(*keys, "ball_x"), keys, "left").join(mean, keys, "left")
-            .select(*keys, F.coalesce("ball_x", "_mean").alias("focus")))
+    return (frames.join(ball_path.select(*keys, "ball_x"), keys, "left").join(mean, keys, "left")
+            .select(*keys, *rest, F.coalesce("ball_x", "_mean").alias("focus")))
 
 
 def camera_path(frames: DataFrame, players: DataFrame, ball_path: DataFrame, clips: DataFrame, *,
@@ -31,12 +32,13 @@ def camera_path(frames: DataFrame, players: DataFrame, ball_path: DataFrame, cli
     """
     keys = keys_of(by)
     size = clips.select(*keys, "width", "height")
+    sized = with_key_row(frames.select(*keys, "frame"), size, by, bucket=chunk_no("frame", chunk))
     if mode == "center":
-        rows = frames.select(*keys, "frame").join(size, keys).withColumn("cx", F.col("width") / 2)
+        rows = sized.withColumn("cx", F.col("width") / 2)
     elif mode == "action_track":
-        focus = focus_track(frames, players, ball_path, by=by)
+        focus = focus_track(sized, players, ball_path, by=by)
         held = carry_last(focus, by, ["frame"], "focus", bucket=chunk_no("frame", chunk), name="focus")
-        rows = held.join(size, keys).withColumn("focus", F.coalesce("focus", F.col("width") / 2))
+        rows = held.withColumn("focus", F.coalesce("focus", F.col("width") / 2))
         rows = ema(rows, by, "frame", {"focus": "cx"}, keep=alpha)
     else:
         raise ValueError(f"unknown mode {mode!r}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from ..functions.ordered import CHUNK, chunk_no, keys_of, last_rows, over_pairs
+from ..functions.ordered import CHUNK, chunk_no, keys_of, last_rows, over_pairs, with_key_row
 from .pitch import calib_coverage, to_pitch
 
 # Metres that span the frame width without calibration, coverage needed for metric mode.
@@ -85,7 +85,7 @@ def ball_shot(ball_path: DataFrame, clips: DataFrame, homography: DataFrame | No
     keys, bucket = keys_of(by), chunk_no("frame", chunk)
     half = F.floor(F.col("fps") / 2).cast("long")
     n = F.when(F.col("metric"), F.greatest(F.lit(2), half)).otherwise(F.nullif(half, F.lit(0)))
-    rows = ball_path.join(_with_mode(clips, homography, keys, metric, by), keys)
+    rows = with_key_row(ball_path, _with_mode(clips, homography, keys, metric, by), by, bucket=bucket)
     points = _in_mode(last_rows(rows, by, "frame", n, bucket=bucket), homography, "ball_x", "ball_y", by)
 
     path = _measure(points, ["frame"], by, chunk, max_jump=max_jump, px_per_m=px_per_m)
@@ -103,9 +103,9 @@ def player_measures(players: DataFrame, key: DataFrame, clips: DataFrame, homogr
     """
     keys = keys_of(by)
     who = key.select(*keys, "key_track_id").join(_with_mode(clips, homography, keys, None, by), keys)
-    # spread over frames again: after a join on the clip alone, the window would keep a clip in one task
-    rows = players.join(who, keys).withColumn("_is", F.col("track_id") == F.col("key_track_id")).repartition(*keys, "frame")
-    here = Window.partitionBy(*keys, "frame")
+    rows = with_key_row(players, who, by, bucket=chunk_no("frame", chunk), chunk="_part")
+    rows = rows.withColumn("_is", F.col("track_id") == F.col("key_track_id"))
+    here = Window.partitionBy(*keys, "_part", "frame")
     own = F.when(F.col("_is"), F.struct("det_ord", "cx"))
     rows = rows.withColumn("rel", F.col("cx") - F.min(own).over(here)["cx"])
     if homography is None:
@@ -147,7 +147,8 @@ def pixel_shot(ball_path: DataFrame, clips: DataFrame, *, px_per_m: float | None
 def metric_path(points: DataFrame, clips: DataFrame, *, max_jump: float = 12.0, max_kmh: float = 45.0,
                 order=("frame",), by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Distance and top speed along pitch points (px, py); jumps beyond `max_jump` metres count for neither."""
-    rows = points.filter(F.col("px").isNotNull()).join(_with_mode(clips, None, keys_of(by), True, by), keys_of(by))
+    mode = _with_mode(clips, None, keys_of(by), True, by)
+    rows = with_key_row(points.filter(F.col("px").isNotNull()), mode, by, bucket=chunk_no("frame", chunk))
     zero = F.lit(0.0)
     return _measure(rows, order, by, chunk, max_jump=max_jump, max_kmh=max_kmh).select(
         *keys_of(by), F.coalesce("distance_m", zero).alias("distance_m"), F.coalesce("top_speed_kmh", zero).alias("top_speed_kmh"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import truncate
-from ..functions.ordered import keys_of
+from ..functions.ordered import chunk_no, keys_of
 from ..sources.state import cut_lineage
 
 # Histogram of 16 hue bins over 0..180 and 8 saturation bins over 0..256.
@@ -58,33 +58,28 @@ def _gap2(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-# Tasks that may share the features of one clip
-SALT = 16
-
-
 def team_kmeans(features: DataFrame, k: int = 2, *, by="clip_id", order=("frame", "track_id"),
-                rounds: int = 10) -> DataFrame:
+                rounds: int = 10, chunk: int = 4096) -> DataFrame:
     """k-means of jersey vectors (`feature` array<double>) per clip, for all clips in each pass.
 
     Starts from the feature furthest from the clip mean, then repeatedly the one furthest from the chosen
     ones. Only k centres per clip move between passes; features are never collected per clip. Centres are
-    repeated under a salt, so that a clip with very many features spreads over tasks, and each task sends one
-    partial mean per centre. Clips with fewer than 3 * k features get no labels. Centres are cut from their
-    lineage after each pass.
+    copied to the chunks of their clip (along the first column of `order`), so that a clip with very many
+    features spreads over tasks, and each task sends one partial mean per centre. Clips with fewer than 3 * k
+    features get no labels. Centres are cut from their lineage after each pass.
     """
     keys = keys_of(by)
-    salted = [*keys, "_salt"]
     tie = F.struct(*[(-F.col(c)).alias(c) for c in order])
     mean = Summarizer.mean(array_to_vector("feature"))
-    rows = features.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
+    rows = features.withColumn("_b", chunk_no(order[0], chunk))
+    parts = cut_lineage(rows.select(*keys, "_b").distinct())
     stats = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), mean.alias("_mean"))
-    centres = (stats.filter(F.col("_n") >= 3 * k)
-               .select(*keys, F.array(vector_to_array("_mean")).alias("_cs")))
+    centres = cut_lineage(stats.filter(F.col("_n") >= 3 * k).select(*keys, F.array(vector_to_array("_mean")).alias("_cs")))
 
     def nearest(centres):
-        copies = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         gaps = F.transform("_cs", lambda c: _gap2(F.col("feature"), c))
-        return rows.join(copies, salted).withColumn("_gaps", gaps).withColumn("_gap", F.array_min("_gaps"))
+        near = rows.join(parts.join(centres, keys), [*keys, "_b"])
+        return near.withColumn("_gaps", gaps).withColumn("_gap", F.array_min("_gaps"))
 
     def label(centres):
         return nearest(centres).withColumn("label", (F.array_position("_gaps", F.col("_gap")) - 1).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y
-from ..functions.ordered import CHUNK, keys_of, with_halo
+from ..functions.ordered import CHUNK, chunk_no, keys_of, with_halo, with_key_row
 
 # Class ids used when a model names no class of that role.
 DEFAULT_CLASSES = {"player": [0], "ball": [32]}
@@ -69,7 +69,7 @@ def ball_holders(players: DataFrame, ball: DataFrame, clips: DataFrame, *, tail:
     """
     keys = keys_of(by)
     start = (F.coalesce("n_frames", F.lit(0)) * F.lit(float(tail))).cast("int")
-    late = ball.join(clips.select(*keys, "n_frames"), keys, "left").filter(F.col("frame") >= start)
+    late = with_key_row(ball, clips.select(*keys, "n_frames"), by, bucket=chunk_no("frame"), how="left").filter(F.col("frame") >= start)
     dx, dy = F.col("cx") - F.col("ball_x"), F.col("cy") - F.col("ball_y")
     near = F.struct((dx * dx + dy * dy).alias("d2"), F.col("det_ord"))
     return (players.join(late.select(*keys, "frame", "ball_x", "ball_y"), [*keys, "frame"])
