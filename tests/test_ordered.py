@@ -119,3 +119,28 @@ def test_over_pairs_and_last_rows(frame, size):
     tail = sorted((r.k, r.p) for r in last_rows(frame, "k", "p", n, bucket=chunk_no("p", size)).collect())
     want = [(k, r[1]) for k, rows in by_key(data(3)).items() for r in (rows[-5:] if k == "hot" else rows)]
     assert tail == sorted(want)
+
+
+def test_key_row_reaches_every_row(frame, spark, size):
+    from matchlytics.functions.ordered import with_key_row
+    dim = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, w int")
+    got = {(r.k, r.p): r.w for r in with_key_row(frame, dim, "k", bucket=chunk_no("p", size)).collect()}
+    assert got == {(k, p): {"hot": 1, "b": 2}[k] for k, p, _, _ in data(3) if k != "a"}
+    kept = with_key_row(frame, dim, "k", bucket=chunk_no("p", size), how="left", chunk="part").collect()
+    assert len(kept) == 68 and all(r.part == r.p // size and (r.w is None) == (r.k == "a") for r in kept)
+
+
+def test_hot_key_spreads_over_partitions(spark):
+    from matchlytics.functions.ordered import with_key_row
+    rows = spark.range(20000).select(F.lit("hot").alias("k"), F.col("id").alias("p"))
+    dim = spark.createDataFrame([("hot", 1)], "k string, w int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (with_key_row(rows, dim, "k", bucket=chunk_no("p", 500)), with_position(rows, "k", ["p"], bucket=chunk_no("p", 500)),
+                    with_halo(rows.join(dim, "k"), "k", "p", size=500, before=3)):
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 12000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
