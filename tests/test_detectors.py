@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 
 import numpy as np
@@ -35,14 +37,16 @@ def test_suffix(spark):
 
 
 def scores_by_hand(reads):
-    base, out = None, []
-    for t, seq, h, a, minute in sorted(reads):
-        if base is None:
-            base = (h, a)
-        elif sorted((h - base[0], a - base[1])) == [0, 1]:
-            out.append((t, f"{h}-{a}", f"{base[0]}-{base[1]}", minute))
-            base = (h, a)
-    return out
+    """Hops from each accepted reading to the next one that is a single goal away."""
+    reads, at, out = sorted(reads), 0, []
+    while True:
+        _, _, h, a, _ = reads[at]
+        hops = [i for i in range(at + 1, len(reads)) if reads[i][2:4] in ((h + 1, a), (h, a + 1))]
+        if not hops:
+            return out
+        at = hops[0]
+        t, _, h2, a2, minute = reads[at]
+        out.append((t, f"{h2}-{a2}", f"{h}-{a}", minute))
 
 
 def run_scores(spark, reads, **kw):
@@ -76,12 +80,13 @@ def test_score_changes_any_chunking(spark, seed, chunk_seconds):
 
 
 def peaks_by_hand(peaks, gap):
-    kept = []
-    for t, z in sorted(peaks):
-        if kept and t - kept[-1][0] < gap:
-            kept[-1] = max(kept[-1], (t, z), key=lambda p: (p[1], -p[0]))
-        else:
-            kept.append((t, z))
+    """Takes the earliest peak, lets it absorb or lose to what follows within the gap, and goes on after that."""
+    queue, kept = collections.deque(sorted(peaks)), []
+    while queue:
+        top = queue.popleft()
+        while queue and queue[0][0] - top[0] < gap:
+            top = max(top, queue.popleft(), key=lambda p: p[1])  # max() keeps the first on ties
+        kept.append(top)
     return kept
 
 
@@ -114,14 +119,8 @@ def test_loudness_chain(spark, chunk):
     split = audio.rolling_z(audio.moving_avg(audio.loudness_db(df), "db", 6, chunk=chunk), "smooth", 60, chunk=chunk).orderBy("idx").toPandas()
     assert np.allclose(split["z"], z)
     peaks = audio.audio_peaks(out, thr=1.5, chunk=chunk).orderBy("idx").collect()
-    want, i = [], 0
-    while i < 400:
-        j = i
-        while j < 400 and z[j] > 1.5:
-            j += 1
-        if j > i:
-            want.append((i + int(np.argmax(z[i:j])), j - i))
-        i = max(j, i + 1)
+    runs = [list(g) for high, g in itertools.groupby(range(400), key=lambda i: z[i] > 1.5) if high]
+    want = [(max(run, key=lambda i: (z[i], -i)), len(run)) for run in runs]
     assert [(p.idx, p.n) for p in peaks] == want
 
 

@@ -1,4 +1,6 @@
+import functools
 import json
+import operator
 import random
 
 import pytest
@@ -11,16 +13,17 @@ from matchlytics.sources import logs, media, state
 
 
 def greedy_by_hand(items, target, top, cap):
-    total, out = 0.0, []
-    for conf, order, d in sorted(items, key=lambda i: (-i[0], i[1])):
-        d = min(d, cap) if cap else d
-        if out and total + d > top:
-            continue
-        out.append(order)
-        total += d
-        if total >= target:
+    """Always the next item in line that still fits, as long as the reel is short of its target."""
+    line = [(o, min(d, cap) if cap else d) for _, o, d in sorted(items, key=lambda i: (-i[0], i[1]))]
+    taken = []
+    length = lambda: functools.reduce(operator.add, (d for _, d in taken), 0.0)
+    while not taken or length() < target:
+        fits = [i for i, (_, d) in enumerate(line) if not taken or length() + d <= top]
+        if not fits:
             break
-    return sorted(out)
+        taken.append(line[fits[0]])
+        line = line[fits[0] + 1:]
+    return sorted(o for o, _ in taken)
 
 
 @pytest.mark.parametrize("seed", range(5))

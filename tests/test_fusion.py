@@ -1,3 +1,5 @@
+import functools
+import operator
 import random
 
 import pytest
@@ -64,23 +66,15 @@ def fuse_by_hand(rows, cap):
     """Independent restatement of clustering, scoring and ranking for one match."""
     w = FusionConfig().weights
     rows = sorted(rows, key=lambda r: (r[1], r[2]))
-    groups = []
-    for r in rows:
-        if groups and r[1] - groups[-1][-1][1] <= 8.0:
-            groups[-1].append(r)
-        else:
-            groups.append([r])
+    cuts = [0, *[i for i in range(1, len(rows)) if rows[i][1] - rows[i - 1][1] > 8.0], len(rows)]
     out = []
-    for no, g in enumerate(groups):
-        best = {}
-        for r in g:
-            best[r[3]] = max(best.get(r[3], 0.0), r[4])
-        conf = 0.0
-        for s, v in best.items():
-            conf += w.get(s, 0.0) * v
-        conf = min(1.0, conf)
-        if conf >= 0.45:
-            out.append((-round(conf, 3), no, sorted(best), len(g), next((r[7] for r in g if r[7] is not None), None)))
+    for no, group in enumerate(rows[a:b] for a, b in zip(cuts, cuts[1:])):
+        order = list(dict.fromkeys(r[3] for r in group))
+        shares = [w.get(s, 0.0) * max(r[4] for r in group if r[3] == s) for s in order]
+        conf = min(1.0, functools.reduce(operator.add, shares, 0.0))
+        minutes = [r[7] for r in group if r[7] is not None]
+        if not conf < 0.45:
+            out.append((-round(conf, 3), no, sorted(order), len(group), minutes[0] if minutes else None))
     return sorted((no, -c, s, n, m) for c, no, s, n, m in sorted(out)[:cap])
 
 

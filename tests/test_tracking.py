@@ -95,20 +95,10 @@ def test_pixel_stats(spark, chunk):
 
 
 def beaten_by_hand(rows, key):
-    frames = {}
-    for f, tid, o, x in rows:
-        frames.setdefault(f, []).append((o, tid, x))
-    last, out = {}, set()
-    for f in sorted(frames):
-        dets = sorted(frames[f])
-        mine = [x for _, t, x in dets if t == key]
-        if mine:
-            for _, t, x in dets:
-                if t != key:
-                    if last.get(t, 0.0) < 0 <= x - mine[0]:
-                        out.add(t)
-                    last[t] = x - mine[0]
-    return min(6, len(out))
+    own = {f: x for f, tid, _, x in rows if tid == key}
+    series = {tid: [x - own[f] for f, t, _, x in sorted(rows) if t == tid and f in own] for _, tid, _, _ in rows if tid != key}
+    passed = [tid for tid, rel in series.items() if any(a < 0 <= b for a, b in zip(rel, rel[1:]))]
+    return min(6, len(passed))
 
 
 @pytest.mark.parametrize("seed", range(3))
