@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import AudioConfig, BrandConfig, ReelConfig
 from ..functions.ordered import CHUNK, keys_of
-from ..operators import audio, captions, effects, overlays, reel, scoreboard, stats, tracking
+from ..operators import audio, captions, effects, overlays, reel, scoreboard, stats, teams, tracking
 from ..operators.fusion import detect_moments
 
 
@@ -27,17 +27,23 @@ def scoreboard_signals(frames: DataFrame, *, every_s: float = 5.0, by="match_id"
     return scoreboard.score_changes(read, by=by)
 
 
-def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, teams: DataFrame | None = None,
+def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, track_team: DataFrame | None = None,
                    homography: DataFrame | None = None, *, by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Key player and stats of every clip."""
     keys = keys_of(by)
     ball = tracking.best_ball(ball_dets, by=by)
     path = tracking.interpolate_ball(ball, by=by, chunk=chunk)
-    key = (tracking.key_player(players, ball, clips, by=by) if teams is None
-           else tracking.key_player_possession(players, ball, clips, teams, by=by)).select(*keys, "key_track_id")
+    key = (tracking.key_player(players, ball, clips, by=by) if track_team is None
+           else tracking.key_player_possession(players, ball, clips, track_team, by=by)).select(*keys, "key_track_id")
     return stats.clip_stats(players, path, key, clips, homography, by=by, chunk=chunk)
 
 
+def teams_of_tracks(features: DataFrame, k: int = 2, *, by="clip_id", rounds: int = 10) -> DataFrame:
+    """Jersey vectors (frame, track_id, feature) to one team per track, for `clip_analytics`."""
+    votes = teams.team_vote(teams.team_kmeans(features, k, by=by, rounds=rounds), by=by)
+    return votes.select(*keys_of(by), "track_id", "team")
+
+
 def reel_plan(moments: DataFrame, cfg: ReelConfig | None = None, brand: BrandConfig | None = None, *,
               by="match_id") -> DataFrame:
     """Moments to the timeline of one reel per match, with its caption on every part."""
@@ -62,4 +68,4 @@ def overlay_plan(cuts: DataFrame, clip_stats: DataFrame, brand: BrandConfig | No
     return overlays.overlay_schedule(rows, brand, by=[*keys, "clip_no", clip_key, "caption"])
 
 
-__all__ = ["audio_signals", "scoreboard_signals", "clip_analytics", "reel_plan", "overlay_plan", "detect_moments"]
+__all__ = ["audio_signals", "scoreboard_signals", "clip_analytics", "teams_of_tracks", "reel_plan", "overlay_plan", "detect_moments"]

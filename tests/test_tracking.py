@@ -240,3 +240,17 @@ def test_team_kmeans(spark):
     df = spark.createDataFrame(rows, "clip_id long, frame long, track_id long, feature array<double>")
     got = {(r.clip_id, r.frame): r.label for r in teams.team_kmeans(df, rounds=5).collect()}
     assert got == want and set(Counter(got.values())) == {0, 1}
+
+
+def test_teams_feed_the_key_player(spark):
+    from matchlytics.operators.scoreboard import stride
+    from matchlytics.plans import highlights
+    rng = np.random.default_rng(1)
+    feats = [(1, f, t, [float(t % 2) * 5 + float(rng.normal(0, 0.1)), 0.0]) for f in range(6) for t in (1, 2, 3)]
+    team = highlights.teams_of_tracks(spark.createDataFrame(feats, "clip_id long, frame long, track_id long, feature array<double>"), rounds=3)
+    got = {r.track_id: r.team for r in team.collect()}
+    assert got[1] == got[3] != got[2]
+    players, ball = votes_setup(spark, [2, 2, 3, 1])
+    # team of 1 and 3 ties with team of 2, which was first
+    assert tracking.key_player_possession(players, ball, clips(spark), team).first().key_track_id == 2
+    assert [r.frame for r in stride(ball, 4).orderBy("frame").collect()] == [0, 4, 8]
