@@ -16,7 +16,7 @@ def keyword_signals(segments: DataFrame, keywords: dict | None = None, *, whole_
     The word lists are parameters, so this stays a projection: no join and no exchange.
     """
     keywords = keywords or KEYWORDS
-    low = F.lower(F.coalesce("text", F.lit("")))
+    low = F.col("_low")
 
     def found(word):
         if whole_word:
@@ -31,7 +31,9 @@ def keyword_signals(segments: DataFrame, keywords: dict | None = None, *, whole_
         hits.append(F.when(first.isNotNull(), F.struct(
             F.lit(kind).alias("kind_hint"), first.alias("phrase"),
             F.lit(0.7 if kind == "goal" else 0.5).alias("strength"))))
-    rows = unnest(segments, segments.columns, F.array_compact(F.array(*hits)), "_h")
+    # lower-cased once in a step of its own, not once per word
+    rows = segments.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
+    rows = unnest(rows, segments.columns, F.array_compact(F.array(*hits)), "_h")
     rest = [c for c in segments.columns if c not in ("start_s", "text")]
     return rows.select(*rest, F.col("start_s").alias("t"), F.lit("commentary").alias("source"), "_h.strength",
                        "_h.kind_hint", "_h.phrase", F.substring(strip(F.col("text")), 1, 120).alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import truncate
 from ..functions.ordered import chunk_no, keys_of, unnest
-from ..functions.text import parse_minute, parse_score
+from ..functions.text import away_goals, home_goals, minute_text, minute_value, score_text
 
 # Fixed value: default region, top 18 % by left 55 % of the frame.
 DEFAULT_ROI = (0.0, 0.0, 0.55, 0.18)
@@ -35,9 +35,10 @@ def roi_box(df: DataFrame, roi=None) -> DataFrame:
 
 def read_scores(ocr: DataFrame, *, text: str = "text", after_score: bool = False) -> DataFrame:
     """Adds home, away and minute parsed from the text; rows without a score keep nulls."""
-    score = parse_score(F.col(text))
-    return ocr.withColumns({"home": score["home"], "away": score["away"],
-                            "minute": parse_minute(F.col(text), after_score)})
+    # each pattern runs once per text, in a step of its own
+    rows = ocr.withColumns({"_score": score_text(F.col(text)), "_minute": minute_text(F.col(text), after_score)})
+    return rows.withColumns({"home": home_goals(F.col("_score")), "away": away_goals(F.col("_score")),
+                             "minute": minute_value(F.col("_minute"))}).drop("_score", "_minute")
 
 
 def _moves(base: Column, code: Column) -> Column:
