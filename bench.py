@@ -28,7 +28,7 @@ def main() -> None:
     times = {}
     for name in names:
         best = None
-        for _ in range(2):  # the first run also pays for class loading and code generation
+        for _ in range(3):  # the first run also pays for class loading and code generation
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
