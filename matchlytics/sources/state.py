@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,27 @@ from pyspark.sql import functions as F
 from ..functions.ordered import keys_of
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where none is set, a temporary folder is made, but only for a session inside one process (local[n]), whose
+    tasks all see it; any other session gets an error.
+    """
+    sc = spark.sparkContext
+    if shared := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="shared-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a local one only where none is set (tests)."""
+    """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.state import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder of the session; a local one where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/replay-{uuid.uuid4()}"
-    return os.path.join(tempfile.mkdtemp(prefix="replay-"), "run")
+    """A new folder under the shared folder of the session."""
+    return f"{shared_folder(spark)}/replay-{uuid.uuid4()}"
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
