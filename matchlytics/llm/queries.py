@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality
+from . import licenses, mixing, quality, sentence_pieces, topk, warc
 from .common import table
 
 
@@ -16,5 +18,33 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality)}
-ORACLES: dict[str, str] = {}
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages"))
+
+
+def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents")).taken()
+
+
+def op7_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.search(topk.build_index(table(spark, d, "embeddings")))
+
+
+#: Vocabulary file of the encoding; another one is named by the environment.
+MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, d, "documents"), MODEL)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op4_warc, op5_mixing, op7_topk, op9_pieces)}
+ORACLES: dict[str, str] = {
+    "op7_topk": """
+with v as (select vec_id, row_number() over () as no, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+           from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, q.no as qno, c.vec_id, c.no, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+      from v q join v c on q.no <> c.no where q.vec_id % 20 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by qno order by score desc, vec_id nulls last, no) as rank from s) t where rank <= 20""",
+}
