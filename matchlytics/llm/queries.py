@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sentence_pieces, topk, warc
-from .common import table
+from . import licenses, mixing, pii, quality, sentence_pieces, token_rollups, topk, warc
+from .common import kept_table, new_folder, table
 
 
 def op1_licenses(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +19,15 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+#: Key of the surrogates; a real one comes from the environment.
+PII_KEY = os.environ.get("SURROGATE_KEY", "surrogates of the test tables").encode()
+
+
+def op3_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, key=PII_KEY, count="n_entities")
+
+
 def op4_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(table(spark, d, "pages"))
 
@@ -26,6 +36,28 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mix(table(spark, d, "documents")).taken()
 
 
+RANKS = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def op6_token_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches: all documents come in, those labelled bad go, and those labelled toxic are counted anew in lower
+    case, as a cleaning step would leave them. The second batch is sent twice."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    low = token_rollups.with_tokens(docs.join(marks.filter("quality = 1 and toxic = 1"), "doc_id", "left_semi").withColumn("text", F.lower("text")), RANKS)
+    low = low.select("doc_id", F.col("tokens").alias("new"))
+    counted = kept_table(token_rollups.with_tokens(docs, RANKS).drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k/1")), "token-counts")
+    store = new_folder(spark, "token-store")
+    change = lambda rows, op: rows.withColumn("op", F.lit(op)).withColumn("old_tokens", F.lit(None).cast("long"))
+    token_rollups.commit(store, "0001", change(counted, "insert"))
+    gone = change(counted.join(marks.filter("quality = 0"), "doc_id", "left_semi"), "delete")
+    for _ in range(2):
+        token_rollups.commit(store, "0002", gone)
+    revised = counted.withColumnRenamed("tokens", "old_tokens").join(low.withColumnRenamed("new", "tokens"), "doc_id").withColumn("op", F.lit("revise"))
+    token_rollups.commit(store, "0003", revised)
+    return token_rollups.totals(spark, store)
+
+
 def op7_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.search(topk.build_index(table(spark, d, "embeddings")))
 
@@ -38,7 +70,7 @@ def op9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, d, "documents"), MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op4_warc, op5_mixing, op7_topk, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op3_surrogates, op4_warc, op5_mixing, op6_token_rollups, op7_topk, op9_pieces)}
 ORACLES: dict[str, str] = {
     "op7_topk": """
 with v as (select vec_id, row_number() over () as no, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
