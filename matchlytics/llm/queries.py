@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, licenses, mixing, pii, quality, sentence_pieces, token_rollups, topk, warc
+from . import jaccard_join, licenses, mixing, pii, quality, sentence_pieces, suffix_dedup, token_rollups, topk, warc
 from .common import kept_table, new_folder, table
 
 
@@ -70,11 +70,15 @@ def op9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, d, "documents"), MODEL)
 
 
+def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, d, "documents")).drop("spans")
+
+
 def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.JaccardJoin(table(spark, d, "documents")).documents().select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op3_surrogates, op4_warc, op5_mixing, op6_token_rollups, op7_topk, op9_pieces, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op3_surrogates, op4_warc, op5_mixing, op6_token_rollups, op7_topk, op8_suffix_dedup, op9_pieces, op10_jaccard)}
 ORACLES: dict[str, str] = {
     "op7_topk": """
 with v as (select vec_id, row_number() over () as no, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
