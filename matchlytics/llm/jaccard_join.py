@@ -4,7 +4,8 @@ A document's set holds 64-bit hashes of its shingles. In one order of all shingl
 two sets with a similarity of 75 % share one of the first n - ceil(0.75 n) + 1 of either, so sets meet in tiles: one per
 such shingle, sorted by size, where a set is compared with those up to 4/3 of its size. A pair of a tile is bounded
 from above before anything exact is done: with bitmaps of the parities of the hashes, |A and B| <= (|A| + |B| - bits
-that differ) / 2. What the bound leaves is decided by intersecting the sorted arrays of hashes.
+that differ) / 2. A pair must also come from as many tiles as its sizes ask for (see _shared_needed). What these bounds
+leave is decided by intersecting the sorted arrays of hashes.
 
 Groups of thousands of near copies would give millions of such pairs. So it goes in two rounds. In the first, each set of a tile
 nominates only the most similar smaller one; exact links give components. In the second, tiles whose sets are all
@@ -41,7 +42,7 @@ BITS = 512
 #: Texts sampled for frequent shingles, and how many of them must hold one.
 SAMPLE, FREQUENT = 20_000, 8
 TILE = 20_000
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 SETS = "rid long, doc_id long, sum binary, sid binary, n int, bits binary, prefix array<long>"
 
@@ -53,19 +54,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _tables(n: int):
-    """Random numbers of the bytes, powers of an odd number and of its inverse mod 2^64, factors of the places."""
+def _factors():
+    """Random numbers of the bytes and factors of the places of a shingle."""
     rng = np.random.default_rng(20240101)
-    odd = 0x9E3779B97F4A7C15
-    up, down = np.full(n, odd, dtype=np.uint64), np.full(n, pow(odd, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return rng.integers(1, 1 << 63, 256, dtype=np.uint64), np.cumprod(up), np.cumprod(down), rng.integers(1, 1 << 63, WIDTH + 1, dtype=np.uint64) | np.uint64(1)
+    return rng.integers(1, 1 << 63, 256, dtype=np.uint64), rng.integers(1, 1 << 63, WIDTH + 1, dtype=np.uint64) | np.uint64(1)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int):
+    """At least n powers of an odd number and of its inverse mod 2^64; grown when a longer text comes."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        odd, n = 0x9E3779B97F4A7C15, max(n, CHUNK + CHUNK // 2)
+        up, down = np.full(n, odd, dtype=np.uint64), np.full(n, pow(odd, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
+    return _POWERS
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of lower-cased UTF-8 bytes."""
-    size = 1 << max(21, int(len(data)).bit_length())
-    table, up, down, _ = _tables(size)
+    table, (up, down) = _factors()[0], _powers(len(data) + 1)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -84,7 +94,7 @@ def shingle_sets(texts) -> list[np.ndarray]:
         data = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         words, start = word_hashes(data)
         first = np.searchsorted(start, np.cumsum([0] + [len(p) + 1 for p in part]))
-        place = _tables(1 << max(21, int(len(data)).bit_length()))[3]
+        place = _factors()[1]
         whole = sum(words[j : len(words) - WIDTH + 1 + j] * place[j] for j in range(WIDTH)) if len(words) >= WIDTH else np.zeros(0, dtype=np.uint64)
         whole = mixed(whole)
         for a, b in zip(first[:-1], first[1:], strict=True):
@@ -166,13 +176,23 @@ def _needed(a, b):
     return -(-SHARE * (a + b) // (100 + SHARE))
 
 
+def _shared_needed(a, b):
+    """Least number of prefix shingles that linked sets of sizes a and b share.
+
+    Let A's prefix end first in the order. Then a shingle of both is in both prefixes or behind A's prefix, so the
+    intersection is at most the shared prefix shingles plus the size of A without its prefix, which is ceil(0.75 a) - 1.
+    """
+    return _needed(a, b) - (-(-SHARE * np.maximum(a, b) // 100) - 1)
+
+
 def _bounds(bits, i, j, n):
     """Upper bound of the intersections of sets i and j."""
     return (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)) // 2
 
 
 def _tile_pairs(every: bool):
-    """Function for mapInPandas over tiles sorted by (sig, lo, hi, n): pairs that the bound leaves.
+    """Function for mapInPandas over tiles sorted by (sig, lo, hi, n): pairs that the bound leaves, with the number of tiles
+    that gave them and the number of shared prefix shingles they need.
 
     Either all of them of different labels, or for each row the one with the best bound among those before it.
     """
@@ -194,7 +214,7 @@ def _tile_pairs(every: bool):
                     fine = bound >= _needed(n[p], n[q])
                     p, q, bound = p[fine], q[fine], bound[fine]
                     if every:
-                        yield rid[p], rid[q]
+                        yield rid[p], rid[q], _shared_needed(n[p], n[q])
                     elif len(p):
                         score = bound - _needed(n[p], n[q])
                         order = np.argsort(score, kind="stable")
@@ -206,7 +226,7 @@ def _tile_pairs(every: bool):
                         best[has], mate[has] = score[top[has]], q[top[has]]
             if not every:
                 has = np.flatnonzero(mate >= 0)
-                yield rid[i[has]], rid[mate[has]]
+                yield rid[i[has]], rid[mate[has]], _shared_needed(n[i[has]], n[mate[has]])
 
     def small_tiles(group, rid, n, label, bits, longest):
         """All tiles of up to `longest` rows at once, by the distance of the two rows."""
@@ -219,13 +239,13 @@ def _tile_pairs(every: bool):
             fine = bound >= least
             i, score = i[fine], (bound - least)[fine]
             if every:
-                yield rid[i], rid[i - d]
+                yield rid[i], rid[i - d], _shared_needed(n[i], n[i - d])
             else:
                 up = score > best[i]
                 best[i[up]], mate[i[up]] = score[up], i[up] - d
         if not every:
             i = np.flatnonzero(mate >= 0)
-            yield rid[i], rid[mate[i]]
+            yield rid[i], rid[mate[i]], _shared_needed(n[i], n[mate[i]])
 
     def work(frame):
         key = frame[["sig", "lo", "hi"]].to_numpy()
@@ -250,9 +270,9 @@ def _tile_pairs(every: bool):
 
         def out(frame):
             found = list(work(frame))
-            a, b = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, dtype=np.int64) for x in (0, 1))
-            both = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0)
-            return pd.DataFrame({"a": both[:, 0].astype(np.int64), "b": both[:, 1].astype(np.int64)})
+            a, b, need = (np.concatenate([f[x] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64) for x in (0, 1, 2))
+            both, at, times = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0, return_index=True, return_counts=True)
+            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "times": times.astype(np.int64), "need": need[at]})
 
         for frame in frames:
             if not len(frame):
@@ -275,13 +295,16 @@ def _tile_pairs(every: bool):
 def _exact(frames):
     """Pairs whose sorted arrays intersect in enough hashes."""
     for frame in frames:
-        ok = []
-        for x, y in zip(frame["x"], frame["y"], strict=True):
-            x, y = np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            ok.append(100 * both >= SHARE * (len(x) + len(y) - both))
-        yield frame.loc[np.array(ok, dtype=bool), ["a", "b"]]
+        for at in range(0, len(frame), 500):
+            part = frame.iloc[at : at + 500]
+            texts = {**dict(zip(part["a"], part["x"], strict=True)), **dict(zip(part["b"], part["y"], strict=True))}
+            sets = dict(zip(texts, shingle_sets(texts.values()), strict=True))
+            ok = []
+            for a, b in zip(part["a"], part["b"], strict=True):
+                small, large = sorted((sets[a], sets[b]), key=len)
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                ok.append(100 * both >= SHARE * (len(small) + len(large) - both))
+            yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
 
 class JaccardJoin:
@@ -313,7 +336,7 @@ class JaccardJoin:
         return rows.select("sig", "rid", "side", F.least("side", "_o").alias("lo"), F.greatest("side", "_o").alias("hi"))
 
     def candidates(self, live: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Distinct pairs of the tiles that the bitmaps leave, of different labels where there are any."""
+        """Distinct pairs that the bounds leave, of different labels where there are any."""
         numbers = self.sets.filter("prefix is not null").select("rid", "n", "bits")
         rows = self.tiles(live)
         if labels is None:
@@ -322,7 +345,11 @@ class JaccardJoin:
             rows = rows.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         rows = rows.join(numbers, "rid").select("sig", "lo", "hi", "side", "rid", "n", "label", "bits")
         rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n", "rid")
-        return rows.mapInPandas(_tile_pairs(labels is not None), "a long, b long").distinct()
+        pairs = rows.mapInPandas(_tile_pairs(labels is not None), "a long, b long, times long, need long")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need"))
+        # all tiles of a pair give it in the second round, so there the count is exact; a nomination needs some support
+        least = F.col("need") if labels is not None else F.floor(F.col("need") / 3)
+        return pairs.filter(F.col("times") >= least).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked. Only texts that a pair needs are read again.
@@ -337,9 +364,9 @@ class JaccardJoin:
         texts = self.texts.join(F.broadcast(some), bucket(self.texts["sum"]) == some["_b"], "left_semi")
         who = need.select("rid", F.col("sum").alias("_sum"), F.col("doc_id").alias("_doc"))
         found = texts.join(who, (F.col("sum") == F.col("_sum")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-        hashes = found.select("rid", F.pandas_udf(_shingles, "array<long>")("text").alias("h"))
-        hashes = kept_table(hashes.groupBy("rid").agg(F.first("h").alias("h")), "needed-sets")
-        both = pairs.join(hashes.select(F.col("rid").alias("a"), F.col("h").alias("x")), "a").join(hashes.select(F.col("rid").alias("b"), F.col("h").alias("y")), "b")
+        # texts go to the pairs, not their sets: they take a quarter of the room when compressed
+        found = found.groupBy("rid").agg(F.first("text").alias("text"))
+        both = pairs.join(found.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
         return kept_table(both.mapInPandas(_exact, "a long, b long"), "exact-links")
 
     def labels(self) -> DataFrame:
