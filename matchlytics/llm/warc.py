@@ -50,7 +50,7 @@ def digest_of(payload: bytes) -> str:
 
 def _field(text: str) -> str:
     """A header value on one line: what isn't visible ASCII is percent-encoded."""
-    return re.sub(rb"[^\x21-\x7e]", lambda m: b"%%%02X" % m[0], text.encode("utf-8", "surrogatepass")).decode()
+    return re.sub(rb"[^\x21-\x7e]", lambda m: b"%%%02X" % m[0][0], text.encode("utf-8", "surrogatepass")).decode()
 
 
 def record(kind: str, key: str, date: str, url: str, digest: str, payload: bytes, refers: str | None, page: int | None) -> bytes:
