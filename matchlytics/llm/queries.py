@@ -44,16 +44,17 @@ def op6_token_rollups(spark: SparkSession, d: str) -> DataFrame:
     case, as a cleaning step would leave them. The second batch is sent twice."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     marks = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    low = token_rollups.with_tokens(docs.join(marks.filter("quality = 1 and toxic = 1"), "doc_id", "left_semi").withColumn("text", F.lower("text")), RANKS)
-    low = low.select("doc_id", F.col("tokens").alias("new"))
-    counted = kept_table(token_rollups.with_tokens(docs, RANKS).drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k/1")), "token-counts")
+    # both counts in one pass: texts are never shuffled
+    counted = token_rollups.with_tokens(token_rollups.with_tokens(docs, RANKS).withColumn("low", F.lower("text")), RANKS, text="low", out="new").drop("low")
+    counted = kept_table(counted.drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k/1")), "token-counts")
     store = new_folder(spark, "token-store")
     change = lambda rows, op: rows.withColumn("op", F.lit(op)).withColumn("old_tokens", F.lit(None).cast("long"))
     token_rollups.commit(store, "0001", change(counted, "insert"))
     gone = change(counted.join(marks.filter("quality = 0"), "doc_id", "left_semi"), "delete")
     for _ in range(2):
         token_rollups.commit(store, "0002", gone)
-    revised = counted.withColumnRenamed("tokens", "old_tokens").join(low.withColumnRenamed("new", "tokens"), "doc_id").withColumn("op", F.lit("revise"))
+    revised = counted.join(marks.filter("quality = 1 and toxic = 1"), "doc_id", "left_semi")
+    revised = revised.withColumnsRenamed({"tokens": "old_tokens", "new": "tokens"}).withColumn("op", F.lit("revise"))
     token_rollups.commit(store, "0003", revised)
     return token_rollups.totals(spark, store)
 
