@@ -24,13 +24,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MARK = "▁"
 UNKNOWN = 10.0
 #: Words that a task remembers; above it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: Characters of texts that are cut into words at a time, and bytes of new words segmented at a time.
-PIECE_OF_TEXT, STEP_BYTES = 1 << 22, 1 << 22
+PIECE_OF_TEXT, STEP_BYTES = 1 << 20, 1 << 22
 
 
 class Trie:
@@ -226,9 +227,18 @@ def _pieces(data: bytes) -> Pieces:
     return Pieces(model_pieces(data))
 
 
-def _encoder(model):
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(_pieces(model.value).encode_all(texts))
+def _encoder(model, text: str, out: str, drop: bool, rows: int = 512):
+    """Function for mapInArrow: adds the ids as the last column, a few rows at a time, so that ids never pile up."""
+    def encode(batches):
+        import pyarrow as pa
+
+        pieces = _pieces(model.value)
+        for batch in batches:
+            names = [n for n in batch.schema.names if not (drop and n == text)]
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = pa.array(pieces.encode_all(part.column(text).to_pylist()), type=pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], names=[*names, out])
     return encode
 
 
@@ -245,11 +255,11 @@ def _digester(model):
         low, high = int(pieces.bytes.min()), int(pieces.bytes.max())
         at = 0
         while at < len(texts):
-            part = texts.iloc[at : at + 2048]
+            part = texts.iloc[at : at + 512]
             for text, ids in zip(part, pieces.encode_all(part), strict=True):
                 fallback = int(((ids >= low) & (ids <= high)).sum()) if low >= 0 else 0
                 rows.append((len(ids), fallback, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), pieces.decode(ids) == (text or "")))
-            at += 2048
+            at += 512
         return pd.DataFrame(rows, columns=["n_pieces", "n_bytes", "ids_sha256", "round_trip"])
     return digest
 
@@ -259,9 +269,10 @@ def _shared(df: DataFrame, model_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of the text's pieces."""
-    return docs.withColumn(out, F.pandas_udf(_encoder(_shared(docs, model_path)), "array<int>")(F.col(text)))
+def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", drop_text: bool = False) -> DataFrame:
+    """Adds the ids of the text's pieces; with `drop_text` the text itself isn't carried along."""
+    made = StructType([f for f in docs.schema if not (drop_text and f.name == text)] + [StructField(out, ArrayType(IntegerType()))])
+    return docs.mapInArrow(_encoder(_shared(docs, model_path), text, out, drop_text), made)
 
 
 def decode(docs: DataFrame, model_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
