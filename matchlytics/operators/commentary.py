@@ -60,7 +60,7 @@ def register_spotter(spark, name: str, spotter):
             for t, label, conf in spotter(body):
                 yield float(t), str(label), float(conf)
 
-    spark.udtf.register(name, udtf(Spotter, returnType="t double, label string, conf double"))
+    spark.udtf.register(name, udtf(Spotter, returnType="t double, label string, conf double", useArrow=True))
 
 
 def isolate_failures(rows: DataFrame, value, *, raw: str, detector: str, by="match_id"):

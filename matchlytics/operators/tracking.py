@@ -33,12 +33,14 @@ def resolve_classes(names: DataFrame, defaults: dict | None = None, *, by="model
 def best_ball(dets: DataFrame, classes: DataFrame | None = None, *, by="clip_id") -> DataFrame:
     """Most confident ball per frame (first on ties); any detection of the dedicated model (`model` = 'ball') wins.
 
-    `classes` (class_id of role ball) restricts detections of the main model.
+    `classes` (class_id of role ball) restricts detections of the main model. Class ids belong to a model: where both
+    tables have a `model_id`, they are matched per model.
     """
     dedicated = F.col("model") == "ball"
     if classes is not None:
-        balls = classes.filter(F.col("role") == "ball").select("class_id").distinct()
-        dets = (dets.join(balls.withColumn("_ball", F.lit(True)), "class_id", "left")
+        keys = [c for c in ("model_id", "class_id") if c in dets.columns and c in classes.columns]
+        balls = classes.filter(F.col("role") == "ball").select(*keys).distinct()
+        dets = (dets.join(balls.withColumn("_ball", F.lit(True)), keys, "left")
                 .filter(dedicated | F.col("_ball")).drop("_ball"))
     order = F.struct(dedicated.cast("int").alias("m"), F.col("conf").alias("c"), (-F.col("det_ord")).alias("o"))
     box = F.struct(center_x().alias("ball_x"), center_y().alias("ball_y"), F.col("conf").alias("conf"), F.col("model").alias("model"))

@@ -254,3 +254,10 @@ def test_teams_feed_the_key_player(spark):
     # team of 1 and 3 ties with team of 2, which was first
     assert tracking.key_player_possession(players, ball, clips(spark), team).first().key_track_id == 2
     assert [r.frame for r in stride(ball, 4).orderBy("frame").collect()] == [0, 4, 8]
+
+
+def test_best_ball_keeps_models_apart(spark):
+    classes = spark.createDataFrame([("a", "ball", 1), ("b", "ball", 7), ("b", "player", 1)], "model_id string, role string, class_id long")
+    df = spark.createDataFrame([("c", 0, 0, "main", "b", 1, 0.9, 0.0, 0.0, 2.0, 2.0), ("c", 0, 1, "main", "b", 7, 0.5, 4.0, 4.0, 6.0, 6.0)],
+                               "clip_id string, frame int, det_ord int, model string, model_id string, class_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.ball_x, r.ball_y) for r in tracking.best_ball(df, classes).collect()] == [(5.0, 5.0)]
