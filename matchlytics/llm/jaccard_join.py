@@ -4,7 +4,7 @@ A document's set holds 64-bit hashes of its shingles. In one order of all shingl
 two sets with a similarity of 75 % share one of the first n - ceil(0.75 n) + 1 of either, so sets meet in tiles: one per
 such shingle, sorted by size, where a set is compared with those up to 4/3 of its size. A pair of a tile is bounded
 from above before anything exact is done: with bitmaps of the parities of the hashes, |A and B| <= (|A| + |B| - bits
-that differ) / 2. A pair must also come from as many tiles as its sizes ask for (see _shared_needed). What these bounds
+that differ) / 2. A bitmap has about as many bits as its set has hashes, as a full one bounds nothing. A pair must also come from as many tiles as its sizes ask for (see _shared_needed). What these bounds
 leave is decided by intersecting the sorted arrays of hashes.
 
 Groups of thousands of near copies would give millions of such pairs. So it goes in two rounds. In the first, each set of a tile
@@ -38,7 +38,8 @@ from .components import components
 WIDTH = 5
 #: Similarity from which two sets are linked: 100 * intersection >= SHARE * union.
 SHARE = 75
-BITS = 512
+#: Bits of the smallest and of the largest bitmap; the width follows the size of the set.
+BITS, MOST_BITS = 512, 4096
 #: Texts sampled for frequent shingles, and how many of them must hold one.
 SAMPLE, FREQUENT = 20_000, 8
 TILE = 20_000
@@ -119,7 +120,10 @@ def shingle_sets(texts) -> list[np.ndarray]:
 
 
 def parity_bits(hashes: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    width = BITS
+    while width < MOST_BITS and 3 * width < 2 * len(hashes):
+        width *= 2
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
 def prefix_of(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -185,9 +189,38 @@ def _shared_needed(a, b):
     return _needed(a, b) - (-(-SHARE * np.maximum(a, b) // 100) - 1)
 
 
-def _bounds(bits, i, j, n):
-    """Upper bound of the intersections of sets i and j."""
-    return (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)) // 2
+class Bitmaps:
+    """The bitmaps of some rows at every width up to their own: the parities of half a width are those of both halves together."""
+
+    def __init__(self, bits):
+        size = np.array([len(b) for b in bits], dtype=np.int64)
+        self.words = size // 8
+        self.planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rows, data = np.zeros(0, dtype=np.int64), np.zeros((0, MOST_BITS // 32), dtype=np.uint64)
+        width = MOST_BITS // 64
+        while width >= BITS // 64:
+            own = np.flatnonzero(self.words == width)
+            fresh = np.frombuffer(b"".join(bits[i] for i in own), dtype=np.uint64).reshape(len(own), width)
+            rows, data = np.r_[rows, own], np.concatenate([data[:, :width] ^ data[:, width:], fresh])
+            place = np.zeros(len(size), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            self.planes[width] = place, data
+            width //= 2
+
+    def differ(self, i, j):
+        """Number of bits in which rows i and j differ, at the smaller width of the two."""
+        width, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), dtype=np.int64)
+        for w, (place, data) in self.planes.items():
+            which = np.flatnonzero(width == w)
+            for c in range(0, len(which), (1 << 20) // w):
+                k = which[c : c + (1 << 20) // w]
+                out[k] = np.bitwise_count(data[place[i[k]]] ^ data[place[j[k]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _bounds(bits: Bitmaps, rows, i, j, n):
+    """Upper bound of the intersections of sets i and j, which are numbers into `rows`."""
+    return (n[i] + n[j] - bits.differ(rows[i], rows[j])) // 2
 
 
 def _tile_pairs(every: bool):
@@ -196,7 +229,7 @@ def _tile_pairs(every: bool):
 
     Either all of them of different labels, or for each row the one with the best bound among those before it.
     """
-    def one_tile(rid, n, side, label, bits):
+    def one_tile(rid, n, side, label, bits, rows):
         cross = side.min() != side.max()
         for a in range(0, len(rid), 256):
             i = np.arange(a, min(len(rid), a + 256))
@@ -210,7 +243,7 @@ def _tile_pairs(every: bool):
                 x, y = np.nonzero(ok)
                 for c in range(0, len(x), 1 << 17):
                     p, q = i[x[c : c + (1 << 17)]], j[y[c : c + (1 << 17)]]
-                    bound = _bounds(bits, p, q, n)
+                    bound = _bounds(bits, rows, p, q, n)
                     fine = bound >= _needed(n[p], n[q])
                     p, q, bound = p[fine], q[fine], bound[fine]
                     if every:
@@ -228,14 +261,14 @@ def _tile_pairs(every: bool):
                 has = np.flatnonzero(mate >= 0)
                 yield rid[i[has]], rid[mate[has]], _shared_needed(n[i[has]], n[mate[has]])
 
-    def small_tiles(group, rid, n, label, bits, longest):
+    def small_tiles(group, rid, n, label, bits, rows, longest):
         """All tiles of up to `longest` rows at once, by the distance of the two rows."""
         best, mate = np.full(len(rid), -1, dtype=np.int64), np.full(len(rid), -1, dtype=np.int64)
         for d in range(1, longest):
             i = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]) & (100 * n[:-d] >= SHARE * n[d:])) + d
             if not len(i):
                 continue
-            bound, least = _bounds(bits, i, i - d, n), _needed(n[i], n[i - d])
+            bound, least = _bounds(bits, rows, i, i - d, n), _needed(n[i], n[i - d])
             fine = bound >= least
             i, score = i[fine], (bound - least)[fine]
             if every:
@@ -254,15 +287,15 @@ def _tile_pairs(every: bool):
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(group)])
         rid, n, side, label = (frame[c].to_numpy() for c in ("rid", "n", "side", "label"))
-        bits = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(rid), -1)
+        bits = Bitmaps(frame["bits"].to_numpy())
         cut = key[:, 1] != key[:, 2]
         small = (sizes[group] <= 48) & ~cut
         if small.any():
             k = np.flatnonzero(small)
-            yield from small_tiles(group[k], rid[k], n[k], label[k], bits[k], int(sizes[group[k]].max()))
+            yield from small_tiles(group[k], rid[k], n[k], label[k], bits, k, int(sizes[group[k]].max()))
         for g in np.flatnonzero((sizes > 48) | cut[starts]):
-            k = slice(starts[g], starts[g] + sizes[g])
-            yield from one_tile(rid[k], n[k], side[k], label[k], bits[k])
+            k = np.arange(starts[g], starts[g] + sizes[g])
+            yield from one_tile(rid[k], n[k], side[k], label[k], bits, k)
 
     def pairs(frames):
         held: list[pd.DataFrame] = []
