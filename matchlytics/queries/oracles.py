@@ -64,8 +64,8 @@ step("o_scaled", """select *, cast(conf * 4611686018427387904 as hugeint) * 1000
 step("o_rounded", """select * exclude (low, rest), cast(low + case when rest > 2305843009213693952 or (rest = 2305843009213693952 and low % 2 = 1) then 1 else 0 end as double) / 1e3 as confidence from o_scaled""")
 step("o_ranked", "select *, row_number() over (partition by match_id order by confidence desc, rn0) as place from o_rounded")
 step("o_moments", """select match_id, t, greatest(0e0, t - case kind when 'goal' then 11e0 else 7e0 end) as start_s,
-  least(3000e0, t + case kind when 'goal' then 7e0 else 5e0 end) as end_s, confidence, kind, minute, sources, signal_count
-  from o_ranked where place <= 25""")
+  least(duration, t + case kind when 'goal' then 7e0 else 5e0 end) as end_s, confidence, kind, minute, sources, signal_count
+  from o_ranked join v_durations using (match_id) where place <= 25""")
 step("o_cuts", """select *, row_number() over (partition by match_id order by t, start_s) - 1 as clip_no,
   greatest(5e-1, end_s - start_s) as duration, greatest(0e0, t - start_s) as key_t from o_moments""")
 
@@ -244,6 +244,6 @@ def overlay_rows(src: str, keys: str) -> str:
       from ({' union all '.join(parts)}) q"""
 
 
-step("o_plan_in", f"""select c.*, (match_id + clip_no) % 40 as clip_id, s.metric, s.sprint_distance_m, s.top_speed_kmh, s.shot_distance_m, s.players_beaten,
+step("o_plan_in", f"""select c.*, (match_id + clip_no) % (select count(*) from v_clips) as clip_id, s.metric, s.sprint_distance_m, s.top_speed_kmh, s.shot_distance_m, s.players_beaten,
   list_extract({HOOKS}, cast((row_number() over (partition by match_id, kind order by t, clip_no) - 1) % len({HOOKS}) as int) + 1) as hook,
-  {CAPTION} as caption from o_cuts c left join o_stats_b s on s.clip_id = (match_id + clip_no) % 40""")
+  {CAPTION} as caption from o_cuts c left join o_stats_b s on s.clip_id = (match_id + clip_no) % (select count(*) from v_clips)""")

@@ -217,10 +217,10 @@ def _merge(spark, d):
 
 @query("replay_clusters", """select match_id, min(start_s) as t, 'scene' as source, least(1e0, count(*) / 6e0) as strength, count(*) as short_scenes
   from (select *, pos - row_number() over (partition by match_id order by pos) as run from (
-      select *, row_number() over (partition by match_id order by start_s, seq) as pos from v_scenes where end_s is not null) q where end_s - start_s <= 3e1) r
+      select *, row_number() over (partition by match_id order by start_s, seq) as pos from v_scenes) q where end_s - start_s <= 3e1) r
   group by match_id, run having count(*) >= 3""")
 def _replays(spark, d):
-    return scenes.replay_clusters(v.scenes(spark, d).filter("end_s is not null"), max_s=30.0)
+    return scenes.replay_clusters(v.scenes(spark, d), max_s=30.0)
 
 
 @query("cluster_signals", "select match_id, t, seq, source, cluster from o_clustered")
@@ -503,7 +503,7 @@ def _cuts(spark, d):
 
 
 @query("pad_moments", """select match_id, seq, t, kind, greatest(0e0, t - case kind when 'goal' then 11e0 else 7e0 end) as start_s,
-  least(3000e0, t + case kind when 'goal' then 7e0 else 5e0 end) as end_s from v_moment_rows""")
+  least(duration, t + case kind when 'goal' then 7e0 else 5e0 end) as end_s from v_moment_rows join v_durations using (match_id)""")
 def _pad(spark, d):
     return fusion.pad_moments(v.moment_rows(spark, d), v.durations(spark, d)).select("match_id", "seq", "t", "kind", "start_s", "end_s")
 
@@ -648,7 +648,8 @@ def _reel_plan(spark, d):
 
 @query("overlay_plan", o.overlay_rows("o_plan_in", "match_id, clip_no, clip_id, caption"))
 def _overlay_plan(spark, d):
-    cuts = _cuts(spark, d).withColumn("clip_id", (F.col("match_id") + F.col("clip_no")) % 40)
+    # the clips of the table take turns, however many they are
+    cuts = spark.sql("select *, (match_id + clip_no) % (select count(*) from {clips}) as clip_id from {cuts}", cuts=_cuts(spark, d), clips=v.clips(spark, d))
     return highlights.overlay_plan(cuts, _analytics(spark, d))
 
 

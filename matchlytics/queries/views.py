@@ -13,7 +13,6 @@ from ..functions.ordered import chunk_no, following, running_sum, with_position
 
 US = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
 US_SQL = "(epoch_us(ts)-1704067200000000)"
-MATCH_SECONDS = 3000.0
 
 SQL: dict[str, str] = {}
 VIEWS: dict = {}
@@ -59,16 +58,18 @@ def signals_of(spark, events: DataFrame) -> DataFrame:
     return spark.sql(f"select {_SIGNALS.format(us=US)} from {{e}}", e=events)
 
 
-@view("v_durations", "select distinct user_id as match_id, 3000e0 as duration from events")
+# a match lasts to the end of the second of its last event
+@view("v_durations", "select match_id, floor(max(t)) + 1e0 as duration from v_signals group by match_id")
 def durations(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").alias("match_id")).distinct().withColumn("duration", F.lit(MATCH_SECONDS))
+    return signals(spark, d).groupBy("match_id").agg((F.floor(F.max("t")) + 1.0).alias("duration"))
 
 
-@view("v_scenes", "select match_id, seq, t as start_s, lead(t) over (partition by match_id order by t, seq) as end_s from v_signals")
+@view("v_scenes", """select match_id, seq, t as start_s, coalesce(lead(t) over (partition by match_id order by t, seq), duration) as end_s
+from v_signals join v_durations using (match_id)""")
 def scenes(spark, d):
     rows = signals(spark, d).select("match_id", "t", "seq")
-    return (following(rows, "match_id", ["t", "seq"], ["t"], bucket=chunk_no("t", 600.0))
-            .select("match_id", "seq", F.col("t").alias("start_s"), F.col("next_t").alias("end_s")))
+    return (following(rows, "match_id", ["t", "seq"], ["t"], bucket=chunk_no("t", 600.0)).join(durations(spark, d), "match_id")
+            .select("match_id", "seq", F.col("t").alias("start_s"), F.coalesce("next_t", "duration").alias("end_s")))
 
 
 @view("v_ocr", f"""select match_id, seq, t, concat('ABC ', cast(h + case event_id % 7 when 0 then 3 else 0 end as string), ' - ', cast(a as string), ' ', cast(cast(floor(t/60) as int) as string), '''') as text
@@ -90,9 +91,9 @@ _SPOTS = """user_id as match_id, event_id as seq, {us}/864e6 as t,
   least(1e0, value/1e2) as conf"""
 
 
-@view("v_spots", f"select {_SPOTS.format(us=US_SQL)} from events where event_type='signup'")
+@view("v_spots", f"select {_SPOTS.format(us=US_SQL)} from events")
 def spots(spark, d):
-    return spark.sql(f"select {_SPOTS.format(us=US)} from {{e}} where event_type='signup'", e=table(spark, d, "events"))
+    return spark.sql(f"select {_SPOTS.format(us=US)} from {{e}}", e=table(spark, d, "events"))
 
 
 _LOUD = "cast(floor(o_orderkey/1e3) as bigint) as match_id, o_orderkey % 1000 as idx, (o_orderkey % 1000)*5e-1 as t, o_totalprice/5e5 as rms"
@@ -147,25 +148,25 @@ def words(spark, d):
 
 
 # Tracks that lose a player now and then and ball detections with gaps are what the tracking operators are for: a frame
-# without a detection has no row.
+# without a detection has no row. A value near 0 stands for a detection below the confidence asked for.
 _CLIP = "cast(floor(vec_id/5e1) as bigint) as clip_id, vec_id % 50 as frame"
 
 
 @view("v_players", f"""select {_CLIP}, k as track_id, k as det_ord,
   960e0 + 8e2*cast(embedding[2*k+1] as double) as cx, 540e0 + 8e2*cast(embedding[2*k+2] as double) as cy
-from (select vec_id, embedding, unnest(range(31)) as k from embeddings) q where (vec_id + k) % 11 <> 0""")
+from (select vec_id, embedding, unnest(range(31)) as k from embeddings) q where abs(cast(embedding[2*k+1] as double)) >= 14e-3""")
 def players(spark, d):
     return spark.sql(f"""select {_CLIP}, k as track_id, k as det_ord,
         960e0 + 8e2*cast(embedding[2*k] as double) as cx, 540e0 + 8e2*cast(embedding[2*k+1] as double) as cy
-        from (select vec_id, embedding, explode(sequence(0L,30L)) as k from {{e}}) q where (vec_id + k) % 11 <> 0""",
+        from (select vec_id, embedding, explode(sequence(0L,30L)) as k from {{e}}) q where abs(cast(embedding[2*k] as double)) >= 14e-3""",
                      e=table(spark, d, "embeddings"))
 
 
 @view("v_ball", f"""select {_CLIP}, 960e0 + 1e3*cast(embedding[63] as double) as ball_x, 540e0 + 8e2*cast(embedding[64] as double) as ball_y
-from embeddings where vec_id % 5 <> 0 and vec_id % 50 not between 20 and 29""")
+from embeddings where abs(cast(embedding[62] as double)) >= 3e-2""")
 def ball(spark, d):
     return spark.sql(f"""select {_CLIP}, 960e0 + 1e3*cast(embedding[62] as double) as ball_x, 540e0 + 8e2*cast(embedding[63] as double) as ball_y
-        from {{e}} where vec_id % 5 <> 0 and vec_id % 50 not between 20 and 29""", e=table(spark, d, "embeddings"))
+        from {{e}} where abs(cast(embedding[61] as double)) >= 3e-2""", e=table(spark, d, "embeddings"))
 
 
 # raw detections: three candidates per frame, of classes 0, 1, 2 (class 1 is the ball); now and then the third comes
