@@ -312,7 +312,7 @@ def _tile_pairs(every: bool):
                 continue
             held.append(frame)
             rows += len(frame)
-            if rows < 50_000:
+            if rows < 20_000:
                 continue
             frame = pd.concat(held, ignore_index=True)
             last = (frame[["sig", "lo", "hi"]] == frame[["sig", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
@@ -325,19 +325,23 @@ def _tile_pairs(every: bool):
     return pairs
 
 
-def _exact(frames):
-    """Pairs whose sorted arrays intersect in enough hashes."""
-    for frame in frames:
-        for at in range(0, len(frame), 500):
-            part = frame.iloc[at : at + 500]
-            texts = {**dict(zip(part["a"], part["x"], strict=True)), **dict(zip(part["b"], part["y"], strict=True))}
+def _exact(batches):
+    """Pairs whose sorted arrays intersect in enough hashes; only the texts of some hundred pairs leave Arrow at a time."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
+            left, right = part.column("a").to_pylist(), part.column("b").to_pylist()
+            texts = dict(zip(left, part.column("x").to_pylist(), strict=True)) | dict(zip(right, part.column("y").to_pylist(), strict=True))
             sets = dict(zip(texts, shingle_sets(texts.values()), strict=True))
-            ok = []
-            for a, b in zip(part["a"], part["b"], strict=True):
+            linked = []
+            for a, b in zip(left, right, strict=True):
                 small, large = sorted((sets[a], sets[b]), key=len)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                ok.append(100 * both >= SHARE * (len(small) + len(large) - both))
-            yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
+                if 100 * both >= SHARE * (len(small) + len(large) - both):
+                    linked.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 class JaccardJoin:
@@ -400,7 +404,7 @@ class JaccardJoin:
         # texts go to the pairs, not their sets: they take a quarter of the room when compressed
         found = found.groupBy("rid").agg(F.first("text").alias("text"))
         both = pairs.join(found.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
-        return kept_table(both.mapInPandas(_exact, "a long, b long"), "exact-links")
+        return kept_table(both.mapInArrow(_exact, "a long, b long"), "exact-links")
 
     def labels(self) -> DataFrame:
         """(rid, label) of all sets that are linked with another."""
