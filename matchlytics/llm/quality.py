@@ -152,9 +152,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", text: str = "text", alpha: float = 0.06, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns. Texts are measured again for the verdict, which is cheaper than to
-    shuffle them, and keeps rows with null or repeated keys apart."""
-    measured = docs.select(F.col(key), F.col(stratum), measures(F.col(text)).alias("m"))
-    cuts = kept_table(cutoffs(measured, labels, key=key, stratum=stratum, alpha=alpha, delta=delta), "cutoffs")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(stratum).alias("_lang"), measures(F.col(text)).alias("m"))
-    return with_verdict(rows, cuts, stratum="_lang").filter("kept").select("_doc.*")
+    """The documents that pass, all columns. Documents are written once beside their measures: the cutoffs read only the
+    measures, and filters never meet the measuring expressions, which would run again for every mention. Rows with null
+    or repeated keys stay apart."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_id"), F.col(stratum).alias("_lang"), measures(F.col(text)).alias("m"))
+    measured = kept_table(rows, "measured")
+    cuts = kept_table(cutoffs(measured.select(F.col("_id").alias(key), "_lang", "m"), labels, key=key, stratum="_lang", alpha=alpha, delta=delta), "cutoffs")
+    return with_verdict(measured, cuts, stratum="_lang").filter("kept").select("_doc.*")
