@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK, chunk_no, islands, keys_of, unnest, with_halo
+from ..functions.ordered import CHUNK, chunk_no, islands, keys_of, unnest, with_halo, with_position
 
 # Floor of the amplitude and dynamic range in dB.
 AMIN = 1e-5
@@ -40,15 +40,29 @@ def rms_envelope(samples: DataFrame, *, by="match_id", frame: int, hop: int) ->
             .select(*keys, "hop_no", F.sqrt(F.col("_e") / frame).alias("rms")))
 
 
-def loudness_db(frames: DataFrame, *, by="match_id", col: str = "rms", chunk: int = CHUNK) -> DataFrame:
-    """Amplitude in dB, floored at the loudest frame of the match minus 80 dB."""
+def _placed(df: DataFrame, by) -> DataFrame:
+    """Adds `_pos`, the place of a row of a key along `idx`: windows count rows, whatever the gaps in `idx`."""
+    return df if "_pos" in df.columns else with_position(df, by, ["idx"], bucket=chunk_no("idx"), name="_pos")
+
+
+def loudness_db(frames: DataFrame, *, by="match_id", col: str = "rms", chunk: int = CHUNK, placed: bool = False) -> DataFrame:
+    """Amplitude in dB, floored at the loudest frame of the match minus 80 dB.
+
+    `placed` adds `_pos` for the windows on the way, from the same chunks.
+    """
     keys = keys_of(by)
     rows = (frames.withColumn("_raw", 20 * F.log10(F.greatest(F.lit(AMIN), F.col(col) + 1e-9)))
             .withColumn("_b", chunk_no("idx", chunk)))
-    loudest = rows.groupBy(*keys, "_b").agg(F.max("_raw").alias("_top"))
-    loudest = loudest.select(*keys, "_b", F.max("_top").over(Window.partitionBy(*keys)).alias("_top"))
-    return (rows.join(loudest, [*keys, "_b"])
-            .select(*frames.columns, F.greatest("_raw", F.col("_top") - TOP_DB).alias("db")))
+    key = Window.partitionBy(*keys)
+    ahead = key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(*keys, "_b").agg(F.max("_raw").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    chunks = chunks.select(*keys, "_b", F.max("_top").over(key).alias("_top"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    place = []
+    if placed:
+        rows = rows.repartition(*keys, "_b").withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("idx")))
+        place = [(F.col("_off") + F.col("_rn") - 1).cast("long").alias("_pos")]
+    return (rows.join(chunks, [*keys, "_b"])
+            .select(*frames.columns, F.greatest("_raw", F.col("_top") - TOP_DB).alias("db"), *place))
 
 
 def _average(col: str, w: int, window) -> Column:
@@ -58,11 +72,11 @@ def _average(col: str, w: int, window) -> Column:
 
 def moving_avg(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "smooth",
                chunk: int = WINDOW_CHUNK) -> DataFrame:
-    """Box average of `w` rows along dense `idx`; rows beyond the ends count as zero."""
+    """Box average of `w` rows along `idx`, which may have gaps; rows beyond the ends count as zero."""
     if w <= 1:
         return df.withColumn(name, F.col(col))
-    rows = with_halo(df, by, "idx", size=chunk, before=w // 2, after=w - 1 - w // 2)
-    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
+    rows = with_halo(_placed(df, by), by, "_pos", size=max(chunk, w), before=w // 2, after=w - 1 - w // 2)
+    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("_pos")
     return rows.withColumn(name, _average(col, w, step)).filter("_own").select(*df.columns, name)
 
 
@@ -78,9 +92,9 @@ def _with_zscore(rows: DataFrame, col: str, w: int, window, name: str) -> DataFr
 
 
 def rolling_z(df: DataFrame, col: str, w: int, *, by="match_id", name: str = "z", chunk: int = WINDOW_CHUNK) -> DataFrame:
-    """Distance from the rolling median in rolling standard deviations, over +-w/2 rows along dense `idx`."""
-    rows = with_halo(df, by, "idx", size=chunk, before=w // 2, after=w // 2)
-    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
+    """Distance from the rolling median in rolling standard deviations, over +-w/2 rows along `idx`."""
+    rows = with_halo(_placed(df, by), by, "_pos", size=max(chunk, w), before=w // 2, after=w // 2)
+    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("_pos")
     return _with_zscore(rows, col, w, step, name).filter("_own").select(*df.columns, name)
 
 
@@ -88,15 +102,19 @@ def smoothed_z(df: DataFrame, col: str, *, smooth: int, baseline: int, by="match
                keep_chunk: bool = False) -> DataFrame:
     """`moving_avg` then `rolling_z` with one exchange: the halo covers the reach of both.
 
-    `keep_chunk` keeps the chunk number, by which the rows stay partitioned, for `audio_peaks`.
+    `keep_chunk` keeps the row's place and chunk number, by which the rows stay partitioned, for `audio_peaks`;
+    the chunk must not be smaller than the halo then.
     """
     reach = baseline // 2 + smooth
-    rows = with_halo(df, by, "idx", size=chunk, before=reach, after=reach)
-    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("idx")
+    if keep_chunk and chunk < reach:
+        raise ValueError(f"chunk {chunk} is smaller than the reach {reach} of the windows")
+    rows = with_halo(_placed(df, by), by, "_pos", size=max(chunk, reach), before=reach, after=reach)
+    step = Window.partitionBy(*keys_of(by), "_chunk").orderBy("_pos")
     averaged = _average(col, smooth, step) if smooth > 1 else F.col(col)
     rows = rows.withColumn("smooth", averaged)
     rows = _with_zscore(rows, "smooth", baseline, step, "z").filter("_own")
-    return rows.select(*df.columns, "smooth", "z", *(["_chunk"] if keep_chunk else []))
+    return rows.select(*df.columns, "smooth", "z", *(["_chunk"] if keep_chunk else []),
+                       *(["_pos"] if keep_chunk and "_pos" not in df.columns else []))
 
 
 def audio_peaks(df: DataFrame, *, thr: float = 2.2, by="match_id", chunk: int = WINDOW_CHUNK) -> DataFrame:
@@ -104,7 +122,7 @@ def audio_peaks(df: DataFrame, *, thr: float = 2.2, by="match_id", chunk: int =
     keys = keys_of(by)
     best = F.struct(F.col("z").alias("z"), (-F.col("idx")).alias("neg"), F.col("t").alias("t"))
     chunked = "_chunk" if "_chunk" in df.columns else None
-    runs = islands(df.filter(F.col("z") > thr), by, "idx", best, size=chunk, chunked=chunked)
+    runs = islands(_placed(df, by).filter(F.col("z") > thr), by, "_pos", best, size=chunk, chunked=chunked)
     return runs.select(*keys, (-F.col("best.neg")).alias("idx"), F.col("best.t").alias("t"),
                        F.col("best.z").alias("z"), "n")
 

@@ -27,10 +27,13 @@ def caption_lines(words: DataFrame, *, n: int = 4, by="clip_id", order=("turn",
                         F.element_at("_w", -1)["end_s"].alias("end_s"))
 
 
-def caption_schedule(lines: DataFrame, *, by="clip_id", order: str = "line_no", chunk: int = CHUNK) -> DataFrame:
-    """Drawn captions: blank lines are skipped but keep their number; times with two decimals."""
+def caption_schedule(lines: DataFrame, *, by="clip_id", order: str = "line_no", chunk: int = CHUNK, numbered: bool = False) -> DataFrame:
+    """Drawn captions: blank lines are skipped but keep their number; times with two decimals.
+
+    `numbered` says that `order` already counts the lines of a clip from 0, as `caption_lines` makes it.
+    """
     keys = keys_of(by)
-    rows = with_position(lines, by, [order], bucket=chunk_no(order, chunk), name="draw_no")
+    rows = lines.withColumn("draw_no", F.col(order)) if numbered else with_position(lines, by, [order], bucket=chunk_no(order, chunk), name="draw_no")
     text = strip(F.coalesce("text", F.lit("")))
     return rows.withColumn("text", text).filter(F.col("text") != "").select(
         *keys, "draw_no", "text", F.format_string("%.2f", "start_s").alias("from_s"),

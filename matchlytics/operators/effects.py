@@ -33,6 +33,13 @@ def slowmo_window(clips: DataFrame, *, factor: float = 0.4, window: float = 2.5)
             .withColumn("factor", F.when(fits, F.lit(float(factor)))).drop("_s", "_e"))
 
 
+def finished_length(clips: DataFrame, *, factor: float = 0.4, window: float = 2.5, freeze: float = 1.2) -> DataFrame:
+    """`duration` of the rendered segment: the cut, what slow motion adds to it, and the freeze frame."""
+    rows = slowmo_window(clips, factor=factor, window=window)
+    extra = F.coalesce((F.col("slow_to") - F.col("slow_from")) * (1 / F.col("factor") - 1), F.lit(0.0))
+    return rows.withColumn("duration", F.col("duration") + extra + F.lit(float(freeze))).select(*clips.columns)
+
+
 def time_remap(events: DataFrame, windows: DataFrame, *, by="clip_id", t: str = "event_t") -> DataFrame:
     """Adds out_t, the time of an event after slow motion, and the new clip length."""
     keys = keys_of(by)

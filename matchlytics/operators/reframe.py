@@ -14,6 +14,14 @@ def crop_width(aspect: str):
     return F.least(F.bround(F.col("height") * w / h).cast("long"), F.col("width").cast("long"))
 
 
+def letterbox(clips: DataFrame, *, width: int = 1080, height: int = 1920) -> DataFrame:
+    """Whole picture in a frame of another shape: size of the scaled picture and its place between the bars."""
+    w = F.least(F.lit(width), F.round(F.lit(height) * F.col("width") / F.col("height")).cast("int"))
+    h = F.least(F.lit(height), F.round(F.lit(width) * F.col("height") / F.col("width")).cast("int"))
+    rows = clips.withColumn("scaled_w", w).withColumn("scaled_h", h)
+    return rows.withColumns({"pad_x": F.floor((width - F.col("scaled_w")) / 2).cast("int"), "pad_y": F.floor((height - F.col("scaled_h")) / 2).cast("int")})
+
+
 def focus_track(frames: DataFrame, players: DataFrame, ball_path: DataFrame, *, by="clip_id") -> DataFrame:
     """Frame focus x: the ball, else the mean of all players; null if the frame has neither."""
     keys = [*keys_of(by), "frame"]

@@ -46,13 +46,14 @@ def _moves(base: Column, code: Column) -> Column:
     return (code - base == 1) | (code - base == HOME)
 
 
-def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0) -> DataFrame:
+def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 600.0, chunk: int = 512) -> DataFrame:
     """Signals where the score grows by one on one side relative to the last accepted score.
 
     The first parsed score is the baseline; any other jump is ignored and leaves the baseline, so the
-    outcome depends on everything before. Each time chunk maps every baseline it can change to the baseline
-    at its end, one pass over the chunk summaries finds the true baseline at each chunk start, and each
-    chunk then runs once from it. Repeats of the score before change nothing and are dropped first.
+    outcome depends on everything before. Time is cut into chunks and these into groups of `chunk` readings, so that
+    noisy texts make more groups, not larger ones. Each group maps every baseline it can change to the baseline
+    at its end, one pass over the summaries finds the true baseline at each start, and each
+    group then runs once from it. Repeats of the score before change nothing and are dropped first.
     """
     keys = keys_of(by)
     rows = (df.filter(F.col("home").isNotNull())
@@ -61,7 +62,8 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     step = Window.partitionBy(*keys, "_b").orderBy("t", "seq")
     before = F.lag("_code").over(step)
     reads = (rows.withColumn("_same", F.coalesce(before == F.col("_code"), F.lit(False))).filter(~F.col("_same"))
-             .groupBy(*keys, "_b")
+             .withColumn("_s", F.floor((F.row_number().over(step) - 1) / chunk).cast("long"))
+             .groupBy(*keys, "_b", "_s")
              .agg(F.sort_array(F.collect_list(F.struct("t", "seq", F.col("_code").alias("code"), "minute"))).alias("rs")))
 
     def leave(entry):
@@ -70,16 +72,16 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     starts = F.array_distinct(F.flatten(F.transform("rs", lambda r: F.array(r["code"] - 1, r["code"] - HOME))))
     none = F.lit(None).cast("long")
     summary = reads.select(
-        *keys, "_b", leave(none).alias("plain"),
+        *keys, "_b", "_s", leave(none).alias("plain"),
         F.transform(starts, lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("exits"))
-    line = summary.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "plain", "exits"))).alias("cs"))
+    line = summary.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_s", "plain", "exits"))).alias("cs"))
     entries = unnest(line, keys, F.aggregate(
-        "cs", F.struct(none.alias("s"), F.array().cast("array<struct<b:bigint,s:bigint>>").alias("out")),
+        "cs", F.struct(none.alias("s"), F.array().cast("array<struct<b:bigint,g:bigint,s:bigint>>").alias("out")),
         lambda acc, c: F.struct(
             F.when(acc["s"].isNull(), c["plain"]).otherwise(F.coalesce(
                 F.get(F.filter(c["exits"], lambda x: x["entry"] == acc["s"]), F.lit(0))["exit"], acc["s"])).alias("s"),
-            F.array_append(acc["out"], F.struct(c["_b"].alias("b"), acc["s"].alias("s"))).alias("out")))["out"], "_e")
-    entries = entries.select(*keys, F.col("_e.b").alias("_b"), F.col("_e.s").alias("_entry"))
+            F.array_append(acc["out"], F.struct(c["_b"].alias("b"), c["_s"].alias("g"), acc["s"].alias("s"))).alias("out")))["out"], "_e")
+    entries = entries.select(*keys, F.col("_e.b").alias("_b"), F.col("_e.g").alias("_s"), F.col("_e.s").alias("_entry"))
 
     def emit(acc, r):
         moved = acc["s"].isNotNull() & _moves(acc["s"], r["code"])
@@ -91,6 +93,6 @@ def score_changes(df: DataFrame, *, by="match_id", chunk_seconds: float = 3600.0
     fields = "t:double,seq:bigint,code:bigint,prev:bigint,minute:int"
     start = F.struct(F.col("_entry").alias("s"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
     shown = lambda c: F.concat_ws("-", F.floor(c / HOME), c % HOME)
-    return (unnest(reads.join(entries, [*keys, "_b"]), keys, F.aggregate("rs", start, emit)["out"], "c")
+    return (unnest(reads.join(entries, [*keys, "_b", "_s"]), keys, F.aggregate("rs", start, emit)["out"], "c")
             .select(*keys, "c.t", "c.seq", F.lit("scoreboard_ocr").alias("source"), F.lit(1.0).alias("strength"),
                     shown(F.col("c.code")).alias("score"), shown(F.col("c.prev")).alias("prev"), "c.minute"))

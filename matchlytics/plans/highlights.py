@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..config import AudioConfig, BrandConfig, ReelConfig
 from ..functions.ordered import CHUNK, keys_of
-from ..operators import audio, captions, effects, overlays, reel, scoreboard, stats, teams, tracking
+from ..operators import audio, captions, effects, overlays, pitch, reel, scoreboard, stats, teams, tracking
 from ..operators.fusion import detect_moments
 
 
 def audio_signals(frames: DataFrame, cfg: AudioConfig | None = None, *, by="match_id",
-                  chunk: int = audio.WINDOW_CHUNK) -> DataFrame:
-    """Loudness frames (idx, t, rms) to audio signals."""
+                  chunk: int = audio.WINDOW_CHUNK, chunk_seconds: float = 3600.0) -> DataFrame:
+    """Loudness frames (idx, t, rms) to audio signals; `idx` may have gaps."""
     cfg = cfg or AudioConfig()
-    db = audio.loudness_db(frames, by=by)
+    db = audio.loudness_db(frames, by=by, placed=True)
     z = audio.smoothed_z(db, "db", smooth=cfg.smooth_rows, baseline=cfg.baseline_rows, by=by, chunk=chunk, keep_chunk=True)
     peaks = audio.audio_peaks(z, thr=cfg.threshold, by=by, chunk=chunk)
-    return audio.peak_signals(audio.merge_peaks(peaks, min_gap=cfg.min_gap, by=by), thr=cfg.threshold, by=by)
+    return audio.peak_signals(audio.merge_peaks(peaks, min_gap=cfg.min_gap, by=by, chunk_seconds=chunk_seconds), thr=cfg.threshold, by=by)
 
 
 def scoreboard_signals(frames: DataFrame, *, every_s: float = 5.0, by="match_id") -> DataFrame:
@@ -28,10 +28,19 @@ def scoreboard_signals(frames: DataFrame, *, every_s: float = 5.0, by="match_id"
 
 
 def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, track_team: DataFrame | None = None,
-                   homography: DataFrame | None = None, *, by="clip_id", chunk: int = CHUNK) -> DataFrame:
-    """Key player and stats of every clip."""
+                   homography: DataFrame | None = None, *, classes: DataFrame | None = None, features: DataFrame | None = None,
+                   rounds: int = 10, every: int = 1, by="clip_id", chunk: int = CHUNK) -> DataFrame:
+    """Key player and stats of every clip.
+
+    The ball comes from detections of the resolved `classes`. Teams are given, or found from the jersey vectors
+    `features`. Maps of solved frames are smoothed and carried to the frames after them before they are used.
+    """
     keys = keys_of(by)
-    ball = tracking.best_ball(ball_dets, by=by)
+    if features is not None:
+        track_team = teams_of_tracks(features, by=by, rounds=rounds)
+    if homography is not None:
+        homography = pitch.smooth_homography(homography, every=every, by=by, chunk=chunk)
+    ball = tracking.best_ball(ball_dets, classes, by=by)
     path = tracking.interpolate_ball(ball, by=by, chunk=chunk)
     key = (tracking.key_player(players, ball, clips, by=by) if track_team is None
            else tracking.key_player_possession(players, ball, clips, track_team, by=by)).select(*keys, "key_track_id")
@@ -46,9 +55,15 @@ def teams_of_tracks(features: DataFrame, k: int = 2, *, by="clip_id", rounds: in
 
 def reel_plan(moments: DataFrame, cfg: ReelConfig | None = None, brand: BrandConfig | None = None, *,
               by="match_id") -> DataFrame:
-    """Moments to the timeline of one reel per match, with its caption on every part."""
+    """Moments to the timeline of one reel per match, with its caption on every part.
+
+    Segments count with their finished length, after slow motion and freeze frame. Where moments have a `status`,
+    only rendered ones (ok) are taken; all are numbered.
+    """
     keys, brand = keys_of(by), brand or BrandConfig()
-    cuts = effects.cut_list(moments, by=by).withColumn("ord", F.col("clip_no"))
+    cuts = effects.finished_length(effects.cut_list(moments, by=by), freeze=brand.freeze_seconds).withColumn("ord", F.col("clip_no"))
+    if "status" in moments.columns:
+        cuts = cuts.filter("status = 'ok'")
     reels = reel.select_reel(cuts, cfg, by=by).groupBy(*keys).agg(reel.segments(), *overlays.reel_counts())
     reels = reels.withColumn("caption", overlays.reel_caption_text(brand))
     return reel.explode_parts(reels, reel.timeline_parts(brand), *keys, "n_moments", "n_goals", "caption")

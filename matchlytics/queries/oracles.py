@@ -115,10 +115,23 @@ step("o_best_ball", """select clip_id, frame, first((x1 + x2) / 2 order by case
   first((y1 + y2) / 2 order by case model when 'ball' then 1 else 0 end desc, conf desc, det_ord) as ball_y,
   first(conf order by case model when 'ball' then 1 else 0 end desc, conf desc, det_ord) as conf,
   first(model order by case model when 'ball' then 1 else 0 end desc, conf desc, det_ord) as model
-  from v_dets where model = 'ball' or class_id = 1 group by clip_id, frame""")
+  from v_dets where model = 'ball' or class_id = 1 + clip_id % 5 % 2 group by clip_id, frame""")
 
 
-def _ball_steps(src: str, tag: str) -> None:
+def kmeans_steps(src: str, key: str, dim: int, tag: str, rounds: int) -> None:
+    """Steps of two-centre k-means of `src` (clip_id, frame, track_id, f): o_l<tag><i> labels, o_k<tag><i> centres."""
+    mean = f"select {{k}}, list(m order by i) as c from (select {{k}}, i, avg(x) as m from (select {{k}}, unnest(f) as x, unnest(range({dim})) as i from {{src}}) q group by {{k}}, i) r group by {{k}}"
+    step(f"o_m{tag}", mean.format(k="clip_id", src=src))
+    step(f"o_c{tag}", f"select clip_id, first(f order by list_distance(f, c) desc, frame, track_id) as c from {src} join o_m{tag} using (clip_id) group by clip_id")
+    step(f"o_k{tag}0", f"select clip_id, any_value(c) as a, first(f order by list_distance(f, c) desc, frame, track_id) as b from {src} join o_c{tag} using (clip_id) group by clip_id")
+    for i in range(rounds + 1):
+        step(f"o_l{tag}{i}", f"select s.*, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from {src} s join o_k{tag}{i} using (clip_id)")
+        step(f"o_n{tag}{i}", mean.format(k="clip_id, label", src=f"o_l{tag}{i}"))
+        step(f"o_k{tag}{i + 1}", f"""select k.clip_id, coalesce((select c from o_n{tag}{i} n where n.clip_id = k.clip_id and label = 0), k.a) as a,
+          coalesce((select c from o_n{tag}{i} n where n.clip_id = k.clip_id and label = 1), k.b) as b from o_k{tag}{i} k""")
+
+
+def _ball_steps(src: str, tag: str, team: str = "v_track_team") -> None:
     """Steps o_path<tag>, o_holders<tag>, o_votes<tag>, o_key<tag>, o_poss<tag>, stats ... of one ball table."""
     step(f"o_next{tag}", f"""select *, lead(frame) over w - frame as gap, lead(ball_x) over w as nx, lead(ball_y) over w as ny from {src}
       window w as (partition by clip_id order by frame)""")
@@ -131,13 +144,13 @@ def _ball_steps(src: str, tag: str) -> None:
     step(f"o_votes{tag}", f"select clip_id, track_id, count(*) as votes, min(frame) as since from o_near{tag} where place = 1 group by all")
     step(f"o_key{tag}", f"select clip_id, first(track_id order by votes desc, since) as key_track_id, max(votes) as votes from o_votes{tag} group by clip_id")
     step(f"o_attack{tag}", f"""select clip_id, first(team order by n desc, since) as attacking_team from (
-      select clip_id, team, sum(votes) as n, min(since) as since from o_votes{tag} join v_track_team using (clip_id, track_id) group by all) q group by clip_id""")
-    step(f"o_poss{tag}", f"""select k.clip_id, coalesce((select first(v.track_id order by v.votes desc, v.since) from o_votes{tag} v join v_track_team t using (clip_id, track_id)
+      select clip_id, team, sum(votes) as n, min(since) as since from o_votes{tag} join {team} using (clip_id, track_id) group by all) q group by clip_id""")
+    step(f"o_poss{tag}", f"""select k.clip_id, coalesce((select first(v.track_id order by v.votes desc, v.since) from o_votes{tag} v join {team} t using (clip_id, track_id)
         where v.clip_id = k.clip_id and t.team = a.attacking_team), k.key_track_id) as key_track_id, a.attacking_team
       from o_key{tag} k left join o_attack{tag} a using (clip_id)""")
 
 
-def _stat_steps(key: str, path: str, tag: str) -> None:
+def _stat_steps(key: str, path: str, tag: str, maps: str = "v_homography", coverage: str = "o_coverage") -> None:
     step(f"o_kp{tag}", f"select p.* from v_players p join {key} k on k.clip_id = p.clip_id and k.key_track_id = p.track_id")
     step(f"o_kd{tag}", f"select *, cx - lag(cx) over w as dx, cy - lag(cy) over w as dy from o_kp{tag} window w as (partition by clip_id order by frame, det_ord)")
     step(f"o_px_run{tag}", f"""select k.clip_id, coalesce(sum(sqrt(dx * dx + dy * dy)), 0e0) / (1920 / 6e1) as sprint_distance_m
@@ -148,7 +161,7 @@ def _stat_steps(key: str, path: str, tag: str) -> None:
     proj = """(h[1] * {x} + h[2] * {y} + h[3]) / (h[7] * {x} + h[8] * {y} + h[9]) as px, (h[4] * {x} + h[5] * {y} + h[6]) / (h[7] * {x} + h[8] * {y} + h[9]) as py"""
     for name, src, x, y in ((f"o_mr{tag}", f"o_kp{tag}", "cx", "cy"), (f"o_ms{tag}", f"o_tail{tag}", "ball_x", "ball_y")):
         where = " and back <= greatest(2, cast(floor(fps / 2) as int))" if x == "ball_x" else ""
-        step(f"{name}p", f"select s.clip_id, s.frame, {proj.format(x=x, y=y)} from {src} s join v_homography m using (clip_id, frame) where h is not null and abs(h[7] * {x} + h[8] * {y} + h[9]) >= 1e-9{where}")
+        step(f"{name}p", f"select s.clip_id, s.frame, {proj.format(x=x, y=y)} from {src} s join {maps} m using (clip_id, frame) where h is not null and abs(h[7] * {x} + h[8] * {y} + h[9]) >= 1e-9{where}")
         step(f"{name}d", f"""select *, sqrt((px - lag(px) over w) * (px - lag(px) over w) + (py - lag(py) over w) * (py - lag(py) over w)) as d,
           greatest(1, frame - lag(frame) over w) / 4e0 as dt from {name}p window w as (partition by clip_id order by frame)""")
         step(f"{name}s", f"""select clip_id, coalesce(sum(d) filter (where d <= 12), 0e0) as distance_m,
@@ -165,15 +178,19 @@ def _stat_steps(key: str, path: str, tag: str) -> None:
       case when coalesce(v.coverage > 5e-1, false) then mr.top_speed_kmh end as top_speed_kmh,
       case when coalesce(v.coverage > 5e-1, false) then ms.shot_distance_m else ps.shot_distance_m end as shot_distance_m,
       coalesce(b.players_beaten, 0) as players_beaten, k.key_track_id
-      from v_clips c left join o_coverage v using (clip_id) left join o_px_run{tag} pr using (clip_id) left join o_px_shot{tag} ps using (clip_id)
+      from v_clips c left join {coverage} v using (clip_id) left join o_px_run{tag} pr using (clip_id) left join o_px_shot{tag} ps using (clip_id)
       left join o_m_run{tag} mr using (clip_id) left join o_m_shot{tag} ms using (clip_id) left join o_beaten{tag} b using (clip_id) left join {key} k using (clip_id)""")
 
 
 step("o_coverage", "select clip_id, avg(case when h is not null then 1e0 else 0e0 end) as coverage, count(*) as n_frames from v_homography group by clip_id")
 _ball_steps("v_ball", "")
 _stat_steps("o_key", "o_path", "")
-_ball_steps("o_best_ball", "_b")
-_stat_steps("o_poss_b", "o_path_b", "_b")
+step("o_coverage_b", "select clip_id, avg(case when h is not null then 1e0 else 0e0 end) as coverage from o_hema group by clip_id")
+kmeans_steps("v_features", "clip_id", 3, "_t", 2)
+step("o_team_b", """select clip_id, track_id, first(label order by n desc, since) as team from (
+  select clip_id, track_id, label, count(*) as n, min(frame) as since from o_l_t2 group by all) q group by all""")
+_ball_steps("o_best_ball", "_b", "o_team_b")
+_stat_steps("o_poss_b", "o_path_b", "_b", "o_hema", "o_coverage_b")
 
 step("o_focus", """select f.clip_id, f.frame, coalesce(b.ball_x, p.mx) as x, row_number() over (partition by f.clip_id order by f.frame) as rn
   from v_frames f left join o_path b using (clip_id, frame) left join (select clip_id, frame, avg(cx) as mx from v_players group by all) p using (clip_id, frame)""")
@@ -213,7 +230,11 @@ def _reel_steps(items: str, key: str, tag: str) -> None:
 
 
 _reel_steps("v_reel_items", "reel_id", "")
-step("o_cut_items", "select *, clip_no as ord from o_cuts")
+# every clip of a moment in the first of five seconds has failed
+step("o_cut_status", "select *, case when cast(floor(t) as bigint) % 5 = 0 then 'failed' else 'ok' end as status from o_cuts")
+step("o_cut_slow", """select *, least(s + 25e-1, duration - 4e-1) as e from (
+  select *, least(greatest(4e-1, key_t - 25e-1 / 2), duration - 4e-1 - 1e-1) as s from o_cut_status where status = 'ok') q""")
+step("o_cut_items", """select * replace (duration + case when duration >= 4 and e - s >= 5e-1 then (e - s) * 15e-1 else 0e0 end + 12e-1 as duration), clip_no as ord from o_cut_slow""")
 _reel_steps("o_cut_items", "match_id", "_m")
 
 # ---- captions and overlays -----------------------------------------------------------------------------

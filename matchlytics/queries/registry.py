@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import LOG_KEYWORDS, AudioConfig, MomentConfig, config_hash, pitch_landmarks
@@ -59,11 +61,52 @@ def _pending(spark, d):
     return state.pending(v.durations(spark, d).select("match_id"), _done(spark, d), config_hash=HASH)
 
 
-@query("run_result_json", """select match_id, cast(to_json({match_id: match_id, moments: count(*), goals: count(*) filter (where kind = 'goal'), n_ok: count(*), n_failed: 0, status: 'ok', mode: 'per_clip',
-  clips: list({clip_no: clip_no, kind: kind, confidence: confidence, t: round(t, 3), minute: minute, status: 'ok'} order by clip_no)}) as string) as document from o_cuts group by match_id""")
-def _documents(spark, d):
-    clips = _cuts(spark, d).withColumn("status", F.lit("ok")).withColumn("t", F.round("t", 3))
-    return state.result_documents(overlays.run_summary(clips), clips)
+def _documents_sql(mode):
+    return f"""select match_id, cast(to_json({{match_id: match_id, moments: count(*), goals: count(*) filter (where kind = 'goal'), n_ok: count(*) filter (where status = 'ok'), n_failed: count(*) filter (where status = 'failed'),
+  status: case when count(*) filter (where status = 'ok') > 0 then 'ok' else 'failed' end, mode: '{mode}',
+  clips: list({{clip_no: clip_no, kind: kind, confidence: confidence, t: round(t, 3), minute: minute, status: status}} order by clip_no)}}) as string) as document from o_cut_status group by match_id"""
+
+
+def _with_status(df):
+    return df.withColumn("status", F.when(F.floor("t") % 5 == 0, "failed").otherwise("ok"))
+
+
+@query("run_result_json", _documents_sql("per_clip"))
+def _documents(spark, d, mode="per_clip"):
+    clips = _with_status(_cuts(spark, d)).withColumn("t", F.round("t", 3))
+    return state.result_documents(overlays.run_summary(clips, mode=mode), clips)
+
+
+@query("run_result_compilation", _documents_sql("compilation"))
+def _documents_compilation(spark, d):
+    return _documents(spark, d, "compilation")
+
+
+@query("missing_files", "select path from v_files where coalesce(size, 0) % 3 = 0 or coalesce(size, 0) % 5 = 0")
+def _missing(spark, d):
+    files = v.files(spark, d).withColumn("size", F.coalesce(F.col("size"), F.lit(0)))
+    present = files.filter("size % 3 <> 0").withColumn("size", F.when(F.col("size") % 5 == 0, 0).otherwise(F.col("size")))
+    return state.missing_files(files.select("path"), present)
+
+
+@query("load_or_compute", "select match_id, count(*) as n_signals from v_signals group by match_id")
+def _resume(spark, d):
+    """Some matches are saved by a first run; the second loads them and works out the others."""
+    signals, path = v.signals(spark, d), f"{state.shared_folder(spark)}/resume-{uuid.uuid4().hex}"
+    keys = v.durations(spark, d).select("match_id")
+
+    def compute(left):
+        return signals.join(left, "match_id", "left_semi").groupBy("match_id").agg(F.count(F.lit(1)).alias("n_signals"))
+
+    state.load_or_compute(spark, path, keys.filter("match_id % 2 = 0"), compute, config_hash=HASH)
+    return state.load_or_compute(spark, path, keys, compute, config_hash=HASH).drop("config_hash")
+
+
+@query("saved_captions", f"select match_id, seq, {o.CAPTION} as caption from v_moment_rows")
+def _saved_captions(spark, d):
+    path = f"{state.shared_folder(spark)}/captions-{uuid.uuid4().hex}"
+    state.write_captions(_clip_caption(spark, d), path, by=["match_id", "seq"], buckets=8)
+    return spark.read.schema("match_id long, seq long, caption string").json(path).select("match_id", "seq", "caption")
 
 
 @query("list_inputs", "select dir, path, size from v_files where regexp_matches(lower(path), '\\.(mp4|mkv|mov|m4v|avi|webm|ts)$') order by path")
@@ -114,6 +157,18 @@ def _roi(spark, d):
     return scoreboard.roi_box(media.probe_media(v.probe(spark, d)).select("media_id", "width", "height"))
 
 
+@query("stride", "select clip_id, frame from v_frames where frame % 3 = 0")
+def _stride(spark, d):
+    return scoreboard.stride(v.frames(spark, d), 3)
+
+
+@query("letterbox", """select media_id, width, height, w as scaled_w, h as scaled_h, cast((1080 - w) // 2 as int) as pad_x, cast((1920 - h) // 2 as int) as pad_y from (
+  select *, least(1080, cast(round(1920 * width / height) as int)) as w, least(1920, cast(round(1080 * height / width) as int)) as h from (
+    select media_id, cast(json_extract_string(js, '$.streams[0].width') as int) as width, cast(json_extract_string(js, '$.streams[0].height') as int) as height from v_probe) q) r""")
+def _letterbox(spark, d):
+    return reframe.letterbox(media.probe_media(v.probe(spark, d)).select("media_id", "width", "height"))
+
+
 @query("parse_score", "select match_id, seq, home, away from o_read")
 def _parse_score(spark, d):
     return scoreboard.read_scores(v.ocr(spark, d)).select("match_id", "seq", "home", "away")
@@ -202,7 +257,7 @@ def _z(spark, d):
 
 
 def _z_frames(spark, d):
-    return audio.smoothed_z(audio.loudness_db(v.loudness(spark, d)), "db", smooth=AUDIO.smooth_rows, baseline=AUDIO.baseline_rows)
+    return audio.smoothed_z(audio.loudness_db(v.loudness(spark, d)), "db", smooth=AUDIO.smooth_rows, baseline=AUDIO.baseline_rows, keep_chunk=True)
 
 
 @query("audio_peaks", f"select match_id, idx, t, {r6('z')}, n from o_peaks")
@@ -295,7 +350,7 @@ def _caption_lines(spark, d):
   select *, row_number() over (partition by clip_id order by line_no) - 1 as no from o_lines) q where line_no % 5 <> 3 and text <> ''""")
 def _caption_schedule(spark, d):
     blank = _lines(spark, d).withColumn("text", F.when(F.col("line_no") % 5 == 3, F.lit(" \t")).otherwise(F.col("text")))
-    return captions.caption_schedule(blank)
+    return captions.caption_schedule(blank, numbered=True)
 
 
 # ---- joins ---------------------------------------------------------------------------------------------
@@ -351,7 +406,15 @@ def _best_ball(spark, d):
 
 
 def _balls(spark, d):
-    return tracking.best_ball(v.dets(spark, d).filter("model = 'ball' or class_id = 1"))
+    return tracking.best_ball(_dets(spark, d), _det_classes(spark, d))
+
+
+def _dets(spark, d):
+    return v.dets(spark, d).withColumn("model_id", F.concat(F.lit("m"), (F.col("clip_id") % 5).cast("string")))
+
+
+def _det_classes(spark, d):
+    return tracking.resolve_classes(v.model_names(spark, d))
 
 
 @query("key_player", "select * from o_key")
@@ -572,18 +635,10 @@ def _reel_caption(spark, d):
 
 # ---- models --------------------------------------------------------------------------------------------
 o.step("o_f", "select cast(floor(vec_id/5e1) as bigint) as clip_id, vec_id % 50 as frame, vec_id as track_id, cast(embedding as double[]) as f from embeddings")
-_MEAN = "select {k}, list(m order by i) as c from (select {k}, i, avg(x) as m from (select {k}, unnest(f) as x, unnest(range(64)) as i from {src}) q group by {k}, i) r group by {k}"
-o.step("o_m0", _MEAN.format(k="clip_id", src="o_f"))
-o.step("o_c0", "select clip_id, first(f order by list_distance(f, c) desc, frame) as c from o_f join o_m0 using (clip_id) group by clip_id")
-o.step("o_k0", "select clip_id, any_value(c) as a, first(f order by list_distance(f, c) desc, frame) as b from o_f join o_c0 using (clip_id) group by clip_id")
-for _i in range(4):
-    o.step(f"o_l{_i}", f"select o_f.*, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k{_i} using (clip_id)")
-    o.step(f"o_n{_i}", _MEAN.format(k="clip_id, label", src=f"o_l{_i}"))
-    o.step(f"o_k{_i + 1}", f"""select k.clip_id, coalesce((select c from o_n{_i} n where n.clip_id = k.clip_id and label = 0), k.a) as a,
-      coalesce((select c from o_n{_i} n where n.clip_id = k.clip_id and label = 1), k.b) as b from o_k{_i} k""")
-
-
-@query("team_kmeans", "select clip_id, frame, track_id, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k4 using (clip_id)")
+o.kmeans_steps("o_f", "clip_id", 64, "_f", 4)
+
+
+@query("team_kmeans", "select clip_id, frame, track_id, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k_f4 using (clip_id)")
 def _kmeans(spark, d):
     rows = v.table(spark, d, "embeddings").selectExpr(
         "cast(floor(vec_id/5e1) as bigint) as clip_id", "vec_id % 50 as frame", "vec_id as track_id", "cast(embedding as array<double>) as feature")
@@ -625,6 +680,22 @@ def _audio(spark, d):
     return _r6(highlights.audio_signals(v.loudness(spark, d), AUDIO), "strength", "zscore")
 
 
+# small chunks: the results must not depend on where chunks end
+@query("audio_signals_chunked", ORACLES["audio_signals"])
+def _audio_chunked(spark, d):
+    return _r6(highlights.audio_signals(v.loudness(spark, d), AUDIO, chunk=64, chunk_seconds=40.0), "strength", "zscore")
+
+
+@query("score_changes_chunked", ORACLES["score_changes"])
+def _changes_chunked(spark, d):
+    return scoreboard.score_changes(scoreboard.read_scores(v.ocr(spark, d)), chunk_seconds=60.0, chunk=3)
+
+
+@query("camera_path_chunked", ORACLES["camera_path"])
+def _camera_chunked(spark, d):
+    return _r6(reframe.camera_path(v.frames(spark, d), v.players(spark, d), tracking.interpolate_ball(v.ball(spark, d), chunk=8), v.clips(spark, d), chunk=8), "cx")
+
+
 @query("scoreboard_signals", o.CHANGES.format(fold="o_sampled_score"))
 def _board(spark, d):
     frames = v.ocr(spark, d).withColumn("idx", F.floor(F.col("t") * 25).cast("long")).withColumn("fps", F.lit(25.0)).drop("t")
@@ -632,8 +703,8 @@ def _board(spark, d):
 
 
 def _analytics(spark, d):
-    dets = v.dets(spark, d).filter("model = 'ball' or class_id = 1")
-    return highlights.clip_analytics(v.players(spark, d), dets, v.clips(spark, d), v.track_team(spark, d), v.homography(spark, d))
+    return highlights.clip_analytics(v.players(spark, d), _dets(spark, d), v.clips(spark, d), homography=v.homography(spark, d),
+                                     classes=_det_classes(spark, d), features=v.features(spark, d), rounds=2)
 
 
 @query("clip_analytics", f"select clip_id, metric, {r6(*_STATS)}, players_beaten, key_track_id from o_stats_b")
@@ -643,7 +714,7 @@ def _analytics_query(spark, d):
 
 @query("reel_plan", f"select match_id, part_no, part, ord, {r6('duration', 'start_s', 'end_s')}, n_moments, n_goals, caption from o_timeline_m join o_reel_caption_m using (match_id)")
 def _reel_plan(spark, d):
-    return _r6(highlights.reel_plan(_moments(spark, d)), "duration", "start_s", "end_s")
+    return _r6(highlights.reel_plan(_with_status(_moments(spark, d))), "duration", "start_s", "end_s")
 
 
 @query("overlay_plan", o.overlay_rows("o_plan_in", "match_id, clip_no, clip_id, caption"))

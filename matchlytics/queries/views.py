@@ -185,6 +185,26 @@ def dets(spark, d):
                      e=table(spark, d, "embeddings"))
 
 
+# classes of five detection models: each names its ball differently
+_MODEL_NAMES = """concat('m', cast(r_regionkey as string)) as model_id, k as class_id,
+  case when k = 1 + r_regionkey % 2 then concat('Ball of ', r_name) when k = 0 then 'player' else 'referee' end as name"""
+
+
+@view("v_model_names", f"select {_MODEL_NAMES} from (select *, unnest(range(3)) as k from region) q")
+def model_names(spark, d):
+    return spark.sql(f"select {_MODEL_NAMES} from (select *, explode(sequence(0L, 2L)) as k from {{r}}) q", r=table(spark, d, "region"))
+
+
+# jersey vectors of all players of a frame
+_JERSEY = f"{_CLIP}, k as track_id, "
+
+
+@view("v_features", f"select {_JERSEY} [cast(embedding[k+1] as double), cast(embedding[k+17] as double), cast(embedding[k+33] as double)] as f from (select vec_id, embedding, unnest(range(31)) as k from embeddings) q")
+def features(spark, d):
+    return spark.sql(f"""select {_JERSEY} array(cast(embedding[k] as double), cast(embedding[k+16] as double), cast(embedding[k+32] as double)) as feature
+        from (select vec_id, embedding, explode(sequence(0L, 30L)) as k from {{e}}) q""", e=table(spark, d, "embeddings"))
+
+
 @view("v_boxes", """select clip_id, frame, track_id, cx - 20e0 - track_id as x1, cy - 45e0 as y1, cx + 20e0 as x2, cy + 45e0 - track_id * 4 as y2 from v_players""")
 def boxes(spark, d):
     return players(spark, d).selectExpr("clip_id", "frame", "track_id", "cx - 20e0 - track_id as x1", "cy - 45e0 as y1",
@@ -233,7 +253,7 @@ def track_labels(spark, d):
 def reel_items(spark, d):
     rows = with_position(table(spark, d, "lineitem"), "l_orderkey",
                          ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
-                         bucket=F.col("l_linenumber"), name="ord")
+                         bucket=chunk_no("l_linenumber", 1024), name="ord")
     return rows.selectExpr("l_orderkey as reel_id", "ord", "l_quantity as duration", "l_discount as confidence",
                            "case l_returnflag when 'A' then 'goal' when 'N' then 'chance' else 'card' end as kind")
 

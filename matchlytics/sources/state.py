@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +58,8 @@ def load_or_compute(spark: SparkSession, path: str, keys: DataFrame, compute, *,
     try:
         saved = spark.read.parquet(path).filter(F.col("config_hash") == config_hash)
         left = pending(keys, saved, by=by, config_hash=config_hash)
-    except Exception as exc:  # only a missing folder means that nothing has been saved
-        if "PATH_NOT_FOUND" not in str(exc):
+    except AnalysisException as exc:  # only a missing folder means that nothing has been saved
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         left = keys
     fresh = compute(left).withColumn("config_hash", F.lit(config_hash))
@@ -81,6 +82,6 @@ def write_results(df: DataFrame, path: str, *, by="match_id", fmt: str = "parque
     df.withColumn("bucket", bucket).write.mode("errorifexists").partitionBy("bucket").format(fmt).save(path)
 
 
-def write_captions(df: DataFrame, path: str, *, text: str = "caption") -> None:
-    """Caption texts as text files, one record per caption; line breaks inside a caption are escaped."""
-    df.select(F.replace(F.col(text), F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("errorifexists").text(path)
+def write_captions(df: DataFrame, path: str, *, by="match_id", text: str = "caption", buckets: int = 256) -> None:
+    """Captions with their keys as JSON lines (line breaks stay, escaped), in folders by key hash."""
+    write_results(df.select(*keys_of(by), text), path, by=by, fmt="json", buckets=buckets)

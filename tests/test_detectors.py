@@ -66,8 +66,8 @@ def test_score_jumps(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("chunk_seconds", [3.0, 1000.0])
-def test_score_changes_any_chunking(spark, seed, chunk_seconds):
+@pytest.mark.parametrize(("chunk_seconds", "chunk"), [(3.0, 512), (1000.0, 512), (1000.0, 4)])
+def test_score_changes_any_chunking(spark, seed, chunk_seconds, chunk):
     rnd = random.Random(seed)
     h = a = 0
     pairs = []
@@ -76,7 +76,7 @@ def test_score_changes_any_chunking(spark, seed, chunk_seconds):
         h, a = (h + 1, a) if step < 0.05 else (h, a + 1) if step < 0.1 else (h, a)
         pairs.append((h, a) if rnd.random() < 0.8 else (max(0, h + rnd.choice([-1, 0, 1])), max(0, a + rnd.choice([-1, 0, 2]))))
     reads = reading(*pairs)
-    assert run_scores(spark, reads, chunk_seconds=chunk_seconds) == scores_by_hand(reads)
+    assert run_scores(spark, reads, chunk_seconds=chunk_seconds, chunk=chunk) == scores_by_hand(reads)
 
 
 def peaks_by_hand(peaks, gap):
@@ -103,12 +103,14 @@ def test_merge_peaks_any_chunking(spark, seed, chunk_seconds):
     assert [(r.t, r.z) for r in got] == peaks_by_hand(peaks, 25.0)
 
 
-@pytest.mark.parametrize("chunk", [70, 100000])
-def test_loudness_chain(spark, chunk):
+@pytest.mark.parametrize("chunk", [8, 70, 100000])
+@pytest.mark.parametrize("gap", [0, 1, 40])
+def test_loudness_chain(spark, chunk, gap):
+    place = [i + gap * (i // 3) for i in range(400)]
     rng = np.random.default_rng(0)
     rms = rng.uniform(0, 1, 400) ** 3
     rms[50:60] = 0.0
-    df = spark.createDataFrame([("m", i, i * 0.5, float(x)) for i, x in enumerate(rms)], "match_id string, idx long, t double, rms double")
+    df = spark.createDataFrame([("m", place[i], i * 0.5, float(x)) for i, x in enumerate(rms)], "match_id string, idx long, t double, rms double")
     db = 20 * np.log10(np.maximum(1e-5, rms + 1e-9))
     db = np.maximum(db, db.max() - 80)
     smooth = np.convolve(db, np.ones(6) / 6, mode="same")
@@ -121,7 +123,7 @@ def test_loudness_chain(spark, chunk):
     peaks = audio.audio_peaks(out, thr=1.5, chunk=chunk).orderBy("idx").collect()
     runs = [list(g) for high, g in itertools.groupby(range(400), key=lambda i: z[i] > 1.5) if high]
     want = [(max(run, key=lambda i: (z[i], -i)), len(run)) for run in runs]
-    assert [(p.idx, p.n) for p in peaks] == want
+    assert [(p.idx, p.n) for p in peaks] == [(place[i], n) for i, n in want]
 
 
 def test_rms_envelope(spark):

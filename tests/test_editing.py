@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchlytics.config import BrandConfig, ReelConfig
 from matchlytics.functions.ordered import chunk_no
-from matchlytics.operators import captions, effects, overlays, reel
+from matchlytics.operators import captions, effects, overlays, reel, reframe
 from matchlytics.sources import logs, media, state
 
 
@@ -210,7 +210,15 @@ def test_writers(spark, tmp_path):
     state.write_results(df, str(tmp_path / "r"), buckets=4)
     assert spark.read.parquet(str(tmp_path / "r")).count() == 50
     state.write_captions(df, str(tmp_path / "c"))
-    assert spark.read.text(str(tmp_path / "c")).filter(r"value like 'a\\\\nb%'").count() == 50
+    back = spark.read.schema("match_id long, caption string").json(str(tmp_path / "c"))
+    assert sorted((r.match_id, r.caption) for r in back.collect()) == [(i, f"a\nb{i}") for i in range(50)]
+
+
+def test_finished_length_and_letterbox(spark):
+    df = spark.createDataFrame([(10.0, 5.0), (3.0, 1.0)], "duration double, key_t double")
+    assert sorted(round(r.duration, 6) for r in effects.finished_length(df).collect()) == [4.2, 14.95]
+    box = reframe.letterbox(spark.createDataFrame([(1920, 1080), (500, 1000)], "width int, height int"))
+    assert sorted(tuple(r)[2:] for r in box.collect()) == [(960, 1920, 60, 0), (1080, 608, 0, 656)]
 
 
 def test_missing_files(spark):
