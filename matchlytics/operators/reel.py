@@ -41,7 +41,8 @@ def select_reel(items: DataFrame, cfg: ReelConfig | None = None, *, by="reel_id"
     """Greedy choice: by confidence, skipping what would exceed `max_seconds`, until `target` is reached.
 
     The first item is taken whatever its length. Chosen rows come with `slot`, their chronological place.
-    Items are thinned per chunk of a reel first, so a reel of any size ends in a short list. Other columns
+    Items are thinned per chunk of a reel first: one stays only while the earlier ones that are not longer add up to less
+    than the target. Durations that fall along the order defeat this, and then all items meet in one row. Other columns
     travel along (they must be of sortable types); there is no join back to the items.
     """
     cfg = cfg or ReelConfig()
