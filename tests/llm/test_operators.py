@@ -250,3 +250,15 @@ def test_jaccard(docs, none, monkeypatch):
     one = jaccard_join.one_of_each(docs)
     assert one.columns == docs.columns and one.filter("text is not null").count() == len({g for g, s in zip(group, sets) if s}) + sum(1 for r, s in zip(rows, sets) if not s and r.text is not None)
     assert jaccard_join.one_of_each(none).collect() == []
+
+
+def test_kept_documents_of_odd_rows(spark):
+    """Null and repeated keys, repeated rows, null texts and columns named like those of the operator."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "en", "x"), (1, good, "en", "x"), (None, good, None, "y"), (2, None, "en", "z"), (3, "", "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, m string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.kept_documents(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.m) for r in kept.collect()) == [(0, "y"), (1, "x"), (1, "x")]
+    assert quality.kept_documents(docs.limit(0), labels).count() == 0
