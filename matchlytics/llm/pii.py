@@ -49,9 +49,12 @@ _NAMES = "|".join(n for names in GIVEN.values() for n in names.split())
 _TITLE = "|".join(TITLES)
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
 
+#: What stands before a secret.
+_SECRET = r"(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)[\"']?\s*[:=]"
+
 PATTERNS = (
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
-    ("secret", re.compile(r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)[\"']?\s*[:=]\s*[\"']?(?P<x>[^\s\"'<>,;]{6,})")),
+    ("secret", re.compile(rf"(?i){_SECRET}\s*[\"']?(?P<x>[^\s\"'<>,;]{{6,}})")),
     ("secret", re.compile(r"(?<![\w])(?P<x>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![\w])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)")),
@@ -61,9 +64,25 @@ PATTERNS = (
 )
 NAME = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})\.?\s+(?:(?P<g1>{_NAMES})\s+)?(?P<f1>{_CAP})|(?P<g2>{_NAMES})\s+(?P<f2>{_CAP}))(?!\w)")
 
+#: Part of each pattern, by type, that no match is without: what the gate looks for.
+CORES = {
+    "email": r"@",
+    "digits": r"(?=\d)(?:\d{3}[\s.-]\d{3}|\d{3}-\d{2}-\d{4}|\d(?:[ -]?\d){12}|(?:\d{1,3}\.){3}\d)|\+\d{8}",  # phone, ssn, card, ip
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}",
+    "secret": rf"(?=[aApPsStT\x{{17F}}])(?iu:{_SECRET})|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9_-]{{20}}|eyJ|[0-9a-fA-F]{{32}}",
+    "name": rf"(?=[\p{{Lu}}г])(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLE})\.?|{_NAMES})\s+[^a-zß-öø-ÿ]",
+}
+
+
+def _java(regex: str) -> str:
+    r"""`regex` for Java, with Python's \s, and Python's \d (Java's may lack the digits that Unicode added last)."""
+    space = "".join(f"\\x{{{n:x}}}" for n in range(0x3001) if chr(n).isspace())
+    digit = r"\p{Nd}\x{16AC0}-\x{16AC9}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}"
+    return regex.replace(r"\s", f"[{space}]").replace(r"\d", f"[{digit}]")
+
+
 #: Java regex that every text with an entity meets.
-GATE = (r"@|\d[ .()-]{0,2}\d[ .()-]{0,2}\d[ .()-]{0,2}\d[ .()-]{0,2}\d|(?:\d{1,3}\.){3}\d|(?i:token|secret|key|passw|pwd)[\"']?\s*[:=]|AKIA|sk-|eyJ|gh[pousr]_|[0-9a-fA-F]{32}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}|"
-        rf"(?U)(?<!\w)(?=\p{{Lu}}|г)(?:{_TITLE}|{_NAMES})(?!\w)")
+GATE = "|".join(map(_java, CORES.values()))
 
 
 def _script(word: str) -> str:
@@ -71,6 +90,16 @@ def _script(word: str) -> str:
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
 
 
+def _plain(text: str) -> str:
+    """Digits of all scripts as 0 to 9."""
+    return text if text.isascii() else re.sub(r"\d", lambda m: str(int(m[0])), text)
+
+
+def _like_digit(new: str, old: str) -> str:
+    """`new`, if it is a digit, in the script of the digit `old`."""
+    return chr(ord(old) - int(old) + int(new)) if new.isdecimal() and old.isdecimal() else new
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value), sorted and free of overlaps; earlier patterns win."""
     found: list[tuple[int, int, str, str]] = []
@@ -88,9 +117,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 value = value.lower()
             elif kind in ("card", "ssn", "phone"):
-                value = re.sub(r"\D", "", value)
-            elif kind == "iban":
-                value = value.replace(" ", "")
+                value = _plain(re.sub(r"\D", "", value))
+            elif kind in ("iban", "ip"):
+                value = _plain(value.replace(" ", ""))
             add(a, b, kind, value)
     for m in NAME.finditer(text):
         given = m["g1"] or m["g2"]
@@ -118,7 +147,7 @@ class _Stream:
         return value % n
 
     def like(self, text: str) -> str:
-        """Digits for digits and letters for letters, hex for hex."""
+        """Digits for digits (of the same script) and letters for letters, hex for hex."""
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and len(text) >= 16:
             digits = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
             return "".join(digits[self.below(16)] for _ in text)
@@ -126,7 +155,7 @@ class _Stream:
         out = []
         for c in text:
             letters = next((x for a, b, x in kinds if a <= c <= b), "abcdefghijklmnopqrstuvwxyz" if c.isalpha() else None)
-            out.append(letters[self.below(len(letters))] if letters else c)
+            out.append(letters[self.below(len(letters))] if letters else _like_digit(str(self.below(10)), c) if c.isdecimal() else c)
         return "".join(out)
 
 
@@ -180,9 +209,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 def rendered(kind: str, new: str, mention: str) -> str:
     """The surrogate in the form of the mention."""
+    digit = next((c for c in mention if c.isdecimal()), "0")
     if kind in ("card", "ssn", "phone", "iban"):
         chars = iter(new)
-        return "".join(next(chars, "") if c.isalnum() else c for c in mention) + "".join(chars)
+        return "".join(_like_digit(next(chars, ""), c) if c.isalnum() else c for c in mention) + "".join(_like_digit(c, digit) for c in chars)
+    if kind == "ip":
+        return "".join(_like_digit(c, digit) for c in new)
     if kind == "email":
         return new.upper() if mention.isupper() else new
     if ":" in kind:

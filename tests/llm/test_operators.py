@@ -108,6 +108,27 @@ def test_surrogates(docs, none):
     assert pii.with_surrogates(none, key=b"k").collect() == []
 
 
+def test_gate_passes_what_the_patterns_find(spark):
+    """The smallest example of each pattern, separator and digit passes the gate alone, and none comes back as it was."""
+    spaces = [chr(n) for n in range(0x3001) if re.fullmatch(r"\s", chr(n))]
+    digits = [chr(n) for n in range(0x110000) if re.fullmatch(r"\d", chr(n)) and int(chr(n)) == 3]
+    assert len(spaces) > 20 and len(digits) > 60
+    texts = [f"{k}{q}{s}{c}hunter2xyz" for k in ("token", "SECRET", "apikey", "api_key", "api-key", "accesskey", "access_key", "password", "passwd", "Password", "pa\u017fsword", "api\u212aey", "pwd") for q in ("", '"', "'") for s in ("", " ", "\n") for c in ":="]
+    texts += [f"pwd{s}:abcdef" for s in spaces] + ["pwd:\u0663\u0661\u0662\u0663\u0661\u0662"]
+    texts += [f"030{s}123{s}567" for s in [*spaces, ".", "-"]] + [f"+1{s}(30){s}123{s}5678" for s in spaces] + ["(30)123 567", "12 345 678", "+12345678"]
+    texts += [f"{d * 3}\u00a0{d * 3}\u00a0{d * 3}" for d in digits] + [f"+{d * 8}" for d in digits]
+    texts += [f"{d * 3}-{d * 2}-{d * 4}" for d in digits] + [d * 13 for d in digits] + [".".join("\u0661\u0662\u0663\u0664")]
+    texts += ["a@b.cc", "4" * 13, "4-4 4-4 4-4 4-4 4-4 4-4 4", "1.2.3.4", "111-22-3333", "DE89370400440532", "DE89 3704 0044 0532", "DE\u0668\u0669370400440532"]
+    texts += ["AKIA" + "A0" * 8, "ghp_" + "a" * 36, "sk-" + "a" * 20, "eyJ" + "a" * 10 + "." + "b" * 10 + ".c", "0a" * 16, "0A" * 16, "0a" * 20, "0A" * 20, "0a" * 32, "0A" * 32]
+    texts += [f"{x}{s}Zz" for x in [*pii.TITLES, "Dr.", *" ".join(pii.GIVEN.values()).split()] for s in (" ", "\n", "\u00a0", "\x1c")] + ["\u200dJohn Zz", "\u0301Mr Zz", "Anna  Éz"]
+    assert [t for t in texts if not pii.mentions(t)] == []
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in rows.filter(~pii.gate(rows.text)).collect()] == []
+    assert [t for t, r in zip(texts, pii.with_surrogates(rows, key=b"k").orderBy("doc_id").collect()) if r.text == t] == []
+    assert [v for *_, v in pii.mentions("\u0660\u0663\u0660 1234 5678, 030 1234 5678")] == ["03012345678"] * 2  # one entity in two scripts
+    assert pii.rendered("phone", "99887766", "\u0660\u0663 \u0661\u0662\u0663 \u0661\u0662\u0663") == "\u0669\u0669 \u0668\u0668\u0667 \u0667\u0666\u0666"
+
+
 def test_surrogates_stay_distinct(spark):
     values = [("ip", f"10.0.0.{i}") for i in range(1, 200)] + [("email", f"{i}@a.example") for i in range(100)]
     rows = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
