@@ -5,8 +5,8 @@
 2. Assign: all distinct entities of the corpus get a candidate surrogate from an HMAC of type, value and attempt. A
    candidate that is an entity of the corpus itself, or that another entity has (the smaller value keeps it), is
    tried again with the next attempt. So different entities stay different, one entity is replaced the same way in
-   all texts and spellings, and no surrogate points at anyone in the corpus. Later attempts lengthen the value, so
-   that a full format cannot stop the assignment.
+   all texts and spellings, and no surrogate points at anyone in the corpus. Later attempts lengthen the value, or
+   take addresses from wider ranges, so that a full format cannot stop the assignment.
 3. Replace: each distinct text gets the surrogates of its own entities by joins, and the values are written
    back in the form of the mention (separators, brackets, upper case).
 
@@ -148,7 +148,7 @@ class _Stream:
 
     def like(self, text: str) -> str:
         """Digits for digits (of the same script) and letters for letters, hex for hex."""
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and len(text) >= 16:
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and len(text) >= 16 and not text.isdecimal():
             digits = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
             return "".join(digits[self.below(16)] for _ in text)
         kinds = (("0", "9", "0123456789"), ("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -172,7 +172,7 @@ def _iban_rest(iban: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """Candidate in canonical form. From the third attempt on, forms of free length grow."""
+    """Candidate in canonical form. From attempt 3 on, values grow and private addresses come from all of 10/8; from attempt 8 on, addresses come from 240/4."""
     s, more = _Stream(key, f"{kind}\0{value}\0{attempt}"), max(0, attempt - 2)
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -181,23 +181,25 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return s.like(value) + s.like("0" * more)
     if kind == "ip":
         first = re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", value)
-        kept = first[0] if first else ""
+        kept = "" if not first else first[0] if not more else "10."
+        if attempt >= 8:
+            return ".".join(str(n) for n in (240 + s.below(15), *(1 + s.below(254) for _ in range(3))))
         rest = [str(1 + s.below(254)) for _ in range(4 - kept.count("."))]
         if not kept:
             while rest[0] in ("10", "127", "172", "192"):
                 rest[0] = str(1 + s.below(223))
         return kept + ".".join(rest)
     if kind == "card":
-        body = value[0] + s.like(value[1:])
+        body = value[0] + s.like(value[1:] + "0" * more)
         if luhn(value) == 0:
             body = next(b for b in (body[:-1] + str(d) for d in range(10)) if luhn(b) == 0)
         return body
     if kind == "iban":
-        body = value[:2] + "00" + s.like(value[4:])
+        body = value[:2] + "00" + s.like(value[4:] + "0" * more)
         return value[:2] + (f"{98 - _iban_rest(body):02d}" if _iban_rest(value) == 1 else s.like(value[2:4])) + body[4:]
     if kind in ("phone", "ssn"):
         head = 1 if len(value) > 10 else 0
-        return value[:head] + str(2 + s.below(8)) + s.like(value[head + 1 :])
+        return value[:head] + str(2 + s.below(8)) + s.like(value[head + 1 :] + "0" * more)
     part, gender, script = kind.split(":")
     pool = GIVEN.get((gender, script), "").split()
     if part == "given" and pool and attempt == 0:

@@ -136,6 +136,20 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.kind, r.new) for r in rows} & set(values)
 
 
+def test_full_formats_do_not_stop_the_assignment(spark):
+    full = spark.range(254 * 254).selectExpr("'ip' as kind", "concat('192.168.', 1 + id div 254, '.', 1 + id % 254) as value")
+    new = pii.assign(full, b"k")
+    assert new.count() == new.select("new").distinct().count() == 254 * 254
+    assert new.join(full.select(full.value.alias("new")), "new").count() == 0 and new.filter("new not like '10.%'").count() == 0
+    for kind, value in (("card", "4111111111111111"), ("card", "41111111111111113"), ("phone", "03012345678"), ("phone", "12345678"), ("ssn", "111223333"), ("iban", "DE89370400440532013000")):
+        made = [pii.surrogate(b"k", kind, value, i) for i in range(6)]
+        assert [len(x) - len(value) for x in made] == [0, 0, 0, 1, 2, 3]
+        assert kind == "iban" or "".join(made).isdecimal()
+        assert kind != "card" or pii.luhn(value) or not any(map(pii.luhn, made))
+        assert kind != "iban" or {pii._iban_rest(x) for x in made} == {1}
+    assert all(pii.surrogate(b"k", "ip", x, 8).startswith("24") or pii.surrogate(b"k", "ip", x, 8).startswith("25") for x in ("10.1.2.3", "8.8.8.8"))
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ö\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>é</p>"), (5, "u", "z" * 100_000), (5, "u", "z" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
