@@ -59,6 +59,45 @@ def test_license_spans_resolve():
     assert licenses.resolved([(0, 10, 1, 0), (2, 5, 2, 1), (2, 12, 2, 2), (0, 10, 1, 3)]) == [(0, 10, 1, 0), (2, 12, 2, 2)]
 
 
+def branches(parsed):
+    """Strings of a parsed regex: each alternative and each option at least once, white space as line breaks."""
+    if not len(parsed):
+        return [""]
+    from re import _constants as c
+    op, at = parsed[0]
+    if op is c.SUBPATTERN:
+        here = branches(at[-1])
+    elif op is c.BRANCH:
+        here = [x for b in at[1] for x in branches(b)]
+    elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+        here = [x * at[0] for x in branches(at[2])] if at[0] else ["", *branches(at[2])]
+    elif op is c.IN:
+        kind, x = at[0]
+        here = [{c.CATEGORY_SPACE: "\n", c.CATEGORY_DIGIT: "1"}.get(x, "x")] if kind is c.CATEGORY else [chr(x[0] if kind is c.RANGE else x)] if kind is not c.NEGATE else ["x"]
+    else:
+        here = [chr(at)] if op is c.LITERAL else [""] if op in (c.AT, c.ASSERT, c.ASSERT_NOT) else ["x"]
+    rest = branches(parsed[1:])
+    return list(dict.fromkeys([x + rest[0] for x in here] + [here[0] + y for y in rest]))
+
+
+def test_license_alternatives_alone(spark):
+    """Each alternative of each rule, with nothing else in the text and line breaks between the words."""
+    from re import _parser
+    texts = []
+    for no, r in enumerate(licenses.rules()):
+        assert not any(" " in k for k in (*r.keywords, *r.gate))
+        for t in branches(_parser.parse(r.regex)):
+            if re.search(r.regex, t):
+                texts.append(t)
+                assert no in {d[3] for d in licenses.detections(t)}, (r, t)
+        assert no in {d[3] for d in licenses.detections(texts[-1])}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in rows.filter(~licenses.gate(rows.text)).collect()] == []
+    for text, label in (("Licensed under the GPL", "gpl"), ("the Expat License", "mit"), ("Simplified License", "bsd-2"), ("MIT No Attribution", "mit-0"),
+                        ("GNU General\nPublic License", "gpl"), ("placed into the public\ndomain", "public-domain"), ("the open\nsoftware license", "osl")):
+        assert label in licenses.scan_text(text)[4].split(",")
+
+
 def measured(t):
     found = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     triples = collections.Counter(zip(found, found[1:], found[2:]))
