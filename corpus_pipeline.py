@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the word pieces of each text of the mix."""
-    return sentence_pieces.encode(docs.select("doc_id", "source", "lang", "text"), MODEL, drop_text=True)
+    """Ids of the word pieces of each text of the mix, and whether decoding them gives the text back."""
+    return sentence_pieces.encode(docs.select("doc_id", "source", "lang", "text"), MODEL, drop_text=True, round_trip="round_trip")
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("surrogates", surrogates), ("mix", mix), ("pieces", pieces)]

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -227,7 +227,7 @@ def _pieces(data: bytes) -> Pieces:
     return Pieces(model_pieces(data))
 
 
-def _encoder(model, text: str, out: str, drop: bool, rows: int = 512):
+def _encoder(model, text: str, out: str, drop: bool, rows: int = 512, flag=None):
     """Function for mapInArrow: adds the ids as the last column, a few rows at a time, so that ids never pile up."""
     def encode(batches):
         import pyarrow as pa
@@ -237,8 +237,12 @@ def _encoder(model, text: str, out: str, drop: bool, rows: int = 512):
             names = [n for n in batch.schema.names if not (drop and n == text)]
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = pa.array(pieces.encode_all(part.column(text).to_pylist()), type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], names=[*names, out])
+                texts = part.column(text).to_pylist()
+                ids = pieces.encode_all(texts)
+                made = {out: pa.array(ids, type=pa.list_(pa.int32()))}
+                if flag:
+                    made[flag] = pa.array([pieces.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)], type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made.values()], names=[*names, *made])
     return encode
 
 
@@ -269,10 +273,14 @@ def _shared(df: DataFrame, model_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", drop_text: bool = False) -> DataFrame:
-    """Adds the ids of the text's pieces; with `drop_text` the text itself isn't carried along."""
-    made = StructType([f for f in docs.schema if not (drop_text and f.name == text)] + [StructField(out, ArrayType(IntegerType()))])
-    return docs.mapInArrow(_encoder(_shared(docs, model_path), text, out, drop_text), made)
+def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", drop_text: bool = False, round_trip: str | None = None) -> DataFrame:
+    """Adds the ids of the text's pieces; with `drop_text` the text itself isn't carried along.
+
+    `round_trip` names a column for whether decoding the ids gives the text back.
+    """
+    new = [(out, ArrayType(IntegerType())), (round_trip, BooleanType())]
+    made = StructType([f for f in docs.schema if not (drop_text and f.name == text)] + [StructField(n, kind) for n, kind in new if n])
+    return docs.mapInArrow(_encoder(_shared(docs, model_path), text, out, drop_text, flag=round_trip), made)
 
 
 def decode(docs: DataFrame, model_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -280,6 +280,21 @@ def test_pieces(docs):
     assert all(r.decoded == (r.text or "") for r in rows)
 
 
+def test_pieces_stage_decodes(spark, docs, monkeypatch):
+    """The last stage says whether the ids give the text back, also where they don't."""
+    import corpus_pipeline
+    rows = corpus_pipeline.pieces(spark, docs, "").collect()
+    assert rows and "text" not in rows[0] and all(r.round_trip for r in rows)
+    pieces = sentence_pieces.Pieces(sentence_pieces.model_pieces(open(MODEL, "rb").read()))
+    monkeypatch.setattr(sentence_pieces, "_pieces", lambda data: pieces)
+    monkeypatch.setattr(pieces, "decode", lambda ids: "lost")
+    import pyarrow as pa
+    from types import SimpleNamespace
+    batch = pa.RecordBatch.from_pydict({"text": ["lost", "kept", None]})
+    made = list(sentence_pieces._encoder(SimpleNamespace(value=b""), "text", "ids", False, flag="round_trip")([batch]))
+    assert [x for b in made for x in b.column("round_trip").to_pylist()] == [True, False, False]
+
+
 def test_suffix_dedup(docs, none, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
     rows = docs.collect()
