@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, licenses, mixing, pii, quality, sentence_pieces, suffix_dedup, token_rollups, topk, warc
+from . import chat_format, importance_resampling, jaccard_join, licenses, mixing, pii, quality, sentence_pieces, structure_repair, suffix_dedup, token_rollups, topk, warc
 from .common import kept_table, new_folder, table
 
 
@@ -79,7 +79,25 @@ def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.JaccardJoin(table(spark, d, "documents")).documents().select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op3_surrogates, op4_warc, op5_mixing, op6_token_rollups, op7_topk, op8_suffix_dedup, op9_pieces, op10_jaccard)}
+def op11_chat(spark: SparkSession, d: str) -> DataFrame:
+    """The log of all conversations and of one more, whose texts are control strings, folded, rendered and read back."""
+    said = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(said)
+    return chat_format.read_back(chat_format.format_conversations(chat_format.conversation_log(rows)))
+
+
+def op12_structure(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations")
+    return structure_repair.Repair(structure_repair.damaged(rows)).report(rows)
+
+
+def op13_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_quality, op3_surrogates, op4_warc, op5_mixing, op6_token_rollups, op7_topk, op8_suffix_dedup, op9_pieces, op10_jaccard,
+                                   op11_chat, op12_structure, op13_resampling)}
 ORACLES: dict[str, str] = {
     "op7_topk": """
 with v as (select vec_id, row_number() over () as no, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
@@ -88,4 +106,35 @@ s as (select q.vec_id as query_id, q.no as qno, c.vec_id, c.no, cast(list_inner_
       from v q join v c on q.no <> c.no where q.vec_id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by qno order by score desc, vec_id nulls last, no) as rank from s) t where rank <= 20""",
+    "op11_chat": r"""
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+           union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+m as (select *, len(regexp_extract_all(coalesce(role, '') || chr(10) || text, '<\\*(\|turn\|>|\|text\|>|\|end\|>|s>|/s>)|\[\\*(INST\]|/INST\])')) as marks from c),
+t as (select conv_id, count(*) as n_turns, string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by turn nulls first, role nulls first, text) as told,
+             coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role nulls first, text), '') as learnt,
+             cast(sum(length(coalesce(role, '')) + length(text) + marks + length('<|turn|><|text|><|end|>')) as bigint) as formatted_chars
+      from m group by conv_id)
+select conv_id, n_turns, sha256(told) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars from t""",
+    # CRC-32 by its table of 256 steps, over the bytes of each distinct n-gram
+    "op13_resampling": r"""
+with crc as (select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps
+             from range(256) r(i)),
+texts as (select row_number() over () as no, doc_id, text, false as aim from documents union all select row_number() over (), null, text, true from benchmark),
+w as (select no, doc_id, aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+f as (select no, aim, unnest(list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))) as f from w where len(ws) > 0),
+c as (select no, aim, f, count(*) as n from f group by all),
+b as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(encode(f))) // 2), lambda i: cast('0x' || substr(hex(encode(f)), 2 * i + 1, 2) as bigint))),
+                    lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+      from (select distinct f from c) d, crc),
+e as (select no, aim, bucket, sum(n) as n from c join b using (f) group by all),
+g as (select bucket, coalesce(sum(n) filter (aim), 0) as t, coalesce(sum(n) filter (not aim), 0) as s from e group by bucket),
+l as (select bucket, floor(1000 * ln(((t + 1)::double * ((select sum(s) from g) + 10000)::double) / ((s + 1)::double * ((select sum(t) from g) + 10000)::double))) as gain from g),
+d as (select no, sum(n) as n, floor(sum(n * gain) / sum(n)) as weight from e join l using (bucket) where not aim group by no),
+r as (select w.no, doc_id, len(ws) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296))) as score
+      from w left join d on w.no = d.no where not aim),
+k as (select no, row_number() over (order by score desc, doc_id nulls last, n_features) as rank, count(*) over () as total from r where n_words >= 20)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+       case when rank <= 25 * total // 100 then rank end as rank from r left join k using (no)""",
 }
