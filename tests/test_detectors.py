@@ -79,6 +79,37 @@ def test_score_changes_any_chunking(spark, seed, chunk_seconds, chunk):
     assert run_scores(spark, reads, chunk_seconds=chunk_seconds, chunk=chunk) == scores_by_hand(reads)
 
 
+def changes_by_scan(reads):
+    base, out = None, []
+    for t, _, h, a, minute in sorted(reads):
+        if base is None:
+            base = (h, a)
+        elif (h, a) in ((base[0] + 1, base[1]), (base[0], base[1] + 1)):
+            out.append((t, f"{h}-{a}", f"{base[0]}-{base[1]}", minute))
+            base = (h, a)
+    return out
+
+
+@pytest.mark.parametrize("fan", [1, 2, 16])
+def test_score_changes_over_composed_maps(spark, fan):
+    """Several matches of unequal length, with more groups than one row chains."""
+    rnd, rows, want = random.Random(5), [], []
+    for m, n in (("a", 1), ("b", 40), ("c", 700)):
+        reads = [(float(i), i, i // 40 + rnd.choice([0, 0, 0, 1, 2, 5]), i // 55 + rnd.choice([0, 0, 0, 1, 3]), rnd.randint(0, 90)) for i in range(n)]
+        rows += [(m, *r) for r in reads]
+        want += [(m, *c) for c in changes_by_scan(reads)]
+    df = spark.createDataFrame(rows, "match_id string, t double, seq long, home int, away int, minute int").repartition(3)
+    got = scoreboard.score_changes(df, chunk_seconds=100.0, chunk=5, fan=fan)
+    assert sorted((r.match_id, r.t, r.score, r.prev, r.minute) for r in got.collect()) == sorted(want) and len(want) > 10
+
+
+def test_one_match_of_many_noisy_readings(spark):
+    rnd = random.Random(8)
+    reads = [(i / 10, i, rnd.randint(0, 99), rnd.randint(0, 99), None) for i in range(200_000)]
+    want = changes_by_scan(reads)
+    assert run_scores(spark, reads) == want and len(want) > 20
+
+
 def peaks_by_hand(peaks, gap):
     """Takes the earliest peak, lets it absorb or lose to what follows within the gap, and goes on after that."""
     queue, kept = collections.deque(sorted(peaks)), []
