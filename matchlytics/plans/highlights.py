@@ -29,7 +29,7 @@ def scoreboard_signals(frames: DataFrame, *, every_s: float = 5.0, by="match_id"
 
 def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, track_team: DataFrame | None = None,
                    homography: DataFrame | None = None, *, classes: DataFrame | None = None, features: DataFrame | None = None,
-                   rounds: int = 10, every: int = 1, by="clip_id", chunk: int = CHUNK) -> DataFrame:
+                   every: int = 1, by="clip_id", chunk: int = CHUNK) -> DataFrame:
     """Key player and stats of every clip.
 
     The ball comes from detections of the resolved `classes`. Teams are given, or found from the jersey vectors
@@ -37,7 +37,7 @@ def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, t
     """
     keys = keys_of(by)
     if features is not None:
-        track_team = teams_of_tracks(features, by=by, rounds=rounds)
+        track_team = teams_of_tracks(features, by=by)
     if homography is not None:
         homography = pitch.smooth_homography(homography, every=every, by=by, chunk=chunk)
     ball = tracking.best_ball(ball_dets, classes, by=by)
@@ -47,9 +47,9 @@ def clip_analytics(players: DataFrame, ball_dets: DataFrame, clips: DataFrame, t
     return stats.clip_stats(players, path, key, clips, homography, by=by, chunk=chunk)
 
 
-def teams_of_tracks(features: DataFrame, k: int = 2, *, by="clip_id", rounds: int = 10) -> DataFrame:
+def teams_of_tracks(features: DataFrame, k: int = 2, *, by="clip_id") -> DataFrame:
     """Jersey vectors (frame, track_id, feature) to one team per track, for `clip_analytics`."""
-    votes = teams.team_vote(teams.team_kmeans(features, k, by=by, rounds=rounds), by=by)
+    votes = teams.team_vote(teams.team_kmeans(features, k, by=by), by=by)
     return votes.select(*keys_of(by), "track_id", "team")
 
 

@@ -118,17 +118,29 @@ step("o_best_ball", """select clip_id, frame, first((x1 + x2) / 2 order by case
   from v_dets where model = 'ball' or class_id = 1 + clip_id % 5 % 2 group by clip_id, frame""")
 
 
-def kmeans_steps(src: str, key: str, dim: int, tag: str, rounds: int) -> None:
-    """Steps of two-centre k-means of `src` (clip_id, frame, track_id, f): o_l<tag><i> labels, o_k<tag><i> centres."""
-    mean = f"select {{k}}, list(m order by i) as c from (select {{k}}, i, avg(x) as m from (select {{k}}, unnest(f) as x, unnest(range({dim})) as i from {{src}}) q group by {{k}}, i) r group by {{k}}"
-    step(f"o_m{tag}", mean.format(k="clip_id", src=src))
-    step(f"o_c{tag}", f"select clip_id, first(f order by list_distance(f, c) desc, frame, track_id) as c from {src} join o_m{tag} using (clip_id) group by clip_id")
-    step(f"o_k{tag}0", f"select clip_id, any_value(c) as a, first(f order by list_distance(f, c) desc, frame, track_id) as b from {src} join o_c{tag} using (clip_id) group by clip_id")
-    for i in range(rounds + 1):
-        step(f"o_l{tag}{i}", f"select s.*, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from {src} s join o_k{tag}{i} using (clip_id)")
-        step(f"o_n{tag}{i}", mean.format(k="clip_id, label", src=f"o_l{tag}{i}"))
-        step(f"o_k{tag}{i + 1}", f"""select k.clip_id, coalesce((select c from o_n{tag}{i} n where n.clip_id = k.clip_id and label = 0), k.a) as a,
-          coalesce((select c from o_n{tag}{i} n where n.clip_id = k.clip_id and label = 1), k.b) as b from o_k{tag}{i} k""")
+def kmeans_steps(src: str, dim: int, tag: str) -> None:
+    """Step o_l<tag>: labels of two-centre k-means of `src` (clip_id, frame, track_id, f), five starts run until no label moves."""
+    chance = "((cast('0x' || substr(md5(concat_ws(':', s, {j}, frame, track_id)), 1, 8) as bigint) + 5e-1) / 4294967296e0)"
+    near = "case when list_distance(f, {b}) < list_distance(f, {a}) then 1 else 0 end"
+    step(f"o_s{tag}", f"""select clip_id, s, first(f order by {chance.format(j=0)}, frame, track_id) as a from {src}, range(5) r(s)
+      where clip_id in (select clip_id from {src} group by clip_id having count(*) >= 6) group by clip_id, s""")
+    step(f"o_i{tag}", f"""select clip_id, s, any_value(a) as a,
+      coalesce(first(f order by ln({chance.format(j=1)}) / pow(list_distance(f, a), 2) desc) filter (list_distance(f, a) > 0), any_value(a)) as b
+      from {src} join o_s{tag} using (clip_id) group by clip_id, s""")
+    step(f"o_r{tag}", f"""select clip_id, s, 0 as i, a, b, cast(null as double[]) as pa, cast(null as double[]) as pb from o_i{tag}
+      union all
+      select clip_id, s, i + 1, list(coalesce(ma, a[d + 1]) order by d), list(coalesce(mb, b[d + 1]) order by d), a, b from (
+        select clip_id, s, i, a, b, d, avg(x) filter (label = 0) as ma, avg(x) filter (label = 1) as mb, count(*) filter (label <> before) as moved from (
+          select *, unnest(f) as x, unnest(range({dim})) as d from (
+            select r.*, f, {near.format(a="a", b="b")} as label, case when pa is null then -1 else {near.format(a="pa", b="pb")} end as before
+            from o_r{tag} r join {src} using (clip_id)) q) q group by clip_id, s, i, a, b, d) q
+      group by clip_id, s, i, a, b having sum(moved) > 0""")
+    step(f"o_e{tag}", f"""select clip_id, s, a, b, sum(least(pow(list_distance(f, a), 2), pow(list_distance(f, b), 2))) as spread
+      from (select * from o_r{tag} qualify row_number() over (partition by clip_id, s order by i desc) = 1) q join {src} using (clip_id) group by all""")
+    step(f"o_k{tag}", f"""select clip_id, first(a order by s) as a, first(b order by s) as b from (select *, min(spread) over (partition by clip_id) as least from o_e{tag}) q
+      where spread <= (1 + 1e-9) * least group by clip_id""")
+    step(f"o_l{tag}", f"""select clip_id, frame, track_id, cast(label <> first_value(label) over (partition by clip_id order by frame, track_id) as integer) as label
+      from (select clip_id, frame, track_id, {near.format(a="a", b="b")} as label from {src} join o_k{tag} using (clip_id)) q""")
 
 
 def _ball_steps(src: str, tag: str, team: str = "v_track_team") -> None:
@@ -186,9 +198,9 @@ step("o_coverage", "select clip_id, avg(case when h is not null then 1e0 else 0e
 _ball_steps("v_ball", "")
 _stat_steps("o_key", "o_path", "")
 step("o_coverage_b", "select clip_id, avg(case when h is not null then 1e0 else 0e0 end) as coverage from o_hema group by clip_id")
-kmeans_steps("v_features", "clip_id", 3, "_t", 2)
+kmeans_steps("v_features", 3, "_t")
 step("o_team_b", """select clip_id, track_id, first(label order by n desc, since) as team from (
-  select clip_id, track_id, label, count(*) as n, min(frame) as since from o_l_t2 group by all) q group by all""")
+  select clip_id, track_id, label, count(*) as n, min(frame) as since from o_l_t group by all) q group by all""")
 _ball_steps("o_best_ball", "_b", "o_team_b")
 _stat_steps("o_poss_b", "o_path_b", "_b", "o_hema", "o_coverage_b")
 

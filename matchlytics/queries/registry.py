@@ -635,14 +635,14 @@ def _reel_caption(spark, d):
 
 # ---- models --------------------------------------------------------------------------------------------
 o.step("o_f", "select cast(floor(vec_id/5e1) as bigint) as clip_id, vec_id % 50 as frame, vec_id as track_id, cast(embedding as double[]) as f from embeddings")
-o.kmeans_steps("o_f", "clip_id", 64, "_f", 4)
+o.kmeans_steps("o_f", 64, "_f")
 
 
-@query("team_kmeans", "select clip_id, frame, track_id, case when list_distance(f, b) < list_distance(f, a) then 1 else 0 end as label from o_f join o_k_f4 using (clip_id)")
+@query("team_kmeans", "select * from o_l_f")
 def _kmeans(spark, d):
     rows = v.table(spark, d, "embeddings").selectExpr(
         "cast(floor(vec_id/5e1) as bigint) as clip_id", "vec_id % 50 as frame", "vec_id as track_id", "cast(embedding as array<double>) as feature")
-    return teams.team_kmeans(rows, rounds=4).drop("feature")
+    return teams.team_kmeans(rows).drop("feature")
 
 
 def _sentences(text):
@@ -704,7 +704,7 @@ def _board(spark, d):
 
 def _analytics(spark, d):
     return highlights.clip_analytics(v.players(spark, d), _dets(spark, d), v.clips(spark, d), homography=v.homography(spark, d),
-                                     classes=_det_classes(spark, d), features=v.features(spark, d), rounds=2)
+                                     classes=_det_classes(spark, d), features=v.features(spark, d))
 
 
 @query("clip_analytics", f"select clip_id, metric, {r6(*_STATS)}, players_beaten, key_track_id from o_stats_b")

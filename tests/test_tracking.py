@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 from collections import Counter
 
@@ -218,28 +220,47 @@ def test_team_vote(spark):
     assert got == {7: 1, 8: 0}
 
 
-def lloyd_by_hand(x, k, rounds):
-    far = lambda cs: x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in cs], axis=0))]
-    cs = [far([x.mean(0)])]
-    while len(cs) < k:
-        cs.append(far(cs))
-    for _ in range(rounds):
-        lab = np.argmin([((x - c) ** 2).sum(1) for c in cs], axis=0)
+def lloyd_by_hand(x, cs):
+    """Lloyd's passes from centres `cs` until no label moves; the sum of squares that is left, and the labels."""
+    lab = None
+    while True:
+        gaps = np.array([((x - c) ** 2).sum(1) for c in cs])
+        new = gaps.argmin(axis=0)
+        if lab is not None and (new == lab).all():
+            return gaps.min(axis=0).sum(), lab
+        lab = new
         cs = [x[lab == i].mean(0) if (lab == i).any() else c for i, c in enumerate(cs)]
-    return np.argmin([((x - c) ** 2).sum(1) for c in cs], axis=0)
 
 
-def test_team_kmeans(spark):
+def starts_by_hand(x, places, k, n):
+    chance = lambda s, j, p: (int(hashlib.md5(":".join(map(str, (s, j, *p))).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    for s in range(n):
+        cs = [x[min(range(len(x)), key=lambda i: chance(s, 0, places[i]))]]
+        for j in range(1, k):
+            gap = np.min([((x - c) ** 2).sum(1) for c in cs], axis=0)
+            pull = [math.log(chance(s, j, p)) / g if g > 0 else -math.inf for p, g in zip(places, gap)]
+            cs.append(x[int(np.argmax(pull))] if max(pull) > -math.inf else cs[0])
+        yield cs
+
+
+@pytest.mark.parametrize(("k", "whole"), [(2, 100), (3, 100), (2, 0), (3, 30)])
+def test_team_kmeans(spark, k, whole):
     rng = np.random.default_rng(0)
-    rows, want = [], {}
-    for clip, n in ((1, 40), (2, 25), (3, 5)):
-        x = rng.normal(0, 1, (n, 4)) + np.where(np.arange(n)[:, None] % 2, 3.0, 0.0)
+    rows, want, alone = [], {}, set()
+    for clip, n in ((1, 40), (2, 25), (3, 5), (4, 90), (5, 12)) if whole else ((1, 40), (2, 25), (4, 90), (5, 12)):
+        x = rng.normal(0, 1, (n, 4)) + np.where(np.arange(n)[:, None] % 2, 1.5, 0.0) if clip != 5 else np.ones((n, 4))
         rows += [(clip, i, i, [float(v) for v in r]) for i, r in enumerate(x)]
-        if n >= 6:
-            want |= {(clip, i): int(lab) for i, lab in enumerate(lloyd_by_hand(x, 2, 5))}
-    df = spark.createDataFrame(rows, "clip_id long, frame long, track_id long, feature array<double>")
-    got = {(r.clip_id, r.frame): r.label for r in teams.team_kmeans(df, rounds=5).collect()}
-    assert got == want and set(Counter(got.values())) == {0, 1}
+        if n >= 3 * k:
+            ends = [lloyd_by_hand(x, cs) for cs in starts_by_hand(x, [(i, i) for i in range(n)], k, 5)]
+            alone.add(len({round(e, 9) for e, _ in ends}))
+            least = min(e for e, _ in ends)
+            lab = next(lab for e, lab in ends if e <= least * (1 + 1e-9))
+            number = {v: i for i, v in enumerate(dict.fromkeys(lab.tolist()))}
+            want |= {(clip, i): number[v] for i, v in enumerate(lab.tolist())}
+    assert max(alone) > 1  # the starts do end in different places
+    df = spark.createDataFrame(rows, "clip_id long, frame long, track_id long, feature array<double>").repartition(4)
+    got = {(r.clip_id, r.frame): r.label for r in teams.team_kmeans(df, k, whole=whole, chunk=8).collect()}
+    assert got == want and set(Counter(got.values())) == set(range(k))
 
 
 def test_teams_feed_the_key_player(spark):
@@ -247,7 +268,7 @@ def test_teams_feed_the_key_player(spark):
     from matchlytics.plans import highlights
     rng = np.random.default_rng(1)
     feats = [(1, f, t, [float(t % 2) * 5 + float(rng.normal(0, 0.1)), 0.0]) for f in range(6) for t in (1, 2, 3)]
-    team = highlights.teams_of_tracks(spark.createDataFrame(feats, "clip_id long, frame long, track_id long, feature array<double>"), rounds=3)
+    team = highlights.teams_of_tracks(spark.createDataFrame(feats, "clip_id long, frame long, track_id long, feature array<double>"))
     got = {r.track_id: r.team for r in team.collect()}
     assert got[1] == got[3] != got[2]
     players, ball = votes_setup(spark, [2, 2, 3, 1])
