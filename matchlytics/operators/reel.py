@@ -2,47 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BrandConfig, ReelConfig
-from ..functions.ordered import chunk_no, keys_of, unnest, unnest_numbered
+from ..functions.ordered import keys_of, unnest, unnest_numbered
+from ..sources.state import cut_lineage
 
-def _without_dominated(items, target: float):
-    """Drops items that the greedy choice can never reach.
 
-    Durations only add up, so whenever an item would fit, every earlier item that is not longer had been
-    taken before. If those alone reach the target the choice has stopped, and the item is irrelevant. This
-    holds inside any subset of a reel's items, so it can run per chunk before the items of a reel meet.
-    """
-    limit = target + 1e-6 * max(1.0, abs(target))
-
-    def step(kept, x):
-        shorter = F.filter(kept, lambda y: y["d"] <= x["d"])
-        full = F.aggregate(shorter, F.lit(0.0), lambda s, y: s + y["d"]) >= limit
-        return F.when(full, kept).otherwise(F.array_append(kept, x))
-
-    return F.aggregate(items, F.slice(items, 1, 0), step)
-
-
-def _greedy(items, target: float, max_s: float):
-    state = F.struct(F.lit(0.0).alias("total"), F.lit(False).alias("done"), F.slice(items, 1, 0).alias("out"))
+def _greedy(items, total, chosen, cfg):
+    """Greedy choice along sorted items, from the length and the number of those chosen before."""
+    state = F.struct(total.alias("total"), chosen.alias("n"), F.lit(False).alias("done"), F.slice(items, 1, 0).alias("out"))
 
     def take(acc, x):
-        skip = acc["done"] | ((acc["total"] + x["d"] > max_s) & (F.size(acc["out"]) > 0))
+        skip = acc["done"] | ((acc["total"] + x["d"] > cfg.max_seconds) & (acc["n"] > 0))
         total = acc["total"] + x["d"]
         return F.when(skip, acc).otherwise(F.struct(
-            total.alias("total"), (total >= target).alias("done"), F.array_append(acc["out"], x).alias("out")))
+            total.alias("total"), (acc["n"] + 1).alias("n"), (total >= cfg.target).alias("done"), F.array_append(acc["out"], x).alias("out")))
 
-    return F.aggregate(items, state, take)["out"]
+    return F.aggregate(items, state, take)
+
+
+def _in_rounds(rows: DataFrame, keys, cfg: ReelConfig, chunk: int) -> DataFrame:
+    """Chosen items (keys, _x) of large reels, chunk by chunk.
+
+    The items of a reel are cut into chunks along the confidence. A reel carries its length, the number of items chosen and the chunk it
+    is at. In each round it goes on to the next chunk with an item short enough to fit, if it is not done, and chooses there; such a
+    chunk always adds an item, so there are never more rounds than chosen items. Only summaries of chunks meet per reel.
+    """
+    part = F.floor(F.col("_x.nc") * 64).cast("long")
+    place = F.row_number().over(Window.partitionBy(*keys, "_cb").orderBy("_x"))
+    cells = (rows.withColumn("_cb", part).withColumn("_cs", F.floor((place - 1) / chunk).cast("long"))
+             .groupBy(*keys, F.struct("_cb", "_cs").alias("_at")).agg(F.sort_array(F.collect_list("_x")).alias("_i"), F.min("_x.d").alias("_least")))
+    cells = cut_lineage(cells)
+    light, chosen = cells.select(*keys, "_at", "_least"), None
+    state = light.groupBy(*keys).agg(F.lit(0.0).alias("_total"), F.lit(0).alias("_n"), F.first("_at").alias("_was")).withColumn("_was", F.lit(None).cast(cells.schema["_at"].dataType))
+    while True:
+        fits = (F.col("_n") == 0) | (F.col("_total") + F.col("_least") <= cfg.max_seconds)
+        ahead = F.col("_was").isNull() | (F.col("_at") > F.col("_was"))
+        turn = state.join(light, keys).filter(fits & ahead).groupBy(*keys, "_total", "_n").agg(F.min("_at").alias("_at"))
+        turn = turn.join(cells.drop("_least"), [*keys, "_at"]).select(*keys, "_at", _greedy(F.col("_i"), F.col("_total"), F.col("_n"), cfg).alias("_s"))
+        turn = cut_lineage(turn)
+        taken = turn.select(*keys, F.explode("_s.out").alias("_x"))
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        state = turn.filter(~F.col("_s.done")).select(*keys, F.col("_s.total").alias("_total"), F.col("_s.n").alias("_n"), F.col("_at").alias("_was"))
+        if state.isEmpty():
+            return chosen
 
 
 def select_reel(items: DataFrame, cfg: ReelConfig | None = None, *, by="reel_id", chunk: int = 1024) -> DataFrame:
     """Greedy choice: by confidence, skipping what would exceed `max_seconds`, until `target` is reached.
 
     The first item is taken whatever its length. Chosen rows come with `slot`, their chronological place.
-    Items are thinned per chunk of a reel first: one stays only while the earlier ones that are not longer add up to less
-    than the target. Durations that fall along the order defeat this, and then all items meet in one row. Other columns
+    Items are kept once and counted; where no reel has more than `chunk`, each is chosen from in one row, otherwise
+    reels go through their items chunk by chunk (`_in_rounds`), so no row holds more than a chunk. Other columns
     travel along (they must be of sortable types); there is no join back to the items.
     """
     cfg = cfg or ReelConfig()
@@ -51,14 +64,15 @@ def select_reel(items: DataFrame, cfg: ReelConfig | None = None, *, by="reel_id"
     d = F.least(F.col("duration"), F.lit(float(cfg.per_item))) if cfg.per_item else F.col("duration")
     item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("nc"), F.col("ord").cast("long").alias("ord"),
                     d.cast("double").alias("d"), F.struct(*rest).alias("rest"))
-    rows = items.select(*keys, item.alias("_x"), chunk_no("ord", chunk).alias("_c"))
-    thin = (rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_i")))
-    thin = unnest(thin, keys, _without_dominated(F.col("_i"), cfg.target), "_x")
-    chosen = (thin.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_i"))
-              .select(*keys, _greedy(F.col("_i"), cfg.target, cfg.max_seconds).alias("_o")))
-    in_time = F.sort_array(F.transform("_o", lambda x: F.struct(x["ord"].alias("ord"), x["d"].alias("duration"), x["rest"].alias("rest"))))
-    return unnest_numbered(chosen, keys, in_time, "slot", "_x").select(
-        *keys, "_x.ord", "_x.duration", *[F.col(f"_x.rest.{c}") for c in rest], "slot")
+    rows = cut_lineage(items.select(*keys, item.alias("_x")))
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= chunk:
+        whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_i"))
+        chosen = unnest(whole, keys, _greedy(F.col("_i"), F.lit(0.0), F.lit(0), cfg)["out"], "_x")
+    else:
+        chosen = _in_rounds(rows, keys, cfg, chunk)
+    in_time = F.row_number().over(Window.partitionBy(*keys).orderBy("_x.ord", "_x.d", "_x.rest")) - 1
+    return chosen.select(*keys, "_x.ord", F.col("_x.d").alias("duration"), *[F.col(f"_x.rest.{c}") for c in rest], in_time.cast("long").alias("slot"))
 
 
 def segments():

@@ -40,6 +40,45 @@ def test_select_reel(spark, seed, chunk):
     assert got == {r: greedy_by_hand(its, cfg.target, cfg.max_seconds, cfg.per_item) for r, its in reels.items()}
 
 
+def test_hot_reel_of_falling_durations(spark):
+    """Durations that fall along the confidence: chunk after chunk may hold an item that fits. No row is longer than a chunk."""
+    n, cfg = 100_000, ReelConfig(45.0, 60.0)
+    items = [(1.0 - i / n, i, 90.0 * (1 - i / n) ** 3) for i in range(n)]
+    df = spark.range(n, numPartitions=4).select(F.lit("hot").alias("reel_id"), F.col("id").alias("ord"), (1.0 - F.col("id") / n).alias("confidence"),
+                                                (90.0 * (1 - F.col("id") / n) ** 3).alias("duration"))
+    total, want = 0.0, []
+    for _, o, d in items:
+        if want and total + d > cfg.max_seconds:
+            continue
+        total += d
+        want.append(o)
+        if total >= cfg.target:
+            break
+    assert [r.ord for r in reel.select_reel(df, cfg, chunk=1000).orderBy("slot").collect()] == want
+    longest = [0]
+    kept = reel.cut_lineage
+
+    def watched(frame):
+        out = kept(frame)
+        if "_i" in out.columns:
+            longest[0] = max(longest[0], out.agg(F.max(F.size("_i"))).first()[0])
+        return out
+
+    reel.cut_lineage = watched
+    try:
+        short = df.withColumn("duration", F.col("duration") / 100)
+        total, picked = 0.0, 0
+        for _, _, d in items:
+            if picked and total + d / 100 > cfg.max_seconds:
+                continue
+            total, picked = total + d / 100, picked + 1
+            if total >= cfg.target:
+                break
+        assert reel.select_reel(short, cfg, chunk=20).count() == picked and 0 < longest[0] <= 20
+    finally:
+        reel.cut_lineage = kept
+
+
 def test_first_item_may_exceed_maximum(spark):
     df = spark.createDataFrame([("r", 0, 0.9, 90.0), ("r", 1, 0.8, 5.0)], "reel_id string, ord long, confidence double, duration double")
     assert [r.ord for r in reel.select_reel(df).collect()] == [0]
