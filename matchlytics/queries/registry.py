@@ -724,22 +724,19 @@ def _overlay_plan(spark, d):
     return highlights.overlay_plan(cuts, _analytics(spark, d))
 
 
-# ---- live: a stream over the whole table, closed results only -----------------------------------------
-_CLOSED = "(select max(t) - 3e1 from v_signals)"
+# ---- live: a stream over the whole table and the ends of its matches ------------------------------------
+_DAY = 86_400_000  # matches start a day after the epoch: Spark takes a row at the epoch itself for late
 
 
 def _timed(df):
-    return df.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+    return df.withColumn("ts", F.timestamp_micros(_DAY * 1000 + F.round(F.col("t") * 1e6).cast("long")))
 
 
-def _live_signals(spark, d):
-    return _timed(v.signals_of(spark, replay.stream_table(spark, f"{d}/events.parquet")))
-
-
-@query("live_moments", f"""select l.match_id, l.t, r.confidence, l.kind, l.minute, l.signal_count from o_labelled l join o_rounded r using (match_id, cluster)
-  where (select max(c.t) from o_clustered c where c.match_id = l.match_id and c.cluster = l.cluster) + 8 <= {_CLOSED}""")
+@query("live_moments", "select l.match_id, l.t, r.confidence, l.kind, l.minute, l.signal_count from o_labelled l join o_rounded r using (match_id, cluster)")
 def _live_moments(spark, d):
-    return replay.run_available(live.live_moments(_live_signals(spark, d))).drop("opened")
+    rows = _timed(v.signals_of(spark, replay.stream_table(spark, f"{d}/events.parquet")))
+    ends = replay.match_ends(_timed(v.signals_of(spark, v.table(spark, d, "events"))))
+    return replay.run_available(live.live_moments(rows, ends=ends)).drop("opened")
 
 
 @query("live_keywords", ORACLES["keyword_signals"])
@@ -755,20 +752,18 @@ o.step("o_live_read", f"select user_id as match_id, event_id as seq, {v.US_SQL}/
 o.score_fold("o_live_read", "o_live_line", "o_live_score")
 
 
-@query("live_score_changes", f"""select match_id, t, seq, concat(h, '-', a) as score, concat(ph, '-', pa) as prev, minute from o_live_score
-  where hit and t < (select floor(max(t) * 1e3) / 1e3 - 3e1 from v_signals)""")
+@query("live_score_changes", "select match_id, t, seq, concat(h, '-', a) as score, concat(ph, '-', pa) as prev, minute from o_live_score where hit")
 def _live_scores(spark, d):
-    rows = spark.sql(f"select user_id as match_id, event_id as seq, {v.US}/864e6 as t, {_LIVE_BOARD} from {{e}}",
-                     e=replay.stream_table(spark, f"{d}/events.parquet"))
-    return replay.run_available(live.live_score_changes(_timed(rows)))
+    read = lambda e: _timed(spark.sql(f"select user_id as match_id, event_id as seq, {v.US}/864e6 as t, {_LIVE_BOARD} from {{e}}", e=e))
+    ends = replay.match_ends(read(v.table(spark, d, "events")))
+    return replay.run_available(live.live_score_changes(read(replay.stream_table(spark, f"{d}/events.parquet")), ends=ends))
 
 
 @query("live_loudness", """select match_id, round(w * 5e-1, 6) as from_s, round(sqrt(sum(x * x) / 4e0), 6) as rms from (
-    select match_id, x, unnest([idx // 2 - 1, idx // 2]) as w from v_samples) q
-  where w * 5e-1 + 1 <= (select max(idx) * 25e-2 - 5 from v_samples) group by match_id, w""")
+    select match_id, x, unnest([idx // 2 - 1, idx // 2]) as w from v_samples) q group by match_id, w""")
 def _live_loudness(spark, d):
     # four samples per second of match time
-    rows = replay.stream_table(spark, f"{d}/orders.parquet").selectExpr(
-        "cast(floor(o_orderkey/1e3) as bigint) as match_id", "timestamp_millis((o_orderkey % 1000) * 250) as ts", "o_totalprice/5e5 - 5e-1 as x")
-    out = replay.run_available(live.live_loudness(rows, rate=4.0))
-    return out.select("match_id", (F.unix_millis("from_ts") / 1000.0).alias("from_s"), F.round("rms", 6).alias("rms"))
+    read = lambda o: o.selectExpr("cast(floor(o_orderkey/1e3) as bigint) as match_id", f"timestamp_millis({_DAY} + (o_orderkey % 1000) * 250) as ts", "o_totalprice/5e5 - 5e-1 as x")
+    ends = replay.match_ends(read(v.table(spark, d, "orders")))
+    out = replay.run_available(live.live_loudness(read(replay.stream_table(spark, f"{d}/orders.parquet")), rate=4.0, ends=ends))
+    return out.select("match_id", ((F.unix_millis("from_ts") - _DAY) / 1000.0).alias("from_s"), F.round("rms", 6).alias("rms"))

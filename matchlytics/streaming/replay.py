@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.state import shared_folder
 
@@ -22,8 +23,18 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def match_ends(rows: DataFrame, by: str = "match_id") -> DataFrame:
+    """Stream of the ends of matches (by, ts): the time of the last row of each, written as a table first."""
+    path = f"{work_folder(rows.sparkSession)}/ends"
+    rows.groupBy(by).agg(F.max("ts").alias("ts")).write.parquet(path)
+    return stream_table(rows.sparkSession, path)
+
+
 def run_available(plan: DataFrame) -> DataFrame:
-    """Writes all closed results of a streaming plan to files and reads them back."""
+    """Writes all closed results of a streaming plan to files and reads them back.
+
+    Where the plan knows the ends of the matches, that is everything.
+    """
     spark = plan.sparkSession
     folder = work_folder(spark)
     query = (plan.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")

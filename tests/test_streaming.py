@@ -68,6 +68,61 @@ def test_live_scores_wait_for_late_rows_over_several_batches(spark, tmp_path):
     assert out == [(10.0, "1-0"), (20.0, "2-0")]
 
 
+def ends_of(spark, batch, path):
+    """The end of every match, as a stream of its own."""
+    return replay.stream_table(spark, write(batch.groupBy("match_id").agg(F.max("ts").alias("ts")).coalesce(1), path))
+
+
+def test_ends_close_everything_and_remove_the_state(spark, tmp_path):
+    """With the ends of the matches a stream gives what a batch gives, the last rows included, and keeps nothing."""
+    rnd = random.Random(6)
+    rows = []
+    for m in "abc":
+        t = 0.0
+        for i in range(60):
+            t += rnd.choice([0.5, 8.0, 8.5, 20.0])
+            rows.append((m, t, i, rnd.choice(["audio", "scoreboard_ocr", "commentary"]), rnd.random(), "goal", None, rnd.choice([None, 5]), START + timedelta(seconds=t)))
+    batch = spark.createDataFrame(rows, COLS)
+    path = write(batch.coalesce(1), str(tmp_path / "in"))
+    plan = live.live_moments(replay.stream_table(spark, path), ends=ends_of(spark, batch, str(tmp_path / "ends")))
+    state = str(tmp_path / "state")
+    plan.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    fused = fusion.anchor_moments(fusion.classify_clusters(fusion.fuse_confidence(fusion.clusters(batch)))).filter("confidence >= 0.45")
+    want = sorted((r.match_id, r.t, r.kind, r.signal_count, round(r.confidence, 3), r.minute or -1) for r in fused.collect())
+    assert sorted((r.match_id, r.t, r.kind, r.signal_count, r.confidence, r.minute or -1) for r in got.collect()) == want and len(want) > 20
+    for name in ("waiting", "latest"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(state).count() == 0
+
+
+def test_state_of_scores(spark, tmp_path):
+    """Two matches, one of which ends: its baseline and readings are gone, those of the other one are kept."""
+    schema = "match_id string, t double, seq long, home int, away int, minute int, ts timestamp"
+    rows = [(m, float(i), i, i // 10, 0, i, START + timedelta(seconds=i)) for m in "ab" for i in range(60)]
+    batch = spark.createDataFrame(rows, schema)
+    path, state = write(batch.coalesce(1), str(tmp_path / "in")), str(tmp_path / "state")
+    plan = live.live_score_changes(replay.stream_table(spark, path), ends=ends_of(spark, batch.filter("match_id = 'a'"), str(tmp_path / "ends")))
+    plan.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.match_id, r.t, r.score, r.minute) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # of match b only what is older than the watermark, 30 s behind the last reading
+    assert got == [("a", 10.0 * i, f"{i}-0", 10 * i) for i in range(1, 6)] + [("b", 10.0 * i, f"{i}-0", 10 * i) for i in (1, 2)]
+    held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(state)
+    assert {r.key.match_id for r in held("baseline").collect()} == {"b"}
+    assert {r.key.match_id for r in held("waiting").collect()} == {"b"}
+
+
+def test_idle_matches_are_forgotten(spark, tmp_path):
+    schema = "match_id string, t double, seq long, home int, away int, minute int, ts timestamp"
+    at = lambda m, t: (m, float(t), t, 0, 0, None, START + timedelta(seconds=t))
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for rows in ([at("a", 0), at("b", 100)], [at("b", 8000)], [at("b", 8100)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        (live.live_score_changes(spark.readStream.schema(schema).parquet(folder), idle="1 hour").writeStream.format("parquet")
+         .option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
+    held = spark.read.format("statestore").option("stateVarName", "latest").load(state)
+    assert {r.key.match_id for r in held.collect()} == {"b"}
+
+
 def test_keywords_are_stateless(spark, tmp_path):
     df = spark.createDataFrame([("m", 1, 3.0, "what a goal"), ("m", 2, 4.0, "nothing")], "match_id string, seq long, start_s double, text string")
     path = write(df, str(tmp_path / "in"))
@@ -84,6 +139,17 @@ def test_live_loudness(spark, tmp_path):
     assert len(got) == 21
 
 
+def test_live_loudness_closes_at_the_end(spark, tmp_path):
+    rows = [(m, START + timedelta(milliseconds=250 * i), float(i % 3)) for m, n in (("m", 40), ("n", 7)) for i in range(n)]
+    batch = spark.createDataFrame(rows, "match_id string, ts timestamp, x double")
+    path = write(batch.coalesce(1), str(tmp_path / "in"))
+    got = replay.run_available(live.live_loudness(replay.stream_table(spark, path), rate=4.0, ends=ends_of(spark, batch, str(tmp_path / "ends")))).collect()
+    for m, n in (("m", 40), ("n", 7)):
+        mine = {r.from_ts: r.rms for r in got if r.match_id == m}
+        want = {START + timedelta(milliseconds=500 * h): sum((i % 3) ** 2 for i in range(max(0, 2 * h), min(n, 2 * h + 4))) for h in range(-1, (n + 1) // 2)}
+        assert set(mine) == set(want) and all(mine[k] == pytest.approx((e / 4) ** 0.5) for k, e in want.items())
+
+
 def test_isolated_failures(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "x"), ("b", None), ("c", "2")], "match_id string, raw string")
     good, errors = commentary.isolate_failures(df, F.col("raw").try_cast("int"), raw="raw", detector="d")
