@@ -657,8 +657,66 @@ def _sentences(text):
   from (select *, unnest(range(1, len(w) + 1)) as k from (select *, string_split(text, '.') as w from v_segments) q) r) x where s <> '' and strength >= 5e-1""")
 def _spotter(spark, d):
     commentary.register_spotter(spark, "sentence_spotter", _sentences)
-    found = spark.sql("select s.match_id, s.seq, f.t, f.label, f.conf from {s} s, lateral sentence_spotter(s.text) f", s=v.segments(spark, d))
-    return commentary.spot_signals(found)
+    found = spark.sql("select s.match_id, s.seq, f.* from {s} s, lateral sentence_spotter(s.text) f", s=v.segments(spark, d))
+    return commentary.spot_signals(commentary.split_spots(found, "sentence_spotter", by=["match_id", "seq"])[0])
+
+
+def _strict_sentences(text):
+    """Sample spotter that cannot read texts with a sentence of 13 letters, after the sentences before it."""
+    for i, part in enumerate(text.split(".")):
+        if len(part) == 13:
+            raise ValueError(f"cannot read sentence {i}")
+        if part:
+            yield i * 2.0, "Goal", len(part) % 100 / 100.0
+
+
+_STRICT = """(select *, (select min(k) from unnest(range(0, len(w))) u(k) where length(w[k + 1]) = 13) as stop
+  from (select match_id, seq, string_split(text, '.') as w from v_segments) q) q"""
+
+
+@query("spotter_rest", f"""select match_id, seq, t, 'action_spotting' as source, strength, 'goal' as kind_hint, 'Goal' as label from (
+  select match_id, seq, k * 2e0 as t, length(w[k + 1]) % 100 / 1e2 as strength, w[k + 1] as s from (select *, unnest(range(0, coalesce(stop, len(w)))) as k from {_STRICT}) x) y
+  where s <> '' and strength >= 5e-1""")
+def _spotter_rest(spark, d):
+    return commentary.spot_signals(_strict_spots(spark, d)[0])
+
+
+@query("spotter_errors", f"""select match_id, 'strict_spotter' as detector, count(*) as n_failed, min(concat('ValueError: cannot read sentence ', stop)) as error
+  from {_STRICT} where stop is not null group by match_id""")
+def _spotter_errors(spark, d):
+    return _strict_spots(spark, d)[1]
+
+
+def _strict_spots(spark, d):
+    commentary.register_spotter(spark, "strict_spotter", _strict_sentences)
+    found = spark.sql("select s.match_id, s.seq, f.* from {s} s, lateral strict_spotter(s.text) f", s=v.segments(spark, d))
+    return commentary.split_spots(found, "strict_spotter")
+
+
+class _Echo:
+    """Sample spotter over a whole match: two segments in a row whose lengths fall into the same class, and the longest one at the end."""
+
+    def __init__(self, settings):
+        self.classes, self.last, self.longest = settings["classes"], None, (0, 0.0)
+
+    def see(self, row):
+        n = len(row["text"] or "")
+        if self.last is not None and n % self.classes == self.last % self.classes:
+            yield row["start_s"], "Goal", n % 100 / 100
+        self.last, self.longest = n, max(self.longest, (n, row["start_s"]))
+
+    def end(self):
+        yield self.longest[1], "Save", 1.0
+
+
+@query("match_spotter", """select match_id, t, 'action_spotting' as source, strength, kind_hint, label from (
+  select match_id, start_s as t, n % 100 / 1e2 as strength, 'goal' as kind_hint, 'Goal' as label
+    from (select *, length(text) as n, lag(length(text)) over (partition by match_id order by seq) as p from v_segments) q where n % 3 = p % 3
+  union all select match_id, max({n: length(text), t: start_s}).t, 1e0, 'save', 'Save' from v_segments group by match_id) q where strength >= 5e-1""")
+def _match_spotter(spark, d):
+    commentary.register_match_spotter(spark, "echo_spotter", _Echo)
+    found = spark.sql("""select * from echo_spotter(table({s}), '{{"classes": 3}}')""", s=v.segments(spark, d))
+    return commentary.spot_signals(commentary.split_spots(found, "echo_spotter")[0])
 
 
 @query("clip_errors", """select match_id, count(*) as n_rows, count(*) filter (where try_cast(raw as double) is null) as n_failed,

@@ -1,3 +1,4 @@
+import math
 """Chunked ordered operations against plain Python, with chunks small enough to be crossed many times."""
 
 import random
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchlytics.functions.ordered import (carry_last, chunk_no, ema, following, islands, previous, running_sum,
                                            with_halo, with_position)
-from matchlytics.functions.ranges import points_in_intervals
+from matchlytics.functions.ranges import dyadic, points_in_intervals
 
 
 def data(seed, hot=60):
@@ -144,3 +145,29 @@ def test_hot_key_spreads_over_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dyadic_ranges_cover_their_cells_once(spark):
+    rnd = random.Random(3)
+    cells = [(a, a + n) for a in range(-9, 10) for n in range(0, 20)] + [(a, a + rnd.randint(0, 10**6)) for a in rnd.sample(range(-10**6, 10**6), 40)] + [(3, 2), (0, 10**6)]
+    df = spark.createDataFrame(cells, "a long, b long").select("a", "b", dyadic(F.col("a"), F.col("b")).alias("r"))
+    for a, b, found in df.collect():
+        if a > b:
+            assert not found
+            continue
+        spans = sorted((r.place << r.level, (r.place + 1) << r.level) for r in found)
+        assert spans[0][0] == a and spans[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        assert len(spans) <= max(1, 2 * math.log2(b - a + 1))
+
+
+def test_long_intervals_make_few_rows(spark):
+    """Intervals of a million seconds beside short ones, and points at both ends."""
+    rnd = random.Random(4)
+    spans = [("k", 0.0, 1e6, 0), ("k", 3.5, 3.5, 1), ("k", -50.0, 2.0, 2), ("j", 10.0, 10.5, 3), ("k", 5.0, 4.0, 4)]
+    spans += [("k", s, s + rnd.choice([0.0, 1.0, 70.0, 5e5]), 5 + i) for i, s in enumerate(rnd.uniform(-100, 1e6) for _ in range(60))]
+    times = [("k", t) for t in [0.0, 1e6, 3.5, 2.0, -50.0, *(rnd.uniform(-100, 1.2e6) for _ in range(200))]] + [("j", 10.5), ("x", 1.0)]
+    p = spark.createDataFrame(times, "k string, t double")
+    i = spark.createDataFrame(spans, "k string, s double, e double, n int")
+    found = points_in_intervals(p, i, by="k", t="t", start="s", end="e", width=1.0)
+    assert sorted((r.k, r.t, r.n) for r in found.collect()) == sorted((k, t, n) for k, t in times for j, s, e, n in spans if j == k and s <= t <= e)
+    assert points_in_intervals(p, i.filter("n < 0"), by="k", t="t", start="s", end="e").collect() == []

@@ -155,3 +155,55 @@ def test_isolated_failures(spark):
     good, errors = commentary.isolate_failures(df, F.col("raw").try_cast("int"), raw="raw", detector="d")
     assert sorted(r.value for r in good.collect()) == [1, 2]
     assert {r.match_id: (r.n_failed, r.status, r.first_error) for r in errors.collect()} == {"a": (1, "partial", "x"), "b": (1, "failed", ""), "c": (0, "ok", None)}
+
+
+def test_spotter_that_raises_costs_only_its_own_signals(spark):
+    def spotter(text):
+        yield 1.0, "Goal", 0.9
+        if "bad" in text:
+            raise RuntimeError("no such player")
+        yield 2.0, "Save", "0.8"
+
+    commentary.register_spotter(spark, "brittle", spotter)
+    df = spark.createDataFrame([("a", "fine"), ("b", "bad text"), ("b", "fine"), ("c", None)], "match_id string, text string")
+    found = spark.sql("select s.match_id, f.* from {s} s, lateral brittle(s.text) f", s=df)
+    spots, errors = commentary.split_spots(found, "brittle")
+    signals = commentary.spot_signals(spots)
+    assert sorted((r.match_id, r.t, r.kind_hint) for r in signals.collect()) == [("a", 1.0, "goal"), ("a", 2.0, "save"), ("b", 1.0, "goal"), ("b", 1.0, "goal"), ("b", 2.0, "save"), ("c", 1.0, "goal")]
+    got = {r.match_id: (r.detector, r.n_failed, r.error) for r in errors.collect()}
+    assert got["b"] == ("brittle", 1, "RuntimeError: no such player") and set(got) == {"b", "c"} and got["c"][2].startswith("TypeError")
+
+
+def test_spotter_over_whole_matches(spark):
+    class Runs:
+        """Spots `length` rows in a row with the same word; fails at the word `bad`."""
+
+        def __init__(self, settings):
+            if settings.get("broken"):
+                raise ValueError("no model")
+            self.length, self.run, self.word, self.rows = settings["length"], 0, None, 0
+
+        def see(self, row):
+            self.rows += 1
+            if row["text"] == "bad":
+                raise KeyError("bad")
+            self.run = self.run + 1 if row["text"] == self.word else 1
+            self.word = row["text"]
+            if self.run == self.length:
+                yield row["at"], "Goal", 1.0
+
+        def end(self):
+            yield -1.0, "rows", self.rows
+
+    commentary.register_match_spotter(spark, "runs", Runs)
+    texts = {"a": "x x y y y x", "b": "x x x bad x x", "c": "y", "d": "bad"}
+    rows = [(m, i, float(i), w) for m, t in texts.items() for i, w in enumerate(t.split())]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "game string, no long, at double, text string").repartition(5)
+    call = lambda more="": spark.sql(f"""select * from runs(table({{s}}), '{{{{"by": "game", "order": "no", "length": 3{more}}}}}')""", s=df)
+    spots, errors = commentary.split_spots(call(), "runs", by="game")
+    assert sorted((r.game, r.t, r.label, r.conf) for r in spots.collect()) == [("a", -1.0, "rows", 6.0), ("a", 4.0, "Goal", 1.0), ("b", 2.0, "Goal", 1.0), ("c", -1.0, "rows", 1.0)]
+    assert sorted((r.game, r.n_failed, r.error) for r in errors.collect()) == [("b", 1, "KeyError: 'bad'"), ("d", 1, "KeyError: 'bad'")]
+    assert sorted((r.game, r.error) for r in call(', "broken": 1').collect()) == [(g, "ValueError: no model") for g in "abcd"]
+    with pytest.raises(Exception, match="no column nope"):
+        spark.sql("""select * from runs(table({s}), '{{"by": "nope"}}')""", s=df).collect()
