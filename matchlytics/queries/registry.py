@@ -109,9 +109,16 @@ def _saved_captions(spark, d):
     return spark.read.schema("match_id long, seq long, caption string").json(path).select("match_id", "seq", "caption")
 
 
-@query("list_inputs", "select dir, path, size from v_files where regexp_matches(lower(path), '\\.(mp4|mkv|mov|m4v|avi|webm|ts)$') order by path")
+@query("list_inputs", """select dir, concat(dir, '/', name) as path, size from (select source as dir, concat(cast(doc_id as string), case doc_id % 4 when 0 then '.MP4' when 1 then '.mkv' when 2 then '.txt' else '.mp4' end) as name,
+    octet_length(encode(coalesce(text, ''))) + 1 as size from documents where source is not null) q
+  where regexp_matches(lower(name), '\\.(mp4|mkv|mov|m4v|avi|webm|ts)$') order by path""")
 def _list_inputs(spark, d):
-    return media.list_inputs(v.files(spark, d))
+    """The documents are saved as files, and the files on disk are listed."""
+    path = f"{state.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    media.save_files(v.table(spark, d, "documents").filter("source is not null").selectExpr(
+        "source as dir", "concat(cast(doc_id as string), case doc_id % 4 when 0 then '.MP4' when 1 then '.mkv' when 2 then '.txt' else '.mp4' end) as name",
+        "coalesce(text, '') as body"), path)
+    return media.list_inputs(media.read_file_catalog(spark, path))
 
 
 @query("list_outputs", """select dir, path, size, case when lower(path) like '%.mp4' then 0 else 1 end as rank from v_files
@@ -122,8 +129,13 @@ def _list_outputs(spark, d):
 
 @query("delete_matches", "select * from v_files where dir not in (select source from documents where lang = 'de' and n_chars > 9000)")
 def _delete_matches(spark, d):
-    gone = v.table(spark, d, "documents").filter("lang = 'de' and n_chars > 9000").select(F.col("source").alias("dir"))
-    return media.delete_matches(v.files(spark, d), gone)
+    """Rows saved in two steps, and deleted by a new version."""
+    files, store = v.files(spark, d), state.Store(spark, f"{state.shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    video = F.col("path").endswith(".txt")
+    store.append(files.filter(video))
+    store.append(files.filter(~video))
+    store.delete(v.table(spark, d, "documents").filter("lang = 'de' and n_chars > 9000").select(F.col("source").alias("dir")), by="dir")
+    return store.read()
 
 
 @query("file_manifest", """select dir, path, cast(grouping(dir) * 2 + grouping(path) as int) as level, round(sum(size) / 1e6, 6) as mb

@@ -244,6 +244,72 @@ def test_resume(spark, tmp_path):
     assert calls == [[0, 1], [2, 3], [1]]
 
 
+def test_of_two_runs_at_once_one_saves_a_key(spark, tmp_path):
+    """A second run starts and ends while the first one computes: every key is saved once, by the run that published it first."""
+    keys, path = spark.createDataFrame([(i,) for i in range(4)], "match_id long"), str(tmp_path / "s")
+
+    def slow(left):
+        state.load_or_compute(spark, path, keys.filter("match_id in (1, 2)"), lambda x: x.withColumn("x", F.lit("second")), config_hash="h")
+        return left.withColumn("x", F.lit("first"))
+
+    got = sorted((r.match_id, r.x) for r in state.load_or_compute(spark, path, keys, slow, config_hash="h").collect())
+    assert got == [(0, "first"), (1, "second"), (2, "second"), (3, "first")]
+
+
+def test_versions_are_published_once(spark, tmp_path):
+    store = state.Store(spark, str(tmp_path / "v"))
+    assert store.read() is None and store.delete(spark.range(1), by="id") == 0
+    assert store.append(spark.range(3)) == 1
+    before = store.read()
+    folder = store.write(spark.range(3, 5))
+    assert store.read().count() == 3  # written, not published
+    version, folders, schema = store.latest()
+    store.publish(version + 1, [*folders, folder], schema)
+    with pytest.raises(state.Conflict):
+        store.publish(version + 1, folders, schema)
+    assert sorted(r.id for r in store.read().collect()) == [0, 1, 2, 3, 4]
+    assert store.delete(spark.range(1, 2), by="id") == 3 and sorted(r.id for r in store.read().collect()) == [0, 2, 3, 4]
+    assert folder in store.latest()[1]  # holds nothing that was deleted
+    assert sorted(r.id for r in before.collect()) == [0, 1, 2]  # an older version can still be read
+    assert store.delete(spark.range(10), by="id") == 4 and store.read().count() == 0
+
+
+def test_writers_race_for_a_version(spark, tmp_path):
+    import threading
+
+    path, won = str(tmp_path / "r" / "_versions" / "1"), []
+
+    def run(i):
+        try:
+            state._put_if_absent(spark, path, f"{i}" * 1000)
+            won.append(i)
+        except state.Conflict:
+            pass
+
+    threads = [threading.Thread(target=run, args=(i,)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and open(path).read() == str(won[0]) * 1000
+
+
+def test_other_file_systems_publish_by_rename(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./v", f"file://{tmp_path}")
+    store = state.Store(spark, "viewfs://store/v/s")
+    store.append(spark.range(2))
+    version, folders, schema = store.latest()
+    with pytest.raises(state.Conflict):
+        store.publish(version, folders, schema)
+    assert store.append(spark.range(2, 4)) == 2 and store.read().count() == 4
+
+
+def test_saved_files_are_listed_by_name(spark, tmp_path):
+    rows = [("a b", "x=1.mp4", "né"), ("a b", "y+%.MKV", ""), ("c", "z.txt", "1\n2")]
+    media.save_files(spark.createDataFrame(rows, "dir string, name string, body string"), str(tmp_path / "f"))
+    files = media.read_file_catalog(spark, str(tmp_path / "f"))
+    assert sorted((r["dir"], r.path, r.size) for r in files.collect()) == [("a b", "a b/x=1.mp4", 4), ("a b", "a b/y+%.MKV", 1), ("c", "c/z.txt", 4)]
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString()
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(i, f"a\nb{i}") for i in range(50)], "match_id long, caption string")
     state.write_results(df, str(tmp_path / "r"), buckets=4)
