@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BrandConfig
+from ..sources.state import cut_lineage
 from ..functions.ordered import keys_of, unnest_numbered
 
 
@@ -106,26 +107,77 @@ def run_summary(clip_results: DataFrame, runs: DataFrame | None = None, *, mode:
     return counts.withColumn("status", status).withColumn("mode", F.lit(mode))
 
 
-def config_overlay(base: DataFrame, over: DataFrame, *, by="match_id") -> DataFrame:
-    """Deep merge of nested settings given as (key, dotted path, value) leaves; `over` wins.
+def _prefixes(rows: DataFrame, keys) -> DataFrame:
+    """Rows with every proper prefix of their `path` as `_above`."""
+    shorter = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
+    return rows.filter(F.size("path") > 0).select(*keys, "path", F.explode(shorter).alias("_above"))
 
-    An override leaf replaces everything below its path, an override below a base leaf replaces that leaf.
-    """
-    keys = keys_of(by)
-    parts = F.split("path", r"\.")
-    above = (over.withColumn("_p", parts).filter(F.size("_p") > 1)
-             .withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1),
-                                                       lambda n: F.array_join(F.slice("_p", 1, n), "."))))
-             .select(*keys, "path").distinct())
-    # every ancestor of a base path, to find override leaves above it
-    below = (base.withColumn("_p", parts).filter(F.size("_p") > 1)
-             .withColumn("_above", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1),
-                                                         lambda n: F.array_join(F.slice("_p", 1, n), "."))))
-             .select(*keys, "path", "_above")
-             .join(over.select(*keys, F.col("path").alias("_above")), [*keys, "_above"], "left_semi")
+
+def _overlay_leaves(base: DataFrame, over: DataFrame, keys) -> DataFrame:
+    """Leaves (keys, path array, value) of `base` with those of `over` on top: an override leaf replaces everything below its path, an
+    override below a base leaf replaces that leaf."""
+    above = _prefixes(over, keys).select(*keys, F.col("_above").alias("path")).distinct()
+    below = (_prefixes(base, keys).join(over.select(*keys, F.col("path").alias("_above")), [*keys, "_above"], "left_semi")
              .select(*keys, "path").distinct())
     kept = base.join(above, [*keys, "path"], "left_anti").join(below, [*keys, "path"], "left_anti")
     o = over.select(*keys, "path", F.col("value").alias("_over"), F.lit(True).alias("_hit"))
     return (kept.join(o, [*keys, "path"], "full_outer")
             .select(*keys, "path", F.when(F.col("_hit"), F.col("_over")).otherwise(F.col("value")).alias("value"),
                     F.coalesce("_hit", F.lit(False)).alias("overridden")))
+
+
+def config_overlay(base: DataFrame, over: DataFrame, *, by="match_id") -> DataFrame:
+    """Deep merge of nested settings given as (key, dotted path, value) leaves; `over` wins."""
+    cut = lambda df: df.withColumn("path", F.split("path", r"\."))
+    return _overlay_leaves(cut(base), cut(over), keys_of(by)).withColumn("path", F.array_join("path", "."))
+
+
+def document_leaves(docs: DataFrame, doc: str = "settings") -> tuple[DataFrame, int]:
+    """Leaves (other columns, path array, value) of VARIANT documents, and the length of the longest path.
+
+    Objects are opened level by level; lists, empty objects and JSON nulls are leaves. Every level is kept before it
+    is looked at, so no document is read twice.
+    """
+    keys = [c for c in docs.columns if c != doc]
+    rows = docs.filter(F.col(doc).isNotNull()).select(*keys, F.array().cast("array<string>").alias("path"), F.col(doc).alias("value"))
+    kind, leaves, depth = F.schema_of_variant("value"), None, 0
+    is_open = kind.startswith("OBJECT<") & (kind != "OBJECT<>")
+    while True:
+        rows = cut_lineage(rows.withColumn("_open", is_open))
+        closed = rows.filter(~F.col("_open")).drop("_open")
+        leaves = closed if leaves is None else leaves.unionByName(closed)
+        objects = rows.filter("_open")
+        if objects.isEmpty():
+            return leaves, depth
+        depth += 1
+        inner = objects.select(*keys, "path", F.col("value").alias("_object")).lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_object").outer()))
+        rows = inner.select(*keys, F.array_append("path", F.col("key")).alias("path"), "value")
+
+
+def _documents(leaves: DataFrame, depth: int, keys, doc: str) -> DataFrame:
+    """VARIANT documents of their leaves, from the longest paths up."""
+    leaves = cut_lineage(leaves)
+    for n in range(depth, 0, -1):
+        entry = F.struct(F.element_at("path", n).alias("k"), F.col("value").alias("v"))
+        made = (leaves.filter(F.size("path") == n).groupBy(*keys, F.slice("path", 1, n - 1).alias("path"))
+                .agg(F.to_variant_object(F.map_from_entries(F.collect_list(entry))).alias("value")))
+        leaves = cut_lineage(leaves.filter(F.size("path") < n).unionByName(made))  # used twice by the next level
+    return leaves.select(*keys, F.col("value").alias(doc))
+
+
+def merge_documents(base: DataFrame, over: DataFrame, *, by="match_id", doc: str = "settings") -> DataFrame:
+    """Deep merge of nested settings, one VARIANT document per key; `over` wins.
+
+    Objects are merged key by key, however deep; everything else in `over` (numbers, texts, nulls, whole lists) replaces what
+    is there. Keys of either table come out, those without any document with null.
+    """
+    keys = keys_of(by)
+    side = lambda df, n: df.select(*keys, F.col(doc), F.lit(n).alias("_side"))
+    leaves, depth = document_leaves(side(base, 0).unionByName(side(over, 1)), doc)
+    low, high = (leaves.filter(F.col("_side") == n).drop("_side") for n in (0, 1))
+    # an empty object adds nothing to one that has something
+    there = _prefixes(low, keys).select(*keys, F.col("_above").alias("path")).distinct()
+    empty = F.schema_of_variant("value") == "OBJECT<>"
+    high = high.filter(~empty).unionByName(high.filter(empty).join(there, [*keys, "path"], "left_anti"))
+    merged = _documents(_overlay_leaves(low, high, keys).drop("overridden"), depth, keys, doc)
+    return base.select(*keys).unionByName(over.select(*keys)).distinct().join(merged, keys, "left")

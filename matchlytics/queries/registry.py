@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -250,6 +251,33 @@ def _config(spark, d):
     return overlays.config_overlay(v.config_base(spark, d), v.config_over(spark, d))
 
 
+_DOCS = """select c_custkey as match_id, concat('{"name":"', c_name, '","render":{"tags":["a",', c_custkey % 7, '],"', lower(c_mktsegment), '":{"fps":', c_custkey % 60, ',"size":{"width":640,"height":', c_custkey % 9, '}}}}') as settings
+  from customer"""
+_OVER_DOCS = """select o_custkey as match_id, max(concat(case o_orderkey % 4 when 0 then concat('{"render":{"', lower(c_mktsegment), '":{"fps":', o_orderkey, '}}}')
+    when 1 then concat('{"render":{"', lower(c_mktsegment), '":{"size":', o_orderkey, '},"tags":[', o_orderkey, ']}}')
+    when 2 then concat('{"render":{"', lower(c_mktsegment), '":{"fps":{"max":', o_orderkey, ',"min":{}}}}}') else '{"audio":{"gain":[1,{"x":2}]},"name":{}}' end)) as settings
+  from orders join customer on o_custkey = c_custkey group by o_custkey"""
+
+
+@query("merged_documents", f"""select match_id, replace(fullkey, '$.', '') as path, cast(value as varchar) as value
+  from (select coalesce(b.match_id, u.match_id) as match_id, json_merge_patch(coalesce(b.settings, '{{}}')::json, coalesce(u.settings, '{{}}')::json) as j
+        from ({_DOCS}) b full join ({_OVER_DOCS}) u on b.match_id = u.match_id) q, json_tree(j)
+  where (type <> 'OBJECT' or cast(value as varchar) = '{{}}') and fullkey not like '%[%'""")
+def _merged_documents(spark, d):
+    """Nested documents go in and come out; their leaves are compared."""
+    names = ("customer", "orders")
+
+    def read(sql):
+        sql = sql.replace("{", "{{").replace("}", "}}")
+        for name in names:
+            sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", sql)
+        return spark.sql(sql, **{name: v.table(spark, d, name) for name in names if f"{{{name}}}" in sql}).withColumn("settings", F.parse_json("settings"))
+
+    merged = overlays.merge_documents(read(_DOCS), read(_OVER_DOCS))
+    leaves, _ = overlays.document_leaves(merged)
+    return leaves.select("match_id", F.array_join("path", ".").alias("path"), F.to_json("value").alias("value"))
+
+
 # ---- windows -------------------------------------------------------------------------------------------
 @query("rms_envelope", f"""select h.match_id, h.hop_no, {r6('sqrt(sum(coalesce(x * x, 0)) / 20)').replace('as sqrt(sum(coalesce(x * x, 0)) / 20)', 'as rms')}
   from o_hops h left join v_samples s on s.match_id = h.match_id and s.idx between h.hop_no * 8 - 10 and h.hop_no * 8 + 9 group by h.match_id, h.hop_no""")

@@ -194,6 +194,30 @@ def test_config_overlay_is_a_deep_merge(spark):
     assert got == {"a.b": "1", "a.c.d": "20", "a.c.e": "3", "f.x": "40", "g": "50", "new.y": "60"}
 
 
+def deep_merge(a, b):
+    if not (isinstance(a, dict) and isinstance(b, dict)):
+        return b
+    return {k: deep_merge(a[k], b[k]) if k in a and k in b else b.get(k, a.get(k)) for k in {**a, **b}}
+
+
+def test_nested_documents_are_merged(spark):
+    rnd = random.Random(9)
+
+    def doc(depth):
+        kinds = [lambda: rnd.randint(0, 9), lambda: None, lambda: "x.y", lambda: [1, {"k": doc(1)}], lambda: {}, lambda: True]
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice(kinds)()
+        return {rnd.choice(["a", "b", "c.d", "é"]): doc(depth - 1) for _ in range(rnd.randint(0, 3))}
+
+    pairs = [(doc(4), doc(4)) for _ in range(80)] + [({"a": {"b": 1}}, {"a": {}}), ({"a": 5}, {"a": {}}), ({"a": {}}, {"a": {"b": 2}}), ({"l": [1, 2]}, {"l": [3]})]
+    df = lambda side: (spark.createDataFrame([(i, json.dumps(p[side])) for i, p in enumerate(pairs)], "match_id long, j string")
+                       .select("match_id", F.parse_json("j").alias("settings")))
+    got = overlays.merge_documents(df(0).filter("match_id <> 1"), df(1).filter("match_id <> 2")).select("match_id", F.to_json("settings").alias("j"))
+    found = {r.match_id: json.loads(r.j) for r in got.collect()}
+    want = {i: b if i == 1 else a if i == 2 else deep_merge(a, b) for i, (a, b) in enumerate(pairs)}
+    assert found == want
+
+
 @pytest.mark.parametrize("js,want", [
     ('{"format":{"duration":"9.5"},"streams":[{"codec_type":"video","width":1,"height":2,"avg_frame_rate":"25/1"},{"codec_type":"video","width":1280,"height":720,"avg_frame_rate":"30000/1001"},{"codec_type":"video"}]}',
      (9.5, 1280, 720, 30000 / 1001, False)),
