@@ -56,7 +56,7 @@ class Conflict(RuntimeError):
     """Another writer has published this version first."""
 
 
-def _put_if_absent(spark: SparkSession, path: str, text: str) -> None:
+def put_if_absent(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file in one step, or raises Conflict where one is there: readers see all of it or nothing."""
     scheme, _, rest = path.partition("://")
     if not rest or scheme == "file":
@@ -134,7 +134,7 @@ class Store:
         return None if schema is None else self.rows(folders, schema)
 
     def publish(self, version: int, folders: list[str], schema: str) -> None:
-        _put_if_absent(self.spark, f"{self.path}/_versions/{version}", json.dumps({"folders": folders, "schema": schema}))
+        put_if_absent(self.spark, f"{self.path}/_versions/{version}", json.dumps({"folders": folders, "schema": schema}))
 
     def append(self, df: DataFrame, *, by=None) -> int:
         """A new version with the rows of `df` besides those there. With `by`, keys that another writer has saved meanwhile keep its rows."""

@@ -305,7 +305,7 @@ def test_writers_race_for_a_version(spark, tmp_path):
 
     def run(i):
         try:
-            state._put_if_absent(spark, path, f"{i}" * 1000)
+            state.put_if_absent(spark, path, f"{i}" * 1000)
             won.append(i)
         except state.Conflict:
             pass
