@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import kept_table
+from .common import kept_table, whole_row
 from .components import components
 
 WIDTH = 5
@@ -449,7 +449,7 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     groups = join.documents().filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "sum")).alias("r"))
     chosen = groups.select(F.col("r.doc_id").alias("_id"), F.col("r.sum").alias("_need"))
     wordless = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    rows = docs.filter(~wordless).select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.unhex(F.md5(F.col(text))).alias("_sum"))
+    rows = docs.filter(~wordless).select(whole_row(docs).alias("_doc"), F.col(key).alias("_key"), F.unhex(F.md5(F.col(text))).alias("_sum"))
     kept = rows.join(chosen, (F.col("_sum") == F.col("_need")) & F.col("_key").eqNullSafe(F.col("_id")))
     first = Window.partitionBy("_sum", "_key").orderBy("_key")
     kept = kept.withColumn("_no", F.row_number().over(first)).filter("_no = 1").select("_doc.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, kept_table, let
+from .common import SPACE, kept_table, let, whole_row
 
 #: Candidate cutoffs of each signal, from the mildest on.
 CUTOFFS = {
@@ -155,7 +155,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", s
     """The documents that pass, all columns. Documents are written once beside their measures: the cutoffs read only the
     measures, and filters never meet the measuring expressions, which would run again for every mention. Rows with null
     or repeated keys stay apart."""
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_id"), F.col(stratum).alias("_lang"), measures(F.col(text)).alias("m"))
+    rows = docs.select(whole_row(docs).alias("_doc"), F.col(key).alias("_id"), F.col(stratum).alias("_lang"), measures(F.col(text)).alias("m"))
     measured = kept_table(rows, "measured")
     cuts = kept_table(cutoffs(measured.select(F.col("_id").alias(key), "_lang", "m"), labels, key=key, stratum="_lang", alpha=alpha, delta=delta), "cutoffs")
     return with_verdict(measured, cuts, stratum="_lang").filter("kept").select("_doc.*")
