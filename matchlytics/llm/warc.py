@@ -162,10 +162,12 @@ def range_reader(folder: str, gap: int, most: int):
     return read
 
 
-def read_records(index: DataFrame, folder: str, *, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 32 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, *, gap: int = 1 << 16, most: int = 8 << 20, stretch: int = 16 << 20) -> DataFrame:
     """The records of the index rows. An archive is dealt out in stretches, so that no task reads a whole large one."""
     rows = index.select("archive", "offset", "length", F.floor(F.col("offset") / stretch).alias("_part"))
-    rows = rows.repartition("archive", "_part").sortWithinPartitions("archive", "offset").drop("_part")
+    # a number of its own: by the bytes of the index rows all stretches would be merged into one task
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // stretch))
+    rows = rows.repartition(tasks, "archive", "_part").sortWithinPartitions("archive", "offset").drop("_part")
     return rows.mapInPandas(range_reader(folder, gap, most), RECORD)
 
 
