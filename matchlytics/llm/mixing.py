@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, WORD, kept_table, let
+from .common import SPACE, WORD, kept_table, let, whole_row
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -110,6 +110,7 @@ class Mix:
         share = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], cap=cap)
         blocks = [-(-n // block) for n in sizes]
         owed = np.array([min(int(cap) * b, round(t * b / n)) if n else 0 for t, b, n in zip(share, blocks, sizes, strict=True)], dtype=np.int64)
+        self.slot_tasks = max(1, -(-int(owed.sum()) // SLOTS))
         spark = docs.sparkSession
         table = [(i, name, n, t, -(-count // CHUNK)) for i, ((name, n, count), t) in enumerate(zip(found, share, strict=True))]
         sources = spark.createDataFrame(table, "src long, name string, source_size long, target double, chunks long")
@@ -126,7 +127,8 @@ class Mix:
     @property
     def slots(self) -> DataFrame:
         """(shard, src, epoch, block) of every slot of every output shard."""
-        return self.drawn.repartition("shard", "src").mapInPandas(_slot_blocks(self.seed), "shard long, src long, epoch long, block long")
+        # a number of its own: by the bytes of the drawn rows all slots would be made in one task
+        return self.drawn.repartition(self.slot_tasks, "shard", "src").mapInPandas(_slot_blocks(self.seed), "shard long, src long, epoch long, block long")
 
     @property
     def parts(self) -> DataFrame:
@@ -155,7 +157,7 @@ class Mix:
         whole = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["hi"] - c["lo"]) == F.col("size")
         picks = picks.select("k1", "k2", F.when(~whole, F.col("cuts")).alias("_cuts"))
         one = Window.partitionBy("k1", "k2").orderBy("k2")
-        docs = self.docs.select(F.struct(*self.docs.columns).alias("_doc"), *row_keys(self.docs)).withColumn("_no", F.row_number().over(one)).filter("_no = 1").drop("_no")
+        docs = self.docs.select(whole_row(self.docs).alias("_doc"), *row_keys(self.docs)).withColumn("_no", F.row_number().over(one)).filter("_no = 1").drop("_no")
         rows = docs.join(picks, ["k1", "k2"])
         pieces = F.regexp_extract_all(F.col(f"_doc.{self.text}"), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
         cut = let(F.struct(pieces.alias("w"), F.col("_cuts").alias("c")), lambda x: F.array_join(F.flatten(F.transform(x["c"], lambda c: F.slice(x["w"], (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), ""))
@@ -167,6 +169,8 @@ class Mix:
 
 #: Documents of a source that are ordered together.
 CHUNK = 1 << 14
+#: Slots that a task makes, about.
+SLOTS = 1 << 17
 
 
 def word_count(text: Column) -> Column:
