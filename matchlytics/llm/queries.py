@@ -41,7 +41,7 @@ RANKS = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 def op6_token_rollups(spark: SparkSession, d: str) -> DataFrame:
     """Three batches: all documents come in, those labelled bad go, and those labelled toxic are counted anew in lower
-    case, as a cleaning step would leave them. The second batch is sent twice."""
+    case, as a cleaning step would leave them. The second batch is sent twice, and totals are kept after it."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     marks = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # both counts in one pass: texts are never shuffled
@@ -53,6 +53,7 @@ def op6_token_rollups(spark: SparkSession, d: str) -> DataFrame:
     gone = change(counted.join(marks.filter("quality = 0"), "doc_id", "left_semi"), "delete")
     for _ in range(2):
         token_rollups.commit(store, "0002", gone)
+    token_rollups.snapshot(spark, store)
     revised = counted.join(marks.filter("quality = 1 and toxic = 1"), "doc_id", "left_semi")
     revised = revised.withColumnsRenamed({"tokens": "old_tokens", "new": "tokens"}).withColumn("op", F.lit("revise"))
     token_rollups.commit(store, "0003", revised)
