@@ -9,7 +9,8 @@ are left (or no segment is); those are scored exactly, in integers. The k best o
 
 Blocks hold at most `block` vectors and query packs at most the queries of a block, so memory is bounded whatever the
 table, and equal vectors are spread like any others. Vectors that are null or hold null or non-finite components take
-no part. Shorter vectors count as filled up with zeros; components are cut to +-2^53 after quantisation. A null vec_id
+no part. Shorter vectors count as filled up with zeros; components beyond 2^53 after quantisation, and vectors whose
+products may leave 64 bits, raise an OverflowError. A null vec_id
 is no query and comes last among ties. Rows with equal vec_id are different rows: each is a candidate for the other.
 """
 
@@ -39,7 +40,10 @@ def quantised(vector) -> np.ndarray | None:
     x = np.asarray(vector, dtype=np.float64)
     if not np.isfinite(x).all():
         return None
-    return np.clip(np.floor(SCALE * x), -(2.0**53), 2.0**53).astype(np.int64)
+    x = np.floor(SCALE * x)
+    if len(x) and np.abs(x).max() > 2.0**53:
+        raise OverflowError("a component is beyond the 53 bits that a double holds exactly")
+    return x.astype(np.int64)
 
 
 def postings(dense: np.ndarray):
@@ -114,6 +118,8 @@ def best_of_block(weights: np.ndarray, row, k: int, own: np.ndarray) -> tuple[np
     exact = np.vstack([exact, np.zeros((dims - row.dims, row.n), dtype=np.int64)])
     weights = np.hstack([weights, np.zeros((len(weights), dims - weights.shape[1]), dtype=np.int64)])
     top = float(np.abs(exact).max(initial=0)) * float(np.abs(weights).max(initial=0)) * max(1, dims)
+    if top >= 2.0**63:
+        raise OverflowError("scores of these vectors may leave 64 bits")
     kind = np.float32 if top < 2.0**23 else np.float64
     slack = 0.0 if top < 2.0**52 else top * 2.0**-40  # sums of whole numbers are exact below
     q = weights.astype(kind)
