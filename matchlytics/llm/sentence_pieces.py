@@ -4,7 +4,8 @@ The text gets a marker for each space and one in front. A piece has markers only
 segmentation of a text is that of its words one after the other. A task keeps the words it has seen (up to a bound)
 and segments the new ones of a batch together: numpy walks all words in step, byte position by byte position, through
 the trie and keeps the best score and the last piece of every prefix. A character that is no piece by itself costs
-`UNKNOWN` below the worst piece and comes out as its bytes.
+`UNKNOWN` below the worst piece and comes out as its bytes. Where only few words go on (unbroken text), these are finished one
+by one, by the same rules.
 
 The pieces come from a model file (path is a parameter). A unigram model brings its log scores. Other models only have an
 order of pieces, most frequent first; their scores are the logarithms of a Zipf-Mandelbrot law over that order.
@@ -32,6 +33,8 @@ UNKNOWN = 10.0
 REMEMBERED = 150_000
 #: Characters of texts that are cut into words at a time, and bytes of new words segmented at a time.
 PIECE_OF_TEXT, STEP_BYTES = 1 << 20, 1 << 22
+#: Words that are segmented in step at least.
+FEW_WORDS = 16
 
 
 class Trie:
@@ -93,6 +96,8 @@ class Pieces:
         # characters that are in no piece end a word as well
         lone = "" if any("\n" in pieces[i][0] for i in usable) else "\n"
         self.cutter = re.compile(f"{lone}|{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" if lone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.border = re.compile(f"[^{MARK}]{MARK}")
+        self.lists = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.scores, self.ids)]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def segment(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -108,7 +113,9 @@ class Pieces:
         best[cell] = 0.0
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         shrink = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-        for pos in range(len(shrink)):
+        # few words reach far: these are finished one by one, a step of all words would cost more than it does
+        alone = int(np.searchsorted(-shrink, -FEW_WORDS, side="right"))
+        for pos in range(alone):
             live = np.flatnonzero(best[cell[: shrink[pos]] + pos] > -np.inf)
             here, byte_at, left = cell[live] + pos, start[live] + pos, size[live] - pos
             score = best[here]
@@ -136,6 +143,9 @@ class Pieces:
                 better = total > best[there]
                 there = there[better]
                 best[there], back[there], piece[there] = total[better], char[rest[better]], -1
+        for k in range(int(shrink[alone]) if alone < len(shrink) else 0):
+            lane = slice(int(cell[k]), int(cell[k] + size[k]) + 1)
+            best[lane], back[lane], piece[lane] = self._finish(raw[order[k]], alone, best[lane].tolist(), back[lane].tolist(), piece[lane].tolist())
         out: list[tuple[int, ...]] = [()] * len(words)
         back_, piece_ = back.tolist(), piece.tolist()
         for k, i in enumerate(order):
@@ -151,19 +161,41 @@ class Pieces:
             out[i] = tuple(reversed(ids))
         return out
 
+    def _finish(self, raw: bytes, at: int, best: list, back: list, piece: list):
+        """The best prefixes of one word from position `at` on."""
+        base, check, value, scores, ids = self.lists
+        n, never = len(raw), -math.inf
+        for pos in range(at, n):
+            score = best[pos]
+            if score == never:
+                continue
+            lead = raw[pos]
+            char = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            single, node = False, 0
+            for to in range(pos, min(n, pos + self.longest)):
+                below = base[node]
+                cell = below + raw[to]
+                if below <= 0 or cell >= len(check) or check[cell] != node:
+                    break
+                node, found, step = cell, value[cell], to - pos + 1
+                if found >= 0:
+                    single = single or step == char
+                    if score + scores[found] > best[to + 1]:
+                        best[to + 1], back[to + 1], piece[to + 1] = score + scores[found], step, ids[found]
+            if not single and score + self.worst > best[pos + char]:
+                best[pos + char], back[pos + char], piece[pos + char] = score + self.worst, char, -1
+        return best, back, piece
+
     def words(self, text: str):
-        """The words of a text with markers, from bounded stretches that end before a marker where there is one."""
+        """The words of a text with markers, from stretches that end where no piece can go on: before the first marker after another
+        character, since pieces have markers at their start only."""
         marked = MARK + text.replace(" ", MARK)
         at = 0
         while at < len(marked):
             end = at + PIECE_OF_TEXT
             if end < len(marked):
-                cut = marked.rfind(MARK, at + 1, end)
-                while cut > at and marked[cut - 1] == MARK:
-                    cut -= 1
-                end = cut if cut > at else (marked.find(MARK, end) if marked.find(MARK, end) >= 0 else len(marked))
-                while end < len(marked) and marked[end - 1] == MARK:
-                    end += 1
+                border = self.border.search(marked, end - 1)
+                end = border.end() - 1 if border else len(marked)
             yield self.cutter.findall(marked[at:end])
             at = end
 
@@ -234,7 +266,7 @@ def _encoder(model, text: str, out: str, drop: bool, rows: int = 512, flag=None)
 
         pieces = _pieces(model.value)
         for batch in batches:
-            names = [n for n in batch.schema.names if not (drop and n == text)]
+            names = [n for n in batch.schema.names if not (drop and n == text) and n not in (out, flag)]
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 texts = part.column(text).to_pylist()
@@ -276,11 +308,18 @@ def _shared(df: DataFrame, model_path: str):
 def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", drop_text: bool = False, round_trip: str | None = None) -> DataFrame:
     """Adds the ids of the text's pieces; with `drop_text` the text itself isn't carried along.
 
-    `round_trip` names a column for whether decoding the ids gives the text back.
+    `round_trip` names a column for whether decoding the ids gives the text back. Columns of these names are replaced.
     """
-    new = [(out, ArrayType(IntegerType())), (round_trip, BooleanType())]
-    made = StructType([f for f in docs.schema if not (drop_text and f.name == text)] + [StructField(n, kind) for n, kind in new if n])
-    return docs.mapInArrow(_encoder(_shared(docs, model_path), text, out, drop_text, flag=round_trip), made)
+    keep = [n for n in docs.columns if not (drop_text and n == text) and n not in (out, round_trip)]
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    # under plain names, because mapInArrow cannot take names with dots
+    rows = docs.select(quoted(text).alias("text"), *[quoted(n).alias(f"c{i}") for i, n in enumerate(keep) if n != text])
+    new = [("out", ArrayType(IntegerType())), ("flag", BooleanType())][: 2 if round_trip else 1]
+    drop = text not in keep
+    made = StructType([f for f in rows.schema if not (drop and f.name == "text")] + [StructField(n, kind) for n, kind in new])
+    done = rows.mapInArrow(_encoder(_shared(docs, model_path), "text", "out", drop, flag="flag" if round_trip else None), made)
+    return done.select(*[F.col("text" if n == text else f"c{i}").alias(n) for i, n in enumerate(keep)], F.col("out").alias(out),
+                       *([F.col("flag").alias(round_trip)] if round_trip else []))
 
 
 def decode(docs: DataFrame, model_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
