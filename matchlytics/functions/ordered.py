@@ -231,12 +231,37 @@ def islands(df: DataFrame, by, pos: str, best: Column, *, size: int = CHUNK, chu
         F.max("best").alias("best")).drop("_lane", "_no")
 
 
+def runs(df: DataFrame, by, order: list[str], member: Column, first: list[str], *, bucket: Column) -> DataFrame:
+    """Runs of consecutive rows along `order` for which `member` holds: `n` rows, and the columns `first` of the first of them.
+
+    Runs are built per chunk. A chunk passes on its first and its last run only (or that there is none at its border), and
+    these are stitched per key.
+    """
+    keys = keys_of(by)
+    rows = df.select(*keys, bucket.alias("_b"), F.struct(*order).alias("_at"), F.struct(*first).alias("_row"), F.coalesce(member, F.lit(False)).alias("_in"))
+    step = Window.partitionBy(*keys, "_b").orderBy("_at")
+    rows = _spread(rows, keys).withColumns({
+        "_no": F.sum(F.when(F.col("_in"), 0).otherwise(1)).over(step.rowsBetween(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(step)})
+    # a group is a row outside, if any, and the run behind it
+    groups = rows.groupBy(*keys, "_b", "_no").agg(
+        F.count_if("_in").alias("n"), F.min_by("_row", F.when(F.col("_in"), F.col("_at"))).alias("_row"),
+        F.min(F.when(F.col("_in"), F.col("_at"))).alias("_at"), F.min("_rn").alias("_rn"), F.bool_or(~F.col("_in")).alias("_cut"))
+    chunk = Window.partitionBy(*keys, "_b")
+    groups = groups.withColumns({"_head": (F.col("_rn") == 1) & ~F.col("_cut"), "_tail": F.col("_no") == F.max("_no").over(chunk), "_low": F.col("_no") == F.min("_no").over(chunk)})
+    groups = groups.withColumn("_lane", F.when(F.col("_low") | F.col("_tail"), F.lit(None)).otherwise(F.col("_b")))
+    lane = Window.partitionBy(*keys, "_lane").orderBy("_b", "_no")
+    joined = F.col("_lane").isNull() & F.col("_head") & F.lag("_tail").over(lane)
+    groups = groups.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_id", F.sum("_new").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
+    out = groups.groupBy(*keys, "_lane", "_id").agg(F.sum("n").alias("n"), F.min_by("_row", "_at").alias("_row"))
+    return out.filter(F.col("n") > 0).select(*keys, "n", "_row.*")
+
+
 def ema(df: DataFrame, by, pos: str, cols: dict[str, str], *, keep: float) -> DataFrame:
     """Exponential smoothing y = keep*y_before + (1-keep)*x along dense positions; the first y is x.
 
     Weights fall below 1e-17 after `reach` positions, so a chunk with that much halo gives the same doubles
     up to the last digits. Inside a chunk the recursion is a running sum of x scaled by keep^-k; `size` keeps
-    that scale far from overflow. `cols` = source column -> new name.
+    that scale far from overflow. Gaps or repeats among the positions raise an error. `cols` = source column -> new name.
     """
     if keep <= 0:
         return df.select("*", *[F.col(c).alias(n) for c, n in cols.items()])
@@ -247,7 +272,8 @@ def ema(df: DataFrame, by, pos: str, cols: dict[str, str], *, keep: float) -> Da
     reach = math.ceil(17 / -math.log10(keep)) + 1
     rows = with_halo(df, by, pos, size=8 * reach, before=reach)
     step = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    rows = rows.withColumn("_k", F.row_number().over(step) - 1)
+    gap = F.lag(pos).over(step) != F.col(pos) - 1
+    rows = rows.withColumn("_k", F.when(gap, F.raise_error(F.concat(F.lit("positions are not dense at "), F.col(pos).cast("string")))).otherwise(F.row_number().over(step) - 1))
     up = F.pow(F.lit(float(keep)), -F.col("_k"))
     share = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
     total = step.rowsBetween(Window.unboundedPreceding, 0)

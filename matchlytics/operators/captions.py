@@ -14,10 +14,11 @@ def caption_lines(words: DataFrame, *, n: int = 4, by="clip_id", order=("turn",
                   bucket=None) -> DataFrame:
     """Words of a clip in lines of n: text, start of the first and end of the last word; the rest is a short line.
 
-    Words carry their own leading space, as speech recognition gives them.
+    Words carry their own leading space, as speech recognition gives them. They are numbered in buckets, by default of up to 4096
+    words of one turn, so that neither a clip nor a long turn is ordered in one task.
     """
     keys = keys_of(by)
-    bucket = chunk_no(order[0], CHUNK) if bucket is None else bucket
+    bucket = F.struct(*[F.col(c).alias(f"b{i}") for i, c in enumerate(order[:-1])], chunk_no(order[-1], 4096).alias("b")) if bucket is None else bucket
     rows = with_position(words, by, list(order), bucket=bucket, name="_no")
     rows = rows.withColumn("line_no", F.floor(F.col("_no") / n).cast("long"))
     lines = rows.groupBy(*keys, "line_no").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK, carry_last, chunk_no, ema, keys_of, with_key_row
+from ..functions.ordered import CHUNK, carry_last, chunk_no, ema, keys_of, with_key_row, with_position
 
 
 def crop_width(aspect: str):
@@ -33,10 +33,11 @@ def focus_track(frames: DataFrame, players: DataFrame, ball_path: DataFrame, *,
 
 def camera_path(frames: DataFrame, players: DataFrame, ball_path: DataFrame, clips: DataFrame, *,
                 aspect: str = "9:16", alpha: float = 0.85, mode: str = "action_track", by="clip_id",
-                chunk: int = CHUNK) -> DataFrame:
+                chunk: int = CHUNK, dense: bool = True) -> DataFrame:
     """Smoothed centre and left edge of the crop per frame. Modes: action_track, center.
 
-    A frame without focus keeps the one before, or the frame centre at the start of a clip.
+    A frame without focus keeps the one before, or the frame centre at the start of a clip. Frame numbers without gaps are taken as they
+    are, and gaps raise an error; with `dense=False` frames are numbered first, so every kept frame counts as the next one.
     """
     keys = keys_of(by)
     size = clips.select(*keys, "width", "height")
@@ -47,7 +48,9 @@ def camera_path(frames: DataFrame, players: DataFrame, ball_path: DataFrame, cli
         focus = focus_track(sized, players, ball_path, by=by)
         held = carry_last(focus, by, ["frame"], "focus", bucket=chunk_no("frame", chunk), name="focus")
         rows = held.withColumn("focus", F.coalesce("focus", F.col("width") / 2))
-        rows = ema(rows, by, "frame", {"focus": "cx"}, keep=alpha)
+        if not dense:
+            rows = with_position(rows, by, ["frame"], bucket=chunk_no("frame", chunk), name="_pos")
+        rows = ema(rows, by, "frame" if dense else "_pos", {"focus": "cx"}, keep=alpha)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     half = F.col("crop_w") / 2

@@ -377,7 +377,7 @@ def _rotate(spark, d):
 
 def _lines(spark, d):
     words = v.words(spark, d).withColumn("word", F.concat(F.lit(" "), F.col("word")))
-    return captions.caption_lines(words, bucket=chunk_no("turn", 1024))
+    return captions.caption_lines(words)
 
 
 @query("caption_lines", f"select clip_id, line_no, text, {r6('start_s', 'end_s')} from o_lines")

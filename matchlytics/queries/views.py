@@ -230,9 +230,11 @@ def homography(spark, d):
     return spark.sql(f"select {_CLIP}, case when vec_id % 4 <> 0 then array({_H}) end as h from {{e}}", e=table(spark, d, "embeddings"))
 
 
-@view("v_track_team", "select distinct clip_id, track_id, track_id % 2 as team from v_players where track_id <> 30")
+# the side of the pitch a track keeps to tells its team; tracks all over it have none
+@view("v_track_team", "select clip_id, track_id, case when avg(cx) < 96e1 then 0 else 1 end as team from v_players group by clip_id, track_id having abs(avg(cx) - 96e1) >= 5e0")
 def track_team(spark, d):
-    return players(spark, d).filter("track_id <> 30").selectExpr("clip_id", "track_id", "track_id % 2 as team").distinct()
+    sides = players(spark, d).groupBy("clip_id", "track_id").agg(F.avg("cx").alias("x")).filter("abs(x - 96e1) >= 5e0")
+    return sides.selectExpr("clip_id", "track_id", "cast(case when x < 96e1 then 0 else 1 end as int) as team")
 
 
 @view("v_keypoints", f"""select {_CLIP}, cast(k as int) as kp_idx, 4e2 * cast(embedding[2*k+1] as double) as x, 4e2 * cast(embedding[2*k+2] as double) as y,

@@ -168,18 +168,33 @@ def test_rms_envelope(spark):
         assert [g.hop_no for g in got] == list(range(len(want))) and np.allclose([g.rms for g in got], want)
 
 
-@pytest.mark.parametrize("chunk", [2, 1000])
-def test_replay_clusters(spark, chunk):
+@pytest.mark.parametrize("size", [10.0, 25.0, 1000.0])
+def test_replay_clusters(spark, size):
     lengths = [5, 12, 12, 20, 3, 3, 13, 1, 1, 1, 1, 1, 1, 1]
     rows, t = [], 0.0
     for i, d in enumerate(lengths):
         rows.append(("m", i, t, t + d))
         t += d
     df = spark.createDataFrame(rows, "match_id string, seq long, start_s double, end_s double")
-    got = scenes.replay_clusters(df, bucket_seconds=10.0, chunk=chunk).orderBy("t").collect()
+    got = scenes.replay_clusters(df, bucket_seconds=size).orderBy("t").collect()
     assert [(g.t, g.strength, g.short_scenes) for g in got] == [(0.0, 0.5, 3), (68.0, 1.0, 7)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_runs_in_any_chunking(spark, size):
+    from matchlytics.functions.ordered import chunk_no, runs
+
+    rnd, rows, want = random.Random(size), [], []
+    for k, n, share in (("a", 300, 0.7), ("b", 40, 1.0), ("c", 30, 0.0), ("d", 1, 1.0)):
+        mine = [(k, p, rnd.random() < share or None if rnd.random() < 0.9 else False) for p in sorted(rnd.sample(range(4 * n), n))]
+        rows += mine
+        for hit, group in itertools.groupby(mine, key=lambda r: bool(r[2])):
+            group = list(group)
+            want += [(k, len(group), group[0][1])] if hit else []
+    df = spark.createDataFrame(rows, "k string, p long, hit boolean").repartition(3)
+    assert sorted((r.k, r.n, r.p) for r in runs(df, "k", ["p"], F.col("hit"), ["p"], bucket=chunk_no("p", size)).collect()) == sorted(want)
+
+
 def test_keywords(spark):
     df = spark.createDataFrame([("m", 1, 3.0, "  What a POSTponed goal, saved!\n"), ("m", 2, 4.0, None), ("m", 3, 5.0, "x" * 200 + " var")],
                                "match_id string, seq long, start_s double, text string")
