@@ -2,6 +2,7 @@
 
 1. Detect: texts that pass a test in Spark go to Python, which finds e-mail addresses, phone, card and account
    numbers, IP addresses, secrets and names, as (type, value) with the value in a canonical form (digits, lower case).
+   A name found by a title or a listed given name is also found where the text says it alone, before or after.
 2. Assign: all distinct entities of the corpus get a candidate surrogate from an HMAC of type, value and attempt. A
    candidate that is an entity of the corpus itself, or that another entity has (the smaller value keeps it), is
    tried again with the next attempt. So different entities stay different, one entity is replaced the same way in
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table
+from .common import kept_table, whole_row
 
 #: Given names by gender and script (fixed values).
 GIVEN = {
@@ -45,7 +46,7 @@ SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li
 ENDINGS = {"latin": {"f": "na", "m": "r", "n": "n"}, "cyrillic": {"f": "на", "m": "р", "n": "н"}, "greek": {"f": "να", "m": "ρος", "n": "ν"}}
 
 _GENDER = {n.casefold(): (g, s) for (g, s), names in GIVEN.items() for n in names.split()}
-_NAMES = "|".join(n for names in GIVEN.values() for n in names.split())
+_NAMES = "|".join(n for names in GIVEN.values() for w in names.split() for n in (w, w.upper()))
 _TITLE = "|".join(TITLES)
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
 
@@ -130,6 +131,11 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         for group in ("f1", "f2"):
             if m[group]:
                 add(*m.span(group), f"family:n:{_script(m[group])}", m[group].casefold())
+    # a person named once in a text is meant by the bare name as well
+    for value, kind in {v: k for _, _, k, v in found if ":" in k}.items():
+        for m in re.finditer(rf"(?i)(?<!\w){re.escape(value)}(?!\w)", text):
+            if m[0][0].isupper():
+                add(*m.span(), kind, value)
     return sorted(found)
 
 
@@ -275,16 +281,19 @@ def with_surrogates(docs: DataFrame, *, key: bytes, text: str = "text", count: s
 
     `count` names a column for the number of distinct entities of the text.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
-    found = rows.filter(gate(F.col("_text"))).select(F.md5("_text").alias("_sum"), F.pandas_udf(_detect, ENTITIES)("_text").alias("_found"))
+    # the costly test runs once: its outcome is kept beside the documents
+    value = F.col("`" + text.replace("`", "``") + "`")
+    rows = kept_table(docs.select(whole_row(docs).alias("_doc"), gate(value).alias("_hit")), "gated")
+    hits, rest = (rows.filter(w).withColumn("_text", F.col("_doc")[text]).drop("_hit") for w in ("_hit", "not _hit"))
+    found = hits.select(F.md5("_text").alias("_sum"), F.pandas_udf(_detect, ENTITIES)("_text").alias("_found"))
     found = kept_table(found.filter(F.size("_found") > 0).groupBy("_sum").agg(F.first("_found").alias("_found")), "entities")
     pairs = found.select("_sum", F.explode("_found").alias("_e")).select("_sum", "_e.kind", "_e.value")
     new = assign(kept_table(pairs.select("kind", "value").distinct(), "distinct-entities"), key)
     known = pairs.join(new, ["kind", "value"]).groupBy(F.col("_sum").alias("_key")).agg(F.collect_list(F.struct("kind", "value", "new")).alias("_new"))
-    some = rows.filter(gate(F.col("_text"))).withColumn("_sum", F.md5("_text"))
+    some = hits.withColumn("_sum", F.md5("_text"))
     some = some.join(known, F.col("_sum") == F.col("_key"), "left")
     some = some.select("_doc", F.pandas_udf(_replace, "string")("_text", "_new").alias("_text"), F.coalesce(F.size("_new"), F.lit(0)).alias("_n"))
-    out = some.unionByName(rows.filter(~gate(F.col("_text"))).select("_doc", "_text", F.lit(0).alias("_n")))
+    out = some.unionByName(rest.select("_doc", "_text", F.lit(0).alias("_n")))
     changed = {text: F.col("_text")} | ({"n_chars": F.when(F.col("_n") > 0, F.length("_text").cast("long")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {})
     extra = [F.greatest(F.col("_n"), F.lit(0)).cast("long").alias(count)] if count else []
     return out.select(*[changed.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns], *extra)
