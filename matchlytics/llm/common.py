@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@contextmanager
+def small_batches(spark, records: int = 256, size: int = 16 << 20):
+    """What is run inside gives Python so many rows, or about so many bytes, at a time: for rows with long texts."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, whatever their names hold."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

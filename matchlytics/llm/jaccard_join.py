@@ -8,7 +8,8 @@ that differ) / 2. A bitmap has about as many bits as its set has hashes, as a fu
 leave is decided by intersecting the sorted arrays of hashes.
 
 Groups of thousands of near copies would give millions of such pairs. So it goes in two rounds. In the first, each set of a tile
-nominates only the most similar smaller one; exact links give components. In the second, tiles whose sets are all
+nominates only the most similar smaller and the most similar larger one, so that a copy finds its original on either side; exact links
+give components. In the second, tiles whose sets are all
 in one component are done, and in the others all remaining pairs of different components are decided. Pairs that are
 never looked at lie in one component already, so the components are those of all links.
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import kept_table, whole_row
+from .common import kept_table, small_batches, whole_row
 from .components import components
 
 WIDTH = 5
@@ -43,6 +44,8 @@ BITS, MOST_BITS = 512, 4096
 #: Texts sampled for frequent shingles, and how many of them must hold one.
 SAMPLE, FREQUENT = 20_000, 8
 TILE = 20_000
+#: Pairs of tiles that are held before they are sent on.
+PAIRS = 1 << 19
 CHUNK = 1 << 20
 
 SETS = "rid long, doc_id long, sum binary, sid binary, n int, bits binary, prefix array<long>"
@@ -227,10 +230,11 @@ def _tile_pairs(every: bool):
     """Function for mapInPandas over tiles sorted by (sig, lo, hi, n): pairs that the bound leaves, with the number of tiles
     that gave them and the number of shared prefix shingles they need.
 
-    Either all of them of different labels, or for each row the one with the best bound among those before it.
+    Either all of them of different labels, or for each row those with the best bounds among the rows before and behind it.
     """
     def one_tile(rid, n, side, label, bits, rows):
         cross = side.min() != side.max()
+        above, larger = np.full(len(rid), -1, dtype=np.int64), np.full(len(rid), -1, dtype=np.int64)
         for a in range(0, len(rid), 256):
             i = np.arange(a, min(len(rid), a + 256))
             best, mate = np.full(len(i), -1, dtype=np.int64), np.full(len(i), -1, dtype=np.int64)
@@ -257,13 +261,22 @@ def _tile_pairs(every: bool):
                         has = np.flatnonzero(top >= 0)
                         has = has[score[top[has]] > best[has]]
                         best[has], mate[has] = score[top[has]], q[top[has]]
+                        first = int(q.min())
+                        top = np.full(int(q.max()) - first + 1, -1, dtype=np.int64)
+                        top[q[order] - first] = order
+                        has = np.flatnonzero(top >= 0)
+                        has = has[score[top[has]] > above[has + first]]
+                        above[has + first], larger[has + first] = score[top[has]], p[top[has]]
             if not every:
                 has = np.flatnonzero(mate >= 0)
                 yield rid[i[has]], rid[mate[has]], _shared_needed(n[i[has]], n[mate[has]])
+        if not every:
+            i = np.flatnonzero(larger >= 0)
+            yield rid[i], rid[larger[i]], _shared_needed(n[i], n[larger[i]])
 
     def small_tiles(group, rid, n, label, bits, rows, longest):
         """All tiles of up to `longest` rows at once, by the distance of the two rows."""
-        best, mate = np.full(len(rid), -1, dtype=np.int64), np.full(len(rid), -1, dtype=np.int64)
+        best, mate, above, larger = (np.full(len(rid), -1, dtype=np.int64) for _ in range(4))
         for d in range(1, longest):
             i = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]) & (100 * n[:-d] >= SHARE * n[d:])) + d
             if not len(i):
@@ -276,9 +289,12 @@ def _tile_pairs(every: bool):
             else:
                 up = score > best[i]
                 best[i[up]], mate[i[up]] = score[up], i[up] - d
+                up = score > above[i - d]
+                above[i[up] - d], larger[i[up] - d] = score[up], i[up]
         if not every:
-            i = np.flatnonzero(mate >= 0)
-            yield rid[i], rid[mate[i]], _shared_needed(n[i], n[mate[i]])
+            for chosen in (mate, larger):
+                i = np.flatnonzero(chosen >= 0)
+                yield rid[i], rid[chosen[i]], _shared_needed(n[i], n[chosen[i]])
 
     def work(frame):
         key = frame[["sig", "lo", "hi"]].to_numpy()
@@ -301,11 +317,23 @@ def _tile_pairs(every: bool):
         held: list[pd.DataFrame] = []
         rows = 0
 
-        def out(frame):
-            found = list(work(frame))
+        def counted(found):
             a, b, need = (np.concatenate([f[x] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64) for x in (0, 1, 2))
-            both, at, times = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0, return_index=True, return_counts=True)
-            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "times": times.astype(np.int64), "need": need[at]})
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else order
+            return pd.DataFrame({"a": low[first], "b": high[first], "times": np.diff(np.r_[first, len(low)]).astype(np.int64), "need": need[order[first]]})
+
+        def out(frame):
+            found, size = [], 0
+            for part in work(frame):
+                found.append(part)
+                size += len(part[0])
+                if size > PAIRS:  # a tile may leave very many pairs
+                    yield counted(found)
+                    found, size = [], 0
+            yield counted(found)
 
         for frame in frames:
             if not len(frame):
@@ -318,10 +346,10 @@ def _tile_pairs(every: bool):
             last = (frame[["sig", "lo", "hi"]] == frame[["sig", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
             whole = int(np.argmax(last))  # the last tile may go on in the next batch
             if whole:
-                yield out(frame.iloc[:whole])
+                yield from out(frame.iloc[:whole])
             held, rows = [frame.iloc[whole:]], len(frame) - whole
         if held:
-            yield out(pd.concat(held, ignore_index=True))
+            yield from out(pd.concat(held, ignore_index=True))
     return pairs
 
 
@@ -351,7 +379,8 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         self.texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("sum"))
         frequent = self.spark.sparkContext.broadcast(self._frequent())
-        self.sets = kept_table(self.texts.mapInPandas(_measurer(frequent), SETS), "shingle-sets")
+        with small_batches(self.spark, records=2048):
+            self.sets = kept_table(self.texts.mapInPandas(_measurer(frequent), SETS), "shingle-sets")
 
     def _frequent(self) -> bytes:
         """Sorted hashes of shingles that many sampled texts share: SAMPLE * words / FREQUENT numbers at most."""
@@ -404,7 +433,8 @@ class JaccardJoin:
         # texts go to the pairs, not their sets: they take a quarter of the room when compressed
         found = found.groupBy("rid").agg(F.first("text").alias("text"))
         both = pairs.join(found.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
-        return kept_table(both.mapInArrow(_exact, "a long, b long"), "exact-links")
+        with small_batches(self.spark):  # a row holds two whole texts
+            return kept_table(both.mapInArrow(_exact, "a long, b long"), "exact-links")
 
     def labels(self) -> DataFrame:
         """(rid, label) of all sets that are linked with another."""
