@@ -107,6 +107,26 @@ s as (select q.vec_id as query_id, q.no as qno, c.vec_id, c.no, cast(list_inner_
       from v q join v c on q.no <> c.no where q.vec_id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by qno order by score desc, vec_id nulls last, no) as rank from s) t where rank <= 20""",
+    "op4_warc": r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
+d as (select *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             ((cast('0x' || substr(h, 5 * g + 1, 5) as integer) >> s) & 31) + 1, 1)), '')), '') as digest from p),
+f as (select *, min(page_id) over (partition by digest) as first from d)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to from f""",
+    "op10_jaccard": r"""
+with recursive d as (select row_number() over () as no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select no, unnest(ws) as a, unnest(range(len(ws))) as pos from d where len(ws) >= 5),
+s as (select distinct no, sh from (
+        select no, concat_ws(' ', a, lead(a, 1) over o, lead(a, 2) over o, lead(a, 3) over o, lead(a, 4) over o) as sh, lead(a, 4) over o as last from w window o as (partition by no order by pos)) q where last is not null
+      union all select no, array_to_string(ws, ' ') from d where len(ws) between 1 and 4),
+n as (select no, count(*) as n from s group by no),
+pairs as (select x.no as a, y.no as b, count(*) as shared from s x join s y on x.sh = y.sh and x.no < y.no group by all),
+links as (select a, b from pairs join n na on na.no = a join n nb on nb.no = b where 100 * shared >= 75 * (na.n + nb.n - shared)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+least_of as (select a as no, min(doc_id) as m from reach join d on d.no = b group by a)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id from d left join n using (no) left join least_of using (no)""",
     "op11_chat": r"""
 with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
            union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
@@ -116,6 +136,47 @@ t as (select conv_id, count(*) as n_turns, string_agg(coalesce(role, '') || chr(
              cast(sum(length(coalesce(role, '')) + length(text) + marks + length('<|turn|><|text|><|end|>')) as bigint) as formatted_chars
       from m group by conv_id)
 select conv_id, n_turns, sha256(told) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars from t""",
+    # least cost, then least audit, of all edits in each grammar state, from the last turn back
+    "op12_structure": r"""
+with recursive crc as (select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps
+             from range(256) r(i)),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+             hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))) as h from conversations),
+x as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+                    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 20 as d from k, crc),
+g as (select conv_id, turn, case when d = 4 then 'user' else role end as role,
+             case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when d = 3 then 2 else 1 end)) as copy from x where d <> 0),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, count(*) over (partition by conv_id) as n from g),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+             when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+             lag(role) over (partition by conv_id order by pos) as before from p),
+t as (select *, case when fault = 'truncated' then 1 else 0 end as cut, fault not in ('blank', 'duplicate') as stays, substr(role, 1, 1) as r from f),
+go as (select distinct conv_id, n + 1 as pos, {c: 0, a: ''} as f0, {c: 4, a: 'II'} as f1, {c: 2, a: 'I'} as f2, {c: 0, a: ''} as f3 from t
+       union all
+       select conv_id, pos, list_min([s0, {c: least_u.c + 2, a: 'I' || least_u.a}]), list_min([s1, {c: least_u.c + 2, a: 'I' || least_u.a}]), least_u, least_a from (
+         select *, list_min([s2, {c: s3.c + 2, a: 'I' || s3.a}]) as least_u, list_min([s3, {c: s2.c + 2, a: 'I' || s2.a}]) as least_a from (
+           select t.conv_id, t.pos,
+             list_min(list_filter([{c: f0.c + 3, a: 'D' || f0.a}, case when stays then {c: f2.c + 2 + cut, a: 'R' || f2.a} end,
+               case when stays and r = 's' then {c: f1.c + cut, a: 'K' || f1.a} when stays and r = 'u' then {c: f2.c + cut, a: 'K' || f2.a} end], lambda o: o is not null)) as s0,
+             list_min(list_filter([{c: f1.c + 3, a: 'D' || f1.a}, case when stays then {c: f2.c + 2 + cut, a: 'R' || f2.a} end,
+               case when stays and r = 'u' then {c: f2.c + cut, a: 'K' || f2.a} end], lambda o: o is not null)) as s1,
+             list_min(list_filter([{c: f2.c + 3, a: 'D' || f2.a}, case when stays then {c: f3.c + 2 + cut, a: 'R' || f3.a} end,
+               case when stays and r = 'a' then {c: f3.c + cut, a: 'K' || f3.a} end], lambda o: o is not null)) as s2,
+             list_min(list_filter([{c: f3.c + 3, a: 'D' || f3.a}, case when stays then {c: f2.c + 2 + cut, a: 'R' || f2.a} end,
+               case when stays and r = 'u' then {c: f2.c + cut, a: 'K' || f2.a} end], lambda o: o is not null)) as s3
+           from go join t on go.conv_id is not distinct from t.conv_id and go.pos = t.pos + 1) q) q),
+best as (select conv_id, f0.c as cost, f0.a as audit from go where pos = 1),
+l as (select conv_id, substr(audit, i, 1) as letter, i, i - len(replace(substr(audit, 1, i), 'I', '')) as inserted from (select *, unnest(range(1, len(audit) + 1)) as i from best) q),
+o as (select l.conv_id, letter, l.i, t.role, t.text, row_number() over (partition by l.conv_id order by l.i) as place
+      from l left join t on l.conv_id is not distinct from t.conv_id and letter <> 'I' and t.pos = l.i - l.inserted where letter <> 'D'),
+e as (select *, first_value(letter = 'K' and substr(role, 1, 1) = 's') over (partition by conv_id order by place) as lead from o),
+h as (select conv_id, sha256(string_agg(case when letter = 'K' then role when (place - cast(coalesce(lead, false) as integer)) % 2 = 1 then 'user' else 'assistant' end || ':'
+             || case when letter = 'I' then '' else text end, chr(10) order by place)) as repaired from e group by conv_id),
+s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+             count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and substr(before, 1, 1) || substr(role, 1, 1) not in ('su', 'ua', 'au')) as illegal from t group by conv_id)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit, coalesce(repaired, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join s on s.conv_id is not distinct from i.conv_id left join best b on b.conv_id is not distinct from i.conv_id left join h on h.conv_id is not distinct from i.conv_id""",
     # CRC-32 by its table of 256 steps, over the bytes of each distinct n-gram
     "op13_resampling": r"""
 with crc as (select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps
