@@ -112,22 +112,6 @@ def _anchor_rows(frames):
         yield rows(part)
 
 
-def _live(frames):
-    """Rows whose anchor another row has as well, from rows sorted by anchor."""
-    last, sent = None, True
-    for frame in frames:
-        if not len(frame):
-            continue
-        anchor = frame["anchor"].to_numpy()
-        same = anchor[1:] == anchor[:-1]
-        joins = last is not None and last["anchor"].iloc[0] == anchor[0]
-        keep = np.r_[joins, same] | np.r_[same, False]
-        if joins and not sent:
-            yield last
-        last, sent = frame.iloc[-1:], bool(keep[-1])
-        yield frame[keep]
-
-
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Places of the suffixes in order, for up to 2^20 bytes.
 
@@ -232,12 +216,16 @@ def _shards(frames):
         if not rows:
             return None
         flags, who, at = repeated_starts([r[3] for r in rows], np.array([r[4] for r in rows], dtype=np.float64))
-        texts: dict[int, list[tuple[int, int]]] = {}
+        texts: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
         for k, t in zip(who.tolist(), at.tolist(), strict=True):
             if rows[k][5] > 1:
-                texts.setdefault(k, []).append((t, xxhash.xxh3_64_intdigest(rows[k][3][t : t + SPAN]) - (1 << 63)))
-        out = [(r[0], r[1], r[2], len(f), np.packbits(f).tobytes() if f.any() else None, [t for t, _ in texts.get(k, ())], [d for _, d in texts.get(k, ())], r[5]) for k, (r, f) in enumerate(zip(rows, flags, strict=True))]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FLAGS.split(", ")])
+                digest = xxhash.xxh3_64_intdigest(rows[k][3][t : t + SPAN]) - (1 << 63)
+                places, digests = texts.setdefault(k, {}).setdefault(digest % rows[k][5], ([], []))
+                places.append(t)
+                digests.append(digest)
+        parts = [[{"part": p, "at": x, "digest": d} for p, (x, d) in texts.get(k, {}).items()] for k in range(len(rows))]
+        out = [(r[0], r[1], r[2], len(f), np.packbits(f).tobytes() if f.any() else None, p, r[5]) for r, f, p in zip(rows, flags, parts, strict=True)]
+        return pd.DataFrame(out, columns=["anchor", "slice", "sub", "n", "flags", "parts", "subs"])
 
     for frame in frames:
         for r in zip(*(frame[c] for c in ("anchor", "slice", "sub", "bytes", "w", "subs")), strict=True):
@@ -257,7 +245,7 @@ def _shards(frames):
         yield solve(held + group)
 
 
-FLAGS = "anchor long, slice long, sub int, n int, flags binary, at array<int>, digest array<long>, subs int"
+FLAGS = "anchor long, slice long, sub int, n int, flags binary, parts array<struct<part:int,at:array<int>,digest:array<bigint>>>, subs int"
 
 
 def _cutter(frames):
@@ -272,6 +260,8 @@ def _cutter(frames):
 
 def across_shards(rows: pd.DataFrame) -> pd.DataFrame:
     """Window texts of one anchor that other shards have too: each shard's sorted digests are searched in the others'."""
+    times = rows["at"].map(len).to_numpy()
+    rows = pd.DataFrame({c: np.repeat(rows[c].to_numpy(), times) for c in ("anchor", "slice", "sub")} | {c: np.concatenate(list(rows[c])) for c in ("at", "digest")})
     parts = {sub: np.sort(part["digest"].to_numpy()) for sub, part in rows.groupby("sub")}
     found = np.zeros(len(rows), dtype=bool)
     sub, digest = rows["sub"].to_numpy(), rows["digest"].to_numpy()
@@ -334,8 +324,10 @@ def repeated_parts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_sha256, spans) of the distinct texts with repeated parts, copies apart."""
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= SPAN)
     docs = docs.select("text", *text_keys(F.col("text")))
-    rows = docs.mapInPandas(_anchor_rows, ANCHORS)
-    live = kept_table(rows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_live, ANCHORS), "live-anchors")
+    rows = kept_table(docs.mapInPandas(_anchor_rows, ANCHORS), "anchors")
+    # anchors are counted with a map-side combine and joined back: the rows of a very common one are split like any skewed join
+    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+    live = kept_table(rows.join(often, "anchor"), "live-anchors")
     slices = live.groupBy("anchor", "slice").agg(F.count(F.lit(1)).cast("int").alias("w"), *[F.first(c).alias(c) for c in (*KEYS, "lo", "len")])
     slices = kept_table(slices, "slices")
     anchors = slices.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("w") == 1, 1)).alias("alone"))
@@ -348,8 +340,9 @@ def repeated_parts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     cut = texts_of(docs, wanted).join(wanted, KEYS).select("text", "wanted").mapInPandas(_cutter, "anchor long, slice long, sub int, subs int, w int, bytes binary")
     shards = kept_table(cut.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").mapInPandas(_shards, FLAGS), "shards")
     flagged = shards.filter("flags is not null").select("anchor", "slice", "n", "flags", none.cast("array<int>").alias("at"))
-    loose = shards.filter("subs > 1").select("anchor", "slice", "sub", "subs", F.explode(F.arrays_zip("at", "digest")).alias("x")).select("anchor", "slice", "sub", "subs", "x.at", "x.digest")
-    loose = loose.groupBy("anchor", F.pmod("digest", F.col("subs")).alias("_part")).applyInPandas(across_shards, "anchor long, slice long, at int")
+    # one row for the window texts of a slice that go to one part, not one for each
+    loose = shards.filter("subs > 1").select("anchor", "slice", "sub", F.explode("parts").alias("x")).select("anchor", "slice", "sub", "x.part", "x.at", "x.digest")
+    loose = loose.groupBy("anchor", "part").applyInPandas(across_shards, "anchor long, slice long, at int")
     crossed = loose.groupBy("anchor", "slice").agg(F.collect_list("at").alias("at")).select("anchor", "slice", F.size("at").alias("n"), none.cast("binary").alias("flags"), "at")
     marks = whole.unionByName(flagged).unionByName(crossed)
     places = live.select("anchor", "slice", *KEYS, "lo").join(marks, ["anchor", "slice"])
